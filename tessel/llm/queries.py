@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm.bloom_urls import judge_urls
-from tessel.llm.common import table
+from tessel.llm.common import shared_dir, table
+from tessel.llm.drr_packing import pack
 from tessel.llm.golomb_dedup import exact_dedup
+from tessel.llm.linmax import token_counts
+from tessel.llm.repair_store import read_ids, with_crc32, write_ids
 from tessel.llm.suffix_repeats import repetition_rules
 
 #: Host, path and verdict of the listed entries.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+#: Name of the tokenizer file that the queries use.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tessel-store-{uuid.uuid4().hex}"
+    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
+    return with_crc32(read_ids(spark, path))
+
+
+def op2_linmax_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op5_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), listed)
@@ -27,7 +51,10 @@ def op10_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repair_store": op1_repair_store,
+    "op2_linmax_counts": op2_linmax_counts,
     "op3_suffix_repetition": op3_suffix_repetition,
+    "op4_drr_packing": op4_drr_packing,
     "op5_bloom_urls": op5_bloom_urls,
     "op10_golomb_dedup": op10_golomb_dedup,
 }
