@@ -14,6 +14,7 @@ from tessel.llm.golomb_dedup import exact_dedup
 from tessel.llm.linmax import token_counts
 from tessel.llm.repair_store import read_ids, with_crc32, write_ids
 from tessel.llm.suffix_repeats import repetition_rules
+from tessel.llm.tree_bpe import encode_decode
 
 #: Host, path and verdict of the listed entries.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -46,6 +47,10 @@ def op5_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), listed)
 
 
+def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), digests=True)
+
+
 def op10_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_suffix_repetition": op3_suffix_repetition,
     "op4_drr_packing": op4_drr_packing,
     "op5_bloom_urls": op5_bloom_urls,
+    "op7_tree_bpe": op7_tree_bpe,
     "op10_golomb_dedup": op10_golomb_dedup,
 }
 
