@@ -11,6 +11,7 @@ from tessel.llm.bloom_urls import judge_urls
 from tessel.llm.common import shared_dir, table
 from tessel.llm.drr_packing import pack
 from tessel.llm.golomb_dedup import exact_dedup
+from tessel.llm.lang_mixture import fit, held_out, predict
 from tessel.llm.linmax import token_counts
 from tessel.llm.repair_store import read_ids, with_crc32, write_ids
 from tessel.llm.suffix_repeats import repetition_rules
@@ -51,6 +52,11 @@ def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), digests=True)
 
 
+def op8_lang_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs, ~held_out())).drop("languages").withColumn("held_out", held_out())
+
+
 def op10_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op4_drr_packing": op4_drr_packing,
     "op5_bloom_urls": op5_bloom_urls,
     "op7_tree_bpe": op7_tree_bpe,
+    "op8_lang_mixture": op8_lang_mixture,
     "op10_golomb_dedup": op10_golomb_dedup,
 }
 
