@@ -13,6 +13,7 @@ from tessel.llm.drr_packing import pack
 from tessel.llm.golomb_dedup import exact_dedup
 from tessel.llm.lang_mixture import fit, held_out, predict
 from tessel.llm.linmax import token_counts
+from tessel.llm.odd_sketches import near_duplicates
 from tessel.llm.repair_store import read_ids, with_crc32, write_ids
 from tessel.llm.suffix_repeats import repetition_rules
 from tessel.llm.tree_bpe import encode_decode
@@ -57,6 +58,10 @@ def op8_lang_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs, ~held_out())).drop("languages").withColumn("held_out", held_out())
 
 
+def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op10_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op5_bloom_urls": op5_bloom_urls,
     "op7_tree_bpe": op7_tree_bpe,
     "op8_lang_mixture": op8_lang_mixture,
+    "op9_odd_sketches": op9_odd_sketches,
     "op10_golomb_dedup": op10_golomb_dedup,
 }
 
