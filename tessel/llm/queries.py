@@ -15,6 +15,7 @@ from tessel.llm.lang_mixture import fit, held_out, predict
 from tessel.llm.linmax import token_counts
 from tessel.llm.odd_sketches import near_duplicates
 from tessel.llm.repair_store import read_ids, with_crc32, write_ids
+from tessel.llm.suffix_automata import remove_repeats
 from tessel.llm.suffix_repeats import repetition_rules
 from tessel.llm.tree_bpe import encode_decode
 
@@ -49,6 +50,10 @@ def op5_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), listed)
 
 
+def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35, digest=True)
+
+
 def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), digests=True)
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op3_suffix_repetition": op3_suffix_repetition,
     "op4_drr_packing": op4_drr_packing,
     "op5_bloom_urls": op5_bloom_urls,
+    "op6_suffix_automata": op6_suffix_automata,
     "op7_tree_bpe": op7_tree_bpe,
     "op8_lang_mixture": op8_lang_mixture,
     "op9_odd_sketches": op9_odd_sketches,
