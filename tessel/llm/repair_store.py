@@ -44,8 +44,8 @@ def _frequent(seq: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.nd
     gives its most frequent pair; another one of it waits for a later round.
     """
     keys = (seq[:-1] << np.uint32(16)) | seq[1:]
-    buckets = ((keys * np.uint32(2654435761)) >> np.uint32(12)).astype(np.int32)
-    held = np.bincount(buckets, minlength=1 << 20)
+    buckets = ((keys * np.uint32(2654435761)) >> np.uint32(14)).astype(np.int32)
+    held = np.bincount(buckets, minlength=1 << 18)
     least = max(MIN_COUNT, int(np.partition(held, len(held) - room)[len(held) - room]))
     some = np.sort(keys[held[buckets] >= least])
     if not len(some):
@@ -55,11 +55,11 @@ def _frequent(seq: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.nd
     by = np.argsort(counts, kind="stable")
     by = by[counts[by] >= MIN_COUNT][-room:]
     pairs = pairs[by]  # rising counts: of a bucket's pairs the last is kept
-    table = np.full(1 << 20, -1, np.int32)
-    own = ((pairs * np.uint32(2654435761)) >> np.uint32(12)).astype(np.int32)
+    table = np.full(1 << 18, -1, np.int32)
+    own = ((pairs * np.uint32(2654435761)) >> np.uint32(14)).astype(np.int32)
     table[own] = np.arange(len(pairs))
     pairs = pairs[table[own] == np.arange(len(pairs))]
-    table[((pairs * np.uint32(2654435761)) >> np.uint32(12)).astype(np.int32)] = np.arange(len(pairs))
+    table[((pairs * np.uint32(2654435761)) >> np.uint32(14)).astype(np.int32)] = np.arange(len(pairs))
     if not len(pairs):
         return pairs, np.zeros(0, np.int64), np.zeros(0, np.int64)
     which = table[buckets]
