@@ -10,11 +10,19 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Chunks whose ids a worker remembers, at most.
-MEMORY = 500_000
+#: Chunks whose ids a worker remembers: so many new ones, then those of before that it doesn't meet again go.
+MEMORY = 750_000
+
+# Byte-level vocabularies write each byte as one printable character (fixed values of the format).
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_MARKS = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+
+#: Chunks that are looked up together.
+SLICE = 200_000
 
 #: White space, a space, then white space or the end: only there can a pre-token of byte-level BPE reach
 #: over the place before a space.
+_LETTERS = re.compile(r"[^\W\d_]*")
 _JOINED = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -22,8 +30,8 @@ class Encoder:
     """Ids as the library gives them with add_special_tokens=False, truncation and padding off.
 
     With plain byte-level BPE a pre-token never reaches over the place before a single space, so a text's
-    ids are those of its chunks from space to space.  The library encodes each chunk once; a dictionary of
-    bounded size remembers it.  Texts with runs of white space that end in a space, or with the string of an
+    ids are those of its chunks from space to space.  The library encodes each chunk once; a memory of
+    bounded size keeps them.  Texts with runs of white space that end in a space, or with the string of an
     added token, and any text under other pre-tokenizers, go to the library whole.
     """
 
@@ -46,31 +54,67 @@ class Encoder:
         before = said.get("pre_tokenizer") or {}
         self.chunked = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not said.get("normalizer")
         self.opens = np.array([x.startswith("Ġ") for x in self.strings])
+        # pieces with a space after another character are there for no-break spaces alone
+        self.direct = self.chunked and all("\u00c2\u0142" in x for x in self.strings if "Ġ" in x.lstrip("Ġ"))
         self.first: dict[str, bytes] = {}
+        self.rests: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         """A text's ids by the library alone."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
+    def _learn_letters(self, words: list[str]) -> None:
+        """The ids of words of letters only that follow a space: such a word is one pre-token.
+
+        The model takes several in one call.  No piece reaches from a letter over a space, so the pieces that
+        open with one are where words begin.
+        """
+        marks = (" " + " ".join(words)).encode().decode("latin-1").translate(_MARKS).split(_MARKS[32])[1:]
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            end = at + len(some)
+            found = [t.id for k in range(at, end, 8) for t in self.tokenizer.model.tokenize(_MARKS[32] + _MARKS[32].join(marks[k : min(k + 8, end)]))]
+            self._store(some, np.array(found, self.type))
+
+    def _store(self, chunks: list[str], ids: np.ndarray) -> None:
+        cuts = np.flatnonzero(self.opens[ids])
+        if len(cuts) != len(chunks):
+            self.later.update((c, self.whole(" " + c)) for c in chunks)
+            return
+        data, width = ids.tobytes(), self.type.itemsize
+        ends = [*(cuts[1:] * width).tolist(), len(data)]
+        self.later.update(zip(chunks, (data[a:b] for a, b in zip((cuts * width).tolist(), ends))))
+
     def _learn(self, chunks: Iterable[str]) -> None:
-        """The ids of chunks that follow a space, many in one call of the library."""
-        plain = []
+        """The ids of chunks that follow a space.
+
+        After a run of letters a pre-token ends, whatever follows; so a chunk that begins with letters has the
+        ids of these and those of the rest, which is rarely new.
+        """
+        letters, both, plain = [], [], []
         for c in chunks:
-            if c and not c[0].isspace() and not c[-1].isspace():
+            n = _LETTERS.match(c).end()
+            if n and self.direct and c[:n].isalpha():
+                if n == len(c):
+                    letters.append(c)
+                else:
+                    both.append((c, c[:n], c[n:]))
+            elif c and not c[0].isspace() and not c[-1].isspace():
                 plain.append(c)
             else:
                 self.later[c] = self.whole(" " + c)
+        heads = {head for _, head, _ in both}.difference(self.later).difference(letters)
+        self._learn_letters(letters + list(heads))
+        rests = list({rest for _, _, rest in both}.difference(self.rests))
+        for at in range(0, len(rests), 4096):
+            some = rests[at : at + 4096]
+            self.rests.update(zip(some, (np.array(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+        self.later.update((c, self.later[head] + self.rests[rest]) for c, head, rest in both)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.type)
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(some):
-                data, width = ids.tobytes(), self.type.itemsize
-                ends = [*(cuts[1:] * width).tolist(), len(data)]
-                self.later.update(zip(some, (data[a:b] for a, b in zip((cuts * width).tolist(), ends))))
-            else:
-                self.later.update((c, self.whole(" " + c)) for c in some)
+            self._store(some, np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.type))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, in ``self.type``."""
@@ -84,14 +128,19 @@ class Encoder:
         at = 0
         while at < len(split):  # so many texts at a time that new chunks are few
             end, size = at, 0
-            while end < len(split) and size < 100_000:
+            while end < len(split) and size < SLICE:
                 size += len(split[end][1])
                 end += 1
             heads = [chunks.pop(0) for _, chunks in split[at:end]]
-            here = set().union(*(chunks for _, chunks in split[at:end]))
-            if len(self.later) + len(self.first) > MEMORY:  # what is in use just now stays
-                self.first, self.later = {}, {c: self.later[c] for c in here if c in self.later}
-            self._learn(here.difference(self.later))
+            if len(self.later) + len(self.first) > MEMORY:
+                self.first, self.later, self.before = {}, {}, self.later
+            if len(self.rests) > MEMORY // 4:
+                self.rests = {}
+            new = set().union(*(chunks for _, chunks in split[at:end])).difference(self.later)
+            again = list(filter(self.before.__contains__, new))
+            self.later.update(zip(again, map(self.before.__getitem__, again)))
+            new.difference_update(again)
+            self._learn(new)
             get = self.later.__getitem__
             for head, (k, chunks) in zip(heads, split[at:end]):
                 if head not in self.first:
