@@ -147,6 +147,34 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     return Models(names, np.log(table / table.sum(axis=0)) if names else table)
 
 
+def _predictions(models: Models, texts: list[str], memory: dict) -> list:
+    """The proportions of each text, or None.  ``memory`` holds words' likelihoods from call to call."""
+    known, rows = memory.setdefault("known", {}), memory.get("rows", np.zeros((0, len(models.languages))))
+    lettered = [k for k, x in enumerate(texts) if any(map(str.isalpha, x)) and models.languages]
+    shares: list = [None] * len(texts)
+    at = 0
+    while at < len(lettered):
+        end, flat, sizes = at, [], []
+        while end < len(lettered) and len(flat) * max(4, len(models.languages)) < 1_000_000:
+            own = words_of(texts[lettered[end]])
+            flat += own
+            sizes.append(len(own))
+            end += 1
+        if len(known) * len(models.languages) > MEMORY:
+            known.clear()
+            rows = rows[:0]
+        new = list(set(flat).difference(known))
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            rows = np.concatenate([rows, models.of_words(new)])
+        index = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        for k, share in zip(lettered[at:end], mixtures(rows[index], np.array(sizes))):
+            shares[k] = share
+        at = end
+    memory["rows"] = rows
+    return shares
+
+
 def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each row the id, ``lang_pred``, ``score`` (the proportion of that language) and ``languages`` (of all
     that are in the text).
@@ -156,32 +184,11 @@ def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
     """
     kind = docs.schema[id_col].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(models)
-    schema = f"_id {kind}, lang_pred string, score double, languages map<string,double>"
 
     def run(batches):
-        models, known, rows = held.value, {}, np.zeros((0, len(held.value.languages)))
+        models, memory = held.value, {}
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            lettered = [k for k, x in enumerate(texts) if any(map(str.isalpha, x)) and models.languages]
-            shares: list = [None] * len(texts)
-            at = 0
-            while at < len(lettered):
-                end, flat, sizes = at, [], []
-                while end < len(lettered) and len(flat) * max(4, len(models.languages)) < 1_000_000:
-                    own = words_of(texts[lettered[end]])
-                    flat += own
-                    sizes.append(len(own))
-                    end += 1
-                if len(known) * len(models.languages) > MEMORY:
-                    known, rows = {}, rows[:0]
-                new = list(set(flat).difference(known))
-                if new:
-                    known.update(zip(new, range(len(known), len(known) + len(new))))
-                    rows = np.concatenate([rows, models.of_words(new).astype(np.float64)])
-                index = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-                for k, share in zip(lettered[at:end], mixtures(rows[index], np.array(sizes))):
-                    shares[k] = share
-                at = end
+            shares = _predictions(models, [x or "" for x in b.column(1).to_pylist()], memory)
             best = [None if x is None else int(x.argmax()) for x in shares]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -191,10 +198,27 @@ def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
                 ["_id", "lang_pred", "score", "languages"],
             )
 
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"_id {kind}, lang_pred string, score double, languages map<string,double>")
     return got.withColumnRenamed("_id", id_col)
 
 
+def with_main_language(docs: DataFrame, models: Models, share: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that have a language of at least ``share`` of the text.
+
+    Texts that ``predict`` calls ``und`` are not among them.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(models)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        models, memory = held.value, {}
+        for b in batches:
+            shares = _predictions(models, [x or "" for x in b.column(at).to_pylist()], memory)
+            yield b.filter(pa.array([x is not None and float(x.max()) >= share for x in shares], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows kept from fitting: CRC-32 of the id as text leaves 2 when divided by 4.  A null id is not."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

@@ -258,3 +258,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     rows = rows.filter("_digest IS NOT NULL")
     out = rows.join(hot, "_digest").unionByName(rows.join(hot.select("_digest"), "_digest", "left_anti").join(cold, "_digest")).drop("_rows").unionByName(empty)
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), (F.col("_id") == F.col("_component")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose id is the smallest of its component."""
+    found = near_duplicates(docs, shingle, percent, id_col, text_col)
+    gone = written(found.filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    return docs.join(bounded(gone, gone.count(), 16), F.col(id_col) == F.col("_gone"), "left_anti")

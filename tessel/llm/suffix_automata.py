@@ -295,7 +295,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     return spans.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_low", "_high")).alias("_spans")).select("_id", "_hash", F.flatten("_spans._low").alias("_low"), F.flatten("_spans._high").alias("_high"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row of ``docs`` without the words that a repeated window covers.
 
     Words are runs of other characters than space and U+0009 to U+000D.  A window of ``window`` consecutive
@@ -305,15 +305,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     Returns the id, ``n_words``, ``n_removed`` and ``text``: a text from which nothing is taken as it was (null
     stays null), else the words left, joined by one space.  With ``digest``, ``kept_sha256`` of the words left
-    joined by one space is in its place.
+    joined by one space is in its place.  The columns of ``carry`` come along as they are.
     """
+    carried = [F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)]
     kind = docs.schema[id_col].dataType.simpleString()
     spans = written(repeated_spans(docs, window, id_col, text_col), "spans")
     spans = spans.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_low", "_high")
     size = spans.agg(F.count("*").alias("rows"), F.sum(F.size("_low")).alias("n")).first()
     near = bounded(spans, 1, 80 * size["rows"] + 8 * (size["n"] or 0))
-    slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
-    both = slim.join(near, same(F.col("_id"), F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left").select("_id", "_text", "_low", "_high")
+    slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).cast("string").alias("_text"), *carried)
+    both = slim.join(near, same(F.col("_id"), F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left").select("_id", "_text", "_low", "_high", *(f"_carry{k}" for k in range(len(carry))))
 
     def run(batches):
         for b in batches:
@@ -334,7 +335,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 else:
                     out.append(text if n == len(words) else b" ".join(words))
             last = pa.array(out, pa.string()) if digest else pa.array(out, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), last], ["_id", "n_words", "n_removed", "kept_sha256" if digest else "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), last, *b.columns[4:]], ["_id", "n_words", "n_removed", "kept_sha256" if digest else "text", *names])
 
-    got = both.mapInArrow(run, f"_id {kind}, n_words long, n_removed long, " + ("kept_sha256" if digest else "text") + " string")
-    return got.withColumnRenamed("_id", id_col)
+    names = [f"_carry{k}" for k in range(len(carry))]
+    kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry))
+    got = both.mapInArrow(run, f"_id {kind}, n_words long, n_removed long, " + ("kept_sha256" if digest else "text") + " string" + kinds)
+    return got.withColumnsRenamed({"_id": id_col, **dict(zip(names, carry))})
