@@ -1,0 +1,500 @@
+"""Queries over the given tables: each operator, and the SQL that gives the same rows.
+
+The tables hold no source files, manifests or registry answers.  Frames of these are derived from ``part``,
+``orders`` and others by SQL that both engines run (``{part}`` is a table's name there); what is computed
+from them is written twice, as operators and as plain SQL.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessel.functions import names
+from tessel.functions.risk import is_stacked, risk
+from tessel.functions.text import entropy
+from tessel.operators import secrets
+from tessel.operators.classify import ghost_can_block, known_state, state_severity
+from tessel.operators.evidence import with_scope_evidence, without_internal
+from tessel.operators.imports import first_seen, import_refs
+from tessel.operators.lines import explode_lines
+from tessel.operators.manifests import cargo_refs, go_mod_refs, manifest_refs
+from tessel.operators.refs import merged, with_budget
+from tessel.operators.verdict import distinct_findings, listed, results, summary
+from tessel.plans.preflight import preflight, scans
+from tessel.sources.known_names import ROWS as KNOWN_ROWS
+from tessel.sources.known_names import known_names, with_known
+from tessel.sources.registry import age_days, request_url, with_registry
+from tessel.sources.requests import parse_messages, validate_files, validate_reports
+
+AS_OF = "1998-08-02 00:00:00"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def base(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A frame from SQL over the tables that it names in braces."""
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", sql))})
+
+
+def plain(sql: str) -> str:
+    return re.sub(r"\{(\w+)\}", r"\1", sql)
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = plain(oracle)
+        return f
+
+    return add
+
+
+# ---- frames that both engines derive ----
+
+DOC_FILES = "SELECT doc_id AS scan_id, CAST(0 AS INT) AS file_ord, CASE doc_id % 3 WHEN 0 THEN 'tests/d' WHEN 1 THEN 'dist/d' ELSE 'src/d' END || CAST(doc_id AS STRING) || '.txt' AS path, text AS content FROM {documents}"
+
+PATHS = """SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'src/' WHEN 1 THEN 'a/tests/' ELSE 'win\\dist\\' END || CASE p_partkey % 20
+    WHEN 0 THEN 'm.py' WHEN 1 THEN 'M.PYW' WHEN 2 THEN 'x.ts' WHEN 3 THEN 'x.MJS' WHEN 4 THEN 'lib.rs' WHEN 5 THEN 'main.go' WHEN 6 THEN 'a.rb' WHEN 7 THEN 'package.json' WHEN 8 THEN 'Cargo.toml'
+    WHEN 9 THEN 'go.mod' WHEN 10 THEN 'Gemfile' WHEN 11 THEN 'composer.json' WHEN 12 THEN 'dev-Requirements-ci.txt' WHEN 13 THEN 'requirements.txt' WHEN 14 THEN 'package.json.bak' WHEN 15 THEN 'test_a.py'
+    WHEN 16 THEN 'a.spec.js' WHEN 17 THEN 'a.min.js' WHEN 18 THEN 'noext' ELSE 'x.pyi' END AS path FROM {part}"""
+PATHS = PATHS.replace("\\\\", "\\")
+
+# A scan is a brand; each part is a file of a few lines.
+WORD = "replace(p_name, ' ', '_')"
+SOURCE_FILES = f"""SELECT p_brand AS scan_id, CAST(p_partkey AS INT) AS file_ord, 'src/m' || CAST(p_partkey AS STRING) || CASE p_partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.rs' ELSE '.go' END AS path,
+    CASE p_partkey % 4
+    WHEN 0 THEN 'import os, ' || {WORD} || chr(10) || '  from ' || {WORD} || '.sub import x' || chr(10) || 'x = 1' || chr(10) || 'import ' || {WORD} || ' as y'
+    WHEN 1 THEN 'import a from "' || {WORD} || '/deep"' || chr(10) || 'const b = require("@s' || CAST(p_size AS STRING) || '/' || {WORD} || '")' || chr(10) || 'export * from ''@' || {WORD} || '/x/y''' || chr(10) || 'import fs from "node:fs"; import("./rel")'
+    WHEN 2 THEN 'use std::fs;' || chr(10) || 'pub use ' || {WORD} || '::A;' || chr(10) || 'extern crate ' || {WORD} || '_sys;'
+    ELSE 'package main' || chr(10) || 'import (' || chr(10) || '  "fmt"' || chr(10) || '  x "github.com/o/' || {WORD} || '/v2"' || chr(10) || ')' || chr(10) || '"github.com/not/in_block"' || chr(10) || 'import "gopkg.in/' || {WORD} || '.v3/sub"'
+    END AS content FROM {{part}}"""
+
+REQUIREMENTS = f"""SELECT p_partkey AS k, CASE p_partkey % 8 WHEN 0 THEN {WORD} || '==1.0' WHEN 1 THEN '# ' || p_name WHEN 2 THEN '-r other.txt' WHEN 3 THEN {WORD} || '[x]>=2 # note' WHEN 4 THEN './local/' || {WORD}
+    WHEN 5 THEN 'pkg @ https://x.example/' || {WORD} WHEN 6 THEN '  ' || replace({WORD}, '_', '.') || ' ; python_version > "3"' ELSE 'git+https://x.example/' || {WORD} END AS line FROM {{part}}"""
+
+GEMS = f"""SELECT p_partkey AS k, CASE p_partkey % 7 WHEN 0 THEN 'gem "' || {WORD} || '"' WHEN 1 THEN '  gem ''' || {WORD} || ''', "~> 1"' WHEN 2 THEN '# gem "' || {WORD} || '"' WHEN 3 THEN 'gem "' || {WORD} || '", path: "x"'
+    WHEN 4 THEN 'gem "' || {WORD} || '", :git => "x"' WHEN 5 THEN 'gemspec' ELSE 'gem "' || {WORD} || '", require: false' END AS line FROM {{part}}"""
+
+CARGO_FILES = f"""SELECT p_brand AS scan_id, CAST(p_partkey AS INT) AS file_ord, 'Cargo.toml' AS path, '[package]' || chr(10) || 'name = "x"' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN '[dependencies]' WHEN 1 THEN '[target.unix.dev-dependencies]' ELSE '[features]' END || chr(10)
+    || {WORD} || ' = "1"' || chr(10) || 'b' || CAST(p_size AS STRING) || ' = {{{{ path = "../b" }}}}' || chr(10) || 'c = {{{{ package = "real-' || {WORD} || '" }}}}' || chr(10) || 'd = true' AS content FROM {{part}}""".replace("{{{{", "{").replace("}}}}", "}")
+
+GO_MODS = f"""SELECT p_brand AS scan_id, CAST(p_partkey AS INT) AS file_ord, 'go.mod' AS path, 'module x.example/y' || chr(10) || 'require github.com/one/' || {WORD} || ' v1.2.3' || chr(10) || 'require (' || chr(10) || '  gitlab.com/two/' || {WORD} || ' v0.1.0'
+    || chr(10) || '  bitbucket.org/three/' || {WORD} || ' v2.0.0 // indirect' || chr(10) || ')' || chr(10) || 'example.com/outside/x v1.0.0' || chr(10) || 'replace ' || CASE p_partkey % 2 WHEN 0 THEN 'gitlab.com/two/' || {WORD} ELSE 'gitlab.com/two/other' END || ' => ../local' AS content FROM {{part}}"""
+
+SPECS = f"""SELECT p_partkey AS k, {WORD} AS name, CASE p_partkey % 9 WHEN 0 THEN '^1.0' WHEN 1 THEN 'npm:real@2' WHEN 2 THEN 'npm:@s/real@2' WHEN 3 THEN 'workspace:*' WHEN 4 THEN 'file:../x' WHEN 5 THEN 'user/repo' WHEN 6 THEN 'git+ssh://x' WHEN 7 THEN 'https://x.example/a.tgz' ELSE '*' END AS spec FROM {{part}}"""
+
+REFS = f"""SELECT p_brand AS scan_id, CAST(p_partkey % 50 AS INT) AS file_ord, 'f' || CAST(p_partkey % 50 AS STRING) AS path, CAST(p_partkey % 7 AS INT) AS line, CAST(p_partkey AS INT) AS seg,
+    CASE p_partkey % 5 WHEN 0 THEN {WORD} WHEN 1 THEN '@sc' || CAST(p_size % 6 AS STRING) || '/' || {WORD} WHEN 2 THEN CASE p_size % 3 WHEN 0 THEN 'Flask-GPT' WHEN 1 THEN 'react_gpt' ELSE 'huggingface-cli' END WHEN 3 THEN 'n' || CAST(p_size AS STRING) ELSE '@sc1/n' || CAST(p_size AS STRING) END AS pkg,
+    CASE p_partkey % 3 WHEN 0 THEN 'pypi' WHEN 1 THEN 'npm' ELSE 'crates' END AS ecosystem FROM {{part}}"""
+
+EVIDENCE = """SELECT DISTINCT p_brand AS scan_id, CASE p_size % 2 WHEN 0 THEN 'exact' ELSE 'prefix' END AS kind, CASE p_size % 4 WHEN 0 THEN 'n' || CAST(p_size AS STRING) WHEN 1 THEN '@sc' || CAST(p_size % 6 AS STRING) || '/' WHEN 2 THEN '@sc2/z' ELSE 'lib/' END AS value FROM {part} WHERE p_size < 12"""
+
+SIGNALS = """SELECT p_partkey AS k, p_partkey % 17 <> 0 AS exists, p_partkey % 19 = 0 AS unreachable, p_partkey % 4 = 0 AS is_new, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(p_size AS INT) END AS age_days,
+    CASE p_partkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 3 WHEN 2 THEN 49 WHEN 3 THEN 500 WHEN 4 THEN 5000 WHEN 5 THEN 100001 WHEN 6 THEN 2000000 ELSE 999 END AS weekly_downloads,
+    CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS has_repository, p_partkey % 11 = 0 AS has_provenance, p_partkey % 2 = 0 AS has_install_scripts, p_partkey % 5 = 0 AS is_deprecated,
+    CASE p_partkey % 13 WHEN 0 THEN NULL ELSE CAST(p_partkey % 3 AS INT) END AS maintainers, p_partkey % 29 = 0 AS security_holding, p_partkey % 23 = 0 AS known_name, CASE p_partkey % 31 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE NULL END AS typo_distance FROM {part}"""
+
+FINDINGS = """SELECT o_custkey % 97 AS scan_id, CAST(o_orderkey % 3 AS INT) AS rank, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN 'ghost_package' ELSE 'hardcoded_secret' END AS type, CASE WHEN o_custkey % 97 % 3 = 0 THEN 'warning' WHEN o_orderpriority = '1-URGENT' THEN 'critical' ELSE 'warning' END AS severity,
+    o_orderpriority AS title, 'd' AS description, 'f' || CAST(o_orderkey % 20 AS STRING) AS file, CAST(o_orderkey % 10 AS INT) AS line, 'r' AS recommendation, CAST(NULL AS STRING) AS cve FROM {orders} WHERE o_custkey % 97 <> 5"""
+
+
+# ---- lines and secrets ----
+
+@query("q_lines", f"SELECT scan_id, CAST(i AS INT) AS line, string_split(content, chr(10))[i] AS text FROM ({DOC_FILES}) d, range(1, len(string_split(content, chr(10))) + 1) r(i)")
+def q_lines(spark, sf_dir):
+    return explode_lines(base(spark, sf_dir, DOC_FILES)).select("scan_id", "line", "text")
+
+
+SQL_LINES = f"(SELECT scan_id, path, CAST(i AS INT) AS line, string_split(content, chr(10))[i] AS text FROM ({DOC_FILES}) d, range(1, len(string_split(content, chr(10))) + 1) r(i))"
+SQL_SCANNED = f"(SELECT * FROM {SQL_LINES} WHERE trim(text) <> '' AND NOT starts_with(trim(text), '//') AND NOT starts_with(trim(text), '#'))"
+
+
+@query("q_scanned_lines", f"SELECT scan_id, count(*) AS n FROM {SQL_SCANNED} GROUP BY scan_id")
+def q_scanned_lines(spark, sf_dir):
+    return explode_lines(base(spark, sf_dir, DOC_FILES)).filter(secrets.is_scanned(F.col("text"))).groupBy("scan_id").agg(F.count("*").alias("n"))
+
+
+SQL_ASSIGNED = f"""(SELECT scan_id, path, line, CAST(k AS INT) AS place, names[k] AS name, vals[k] AS value FROM (SELECT *, regexp_extract_all(text, '{secrets.ASSIGNED.replace("'", "''")}', 1) AS names, regexp_extract_all(text, '{secrets.ASSIGNED.replace("'", "''")}', 2) AS vals FROM {SQL_SCANNED}) x,
+    range(1, len(names) + 1) r(k))"""
+
+
+def assigned(spark, sf_dir):
+    rows = explode_lines(base(spark, sf_dir, DOC_FILES)).filter(secrets.is_scanned(F.col("text")))
+    of = lambda k: F.regexp_extract_all("text", F.lit(secrets.ASSIGNED), k)
+    each = rows.select("scan_id", "path", "line", F.posexplode(F.arrays_zip(of(1).alias("name"), of(2).alias("value"))).alias("_k", "_x"))
+    return each.select("scan_id", "path", "line", (F.col("_k") + 1).alias("place"), "_x.name", "_x.value")
+
+
+@query("q_secret_assign", f"SELECT scan_id, line, place, name, value FROM {SQL_ASSIGNED}")
+def q_secret_assign(spark, sf_dir):
+    return assigned(spark, sf_dir).select("scan_id", "line", "place", "name", "value")
+
+
+SQL_BITS = "round(list_sum([-(len(value) - len(replace(value, c, ''))) / len(value) * log2((len(value) - len(replace(value, c, ''))) / len(value)) for c in list_distinct(string_split(value, ''))]), 6)"
+
+
+@query("q_entropy", f"SELECT scan_id, line, place, {SQL_BITS} AS bits FROM {SQL_ASSIGNED}")
+def q_entropy(spark, sf_dir):
+    return assigned(spark, sf_dir).select("scan_id", "line", "place", F.round(entropy(F.col("value")), 6).alias("bits"))
+
+
+def _sql_form(form: str) -> str:
+    return form.replace("(?!ant-)", "").replace("'", "''")
+
+
+def _sql_form_rows() -> str:
+    parts = []
+    for _, family, form, severity in secrets.FORMS:
+        found = f"regexp_extract_all(text, '{_sql_form(form)}')"
+        if "(?!ant-)" in form:
+            found = f"list_filter({found}, lambda m: NOT starts_with(m, 'sk-ant-'))"
+        examples = ", ".join(f"'{x}'" for x in secrets.EXAMPLES)
+        all_examples = f"len(list_filter({found}, lambda m: m NOT IN ({examples}))) = 0"
+        parts.append(f"SELECT scan_id, path, line, 'hardcoded_secret' AS type, CASE WHEN {all_examples} THEN 'warning' ELSE '{severity}' END AS severity, CASE WHEN {all_examples} THEN '{family} (a documented example)' ELSE '{family}' END AS title FROM {SQL_SCANNED} WHERE len({found}) > 0")
+    return " UNION ALL ".join(parts)
+
+
+_KEY = " OR ".join(f"contains(lower(name), '{k}')" for k in secrets.KEYWORDS)
+SQL_JUDGED = f"""(SELECT *, CASE kind WHEN 'hex' THEN {secrets.THRESHOLDS["hex"]} WHEN 'base64' THEN {secrets.THRESHOLDS["base64"]} ELSE {secrets.THRESHOLDS["other"]} END AS least FROM (SELECT *, {SQL_BITS} AS bits, ({_KEY}) AS has_key,
+    CASE WHEN regexp_matches(value, '^[0-9A-Fa-f]+$') THEN 'hex' WHEN regexp_matches(value, '^[A-Za-z0-9+/=_-]+$') THEN 'base64' ELSE 'other' END AS kind FROM {SQL_ASSIGNED}))"""
+SQL_ENTROPY = f"""SELECT scan_id, path, line, 'high_entropy_secret' AS type, CASE WHEN sure >= 0.8 THEN 'critical' ELSE 'warning' END AS severity, 'High-entropy ' || kind || ' string' AS title FROM (
+    SELECT *, row_number() OVER (PARTITION BY scan_id, line ORDER BY place) AS rn FROM (SELECT *, least(1.0, CAST(0.5 AS DOUBLE) + (bits - least) * 0.2 + CASE WHEN has_key THEN 0.3 ELSE 0.0 END) AS sure FROM {SQL_JUDGED}) WHERE bits >= least AND (sure >= 0.55 OR has_key)) WHERE rn = 1"""
+SQL_TEST = r"regexp_matches(path, '(?i)(?:^|[\\/])(?:__tests__|__mocks__|fixtures?|testdata|tests?)[\\/]|\.(?:test|spec)\.[^\\/]+$|(?:^|[\\/])test_[^\\/]*\.py$|_test\.py$|(?:^|[\\/])conftest\.py$')"
+SQL_GENERATED = r"regexp_matches(path, '(?i)(?:^|[\\/])(?:compiled|dist|build|vendor|vendored|third_party|node_modules)[\\/]|\.min\.(?:js|css)$|\.bundle\.js$')"
+SQL_SECRETS = f"(SELECT scan_id, path AS file, line, type, title, CASE WHEN severity = 'critical' AND ({SQL_TEST} OR {SQL_GENERATED}) THEN 'warning' ELSE severity END AS severity FROM ({_sql_form_rows()} UNION ALL {SQL_ENTROPY}))"
+
+
+@query("q_secret_findings", f"SELECT scan_id, file, line, type, title, severity FROM {SQL_SECRETS}")
+def q_secret_findings(spark, sf_dir):
+    return secrets.secret_findings(base(spark, sf_dir, DOC_FILES)).select("scan_id", "file", "line", "type", "title", "severity")
+
+
+@query("q_secret_summary", f"SELECT source, type, severity, count(*) AS n FROM {SQL_SECRETS} s JOIN documents d ON d.doc_id = s.scan_id GROUP BY source, type, severity")
+def q_secret_summary(spark, sf_dir):
+    found = secrets.secret_findings(base(spark, sf_dir, DOC_FILES))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("scan_id"), "source")
+    return found.join(docs, "scan_id").groupBy("source", "type", "severity").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q_verdict",
+    f"""SELECT scan_id, 1 AS files_checked, critical, warnings, CASE WHEN critical > 0 THEN 'BLOCKED' WHEN warnings > 0 THEN 'REVIEW_REQUIRED' ELSE 'CLEAR' END AS verdict FROM (
+    SELECT d.doc_id AS scan_id, count(DISTINCT CASE WHEN severity = 'critical' THEN (line, type, title) END) AS critical, count(DISTINCT CASE WHEN severity = 'warning' THEN (line, type, title) END) AS warnings FROM {{documents}} d LEFT JOIN {SQL_SECRETS} s ON s.scan_id = d.doc_id GROUP BY d.doc_id)""",
+)
+def q_verdict(spark, sf_dir):
+    """The flagship: each document as a scan, from its lines to a verdict."""
+    files = base(spark, sf_dir, DOC_FILES)
+    found = secrets.secret_findings(files).withColumns({"rank": F.lit(3), "ord": F.col("line").cast("long") * 100 + F.col("seq")})
+    return summary(scans(files), distinct_findings(found))
+
+
+@query("q_path_downgrade", f"SELECT page_id, CASE WHEN {SQL_TEST} THEN 'test' WHEN {SQL_GENERATED} THEN 'generated' END AS place FROM (SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '/tests/a.py' WHEN 1 THEN '/dist/a.js' WHEN 2 THEN '/a.min.js' WHEN 3 THEN '/test_a.py' ELSE '/distance.ts' END AS path FROM {{pages}})")
+def q_path_downgrade(spark, sf_dir):
+    rows = base(spark, sf_dir, "SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '/tests/a.py' WHEN 1 THEN '/dist/a.js' WHEN 2 THEN '/a.min.js' WHEN 3 THEN '/test_a.py' ELSE '/distance.ts' END AS path FROM {pages}")
+    return rows.select("page_id", secrets.place(F.col("path")).alias("place"))
+
+
+# ---- names in paths, lines and specifiers ----
+
+@query(
+    "q_paths",
+    f"""SELECT k, base, CASE WHEN regexp_matches(path, '(?i)\\.(py|pyw|pyi)$') THEN 'pypi' WHEN regexp_matches(path, '(?i)\\.(js|jsx|ts|tsx|mjs|cjs|mts|cts)$') THEN 'npm' WHEN regexp_matches(path, '(?i)\\.rs$') THEN 'crates' WHEN regexp_matches(path, '(?i)\\.go$') THEN 'go' END AS ecosystem,
+    CASE WHEN base = 'package.json' THEN 'package.json' WHEN base = 'Cargo.toml' THEN 'cargo' WHEN base = 'go.mod' THEN 'gomod' WHEN base = 'Gemfile' THEN 'gemfile' WHEN base = 'composer.json' THEN 'composer' WHEN regexp_matches(base, '(?i)requirements.*\\.txt$') THEN 'requirements' END AS manifest
+    FROM (SELECT *, regexp_extract(path, '[^/\\\\]*$') AS base FROM ({PATHS}))""",
+)
+def q_paths(spark, sf_dir):
+    path = F.col("path")
+    rows = base(spark, sf_dir, PATHS.replace("\\", "\\\\"))
+    return rows.select("k", names.basename(path).alias("base"), names.ecosystem_of_path(path).alias("ecosystem"), names.manifest_kind(path).alias("manifest"))
+
+
+SQL_SOURCE_LINES = f"(SELECT scan_id, file_ord, path, CAST(i AS INT) AS line, string_split(content, chr(10))[i] AS text FROM ({SOURCE_FILES}) d, range(1, len(string_split(content, chr(10))) + 1) r(i))"
+_STD = "('os', 'sys', 're', 'json', 'math', 'time')"
+SQL_PY = f"(SELECT scan_id, file_ord, path, line, CAST(j - 1 AS INT) AS seg, 'pypi' AS ecosystem, replace(regexp_extract(segs[j], '^\\s*(?:import|from)\\s+([A-Za-z][A-Za-z0-9_-]*)(?:\\s|$|\\.)', 1), '_', '-') AS pkg FROM (SELECT *, CASE WHEN regexp_matches(text, '^\\s*import\\s+.+$') THEN list_transform(string_split(regexp_extract(text, '^\\s*import\\s+(.+)$', 1), ','), lambda s: 'import ' || trim(s)) ELSE [text] END AS segs FROM {SQL_SOURCE_LINES} WHERE path LIKE '%.py') x, range(1, len(segs) + 1) r(j))"
+SQL_PY = f"(SELECT * FROM {SQL_PY} WHERE pkg <> '' AND pkg NOT IN {_STD})"
+_Q = """(?:''([^''"./~#][^''"]*)''|"([^''"./~#][^''"]*)")"""
+
+
+def _sql_spec(pattern: str) -> str:
+    return f"nullif(regexp_extract(text, '{pattern}', 1) || regexp_extract(text, '{pattern}', 2), '')"
+
+
+_ROOT = "CASE WHEN starts_with(s, '@') THEN array_to_string(string_split(s, '/')[1:2], '/') ELSE string_split(s, '/')[1] END"
+SQL_NPM = f"""(SELECT scan_id, file_ord, path, line, 0 AS seg, 'npm' AS ecosystem, CASE WHEN form = 4 THEN string_split(s, '/')[1] ELSE {_ROOT} END AS pkg FROM (
+    SELECT *, coalesce(a, b, c, d, e) AS s, CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 WHEN c IS NOT NULL THEN 3 WHEN d IS NOT NULL THEN 4 ELSE 5 END AS form FROM (SELECT *, {_sql_spec('import\\s+(?:[^' + "''" + '"]*\\s+from\\s+)?' + _Q)} AS a,
+    {_sql_spec('import\\s*\\(\\s*' + _Q + '\\s*\\)')} AS b, {_sql_spec('export\\s+[^' + "''" + '"]*\\bfrom\\s+' + _Q)} AS c, {_sql_spec('require\\s*\\(\\s*' + _Q + '\\s*\\)')} AS d, {_sql_spec('^\\s*\\}?\\s*from\\s+' + _Q)} AS e FROM {SQL_SOURCE_LINES} WHERE path LIKE '%.ts')) WHERE s IS NOT NULL)"""
+SQL_NPM = f"(SELECT * FROM {SQL_NPM} WHERE NOT starts_with(pkg, 'node:') AND pkg NOT IN ('fs', 'path') AND regexp_matches(pkg, '(?i)^(@[a-z0-9~][\\w.~-]*/)?[a-z0-9~][\\w.~-]*$'))"
+SQL_RUST = f"(SELECT scan_id, file_ord, path, line, 0 AS seg, 'crates' AS ecosystem, regexp_extract(text, '^\\s*(?:pub\\s+)?(?:use|extern\\s+crate)\\s+([A-Za-z_][A-Za-z0-9_-]*)', 1) AS pkg FROM {SQL_SOURCE_LINES} WHERE path LIKE '%.rs')"
+SQL_RUST = f"(SELECT * FROM {SQL_RUST} WHERE pkg NOT IN ('', 'std', 'core', 'alloc', 'crate', 'self', 'super', 'proc_macro', 'test'))"
+SQL_GO = f"""(SELECT scan_id, file_ord, path, line, 0 AS seg, 'go' AS ecosystem, CASE WHEN parts[1] IN ('github.com', 'gitlab.com', 'bitbucket.org') AND len(parts) >= 3 THEN array_to_string(parts[1:3], '/') WHEN parts[1] = 'gopkg.in' AND contains(parts[2], '.v') THEN array_to_string(parts[1:2], '/') END AS pkg FROM (
+    SELECT *, string_split(coalesce(nullif(regexp_extract(text, '^\\s*import\\s+(?:[A-Za-z_.][\\w.]*\\s+)?"([^"]+)"', 1), ''), CASE WHEN inside THEN regexp_extract(text, '^\\s*(?:[A-Za-z_.][\\w.]*\\s+)?"([^"]+)"\\s*$', 1) END), '/') AS parts FROM (
+    SELECT *, coalesce(last_value(CASE WHEN regexp_matches(text, '^\\s*import\\s*\\(') THEN true WHEN regexp_matches(text, '^\\s*\\)') THEN false END IGNORE NULLS) OVER (PARTITION BY scan_id, file_ord ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside FROM {SQL_SOURCE_LINES} WHERE path LIKE '%.go')))"""
+SQL_GO = f"(SELECT * FROM {SQL_GO} WHERE pkg IS NOT NULL)"
+for _name, _sql in (("py", SQL_PY), ("npm", SQL_NPM), ("rust", SQL_RUST), ("go", SQL_GO)):
+    ORACLE_SQL[f"q_{_name}_imports"] = plain(f"SELECT scan_id, file_ord, line, pkg FROM {_sql}")
+
+
+def _imports(ecosystem: str):
+    def run(spark, sf_dir):
+        return import_refs(base(spark, sf_dir, SOURCE_FILES)).filter(F.col("ecosystem") == ecosystem).select("scan_id", "file_ord", "line", "pkg")
+
+    return run
+
+
+QUERIES |= {"q_py_imports": _imports("pypi"), "q_npm_imports": _imports("npm"), "q_rust_imports": _imports("crates"), "q_go_imports": _imports("go")}
+
+SQL_IMPORTS = " UNION ALL ".join(f"SELECT scan_id, file_ord, path, line, seg, ecosystem, pkg FROM {x}" for x in (SQL_PY, SQL_NPM, SQL_RUST, SQL_GO))
+
+
+@query("q_first_seen", f"SELECT scan_id, ecosystem, pkg, file_ord, line FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, ecosystem, pkg ORDER BY file_ord, line, seg) AS rn FROM ({SQL_IMPORTS})) WHERE rn = 1")
+def q_first_seen(spark, sf_dir):
+    return first_seen(import_refs(base(spark, sf_dir, SOURCE_FILES))).select("scan_id", "ecosystem", "pkg", "file_ord", "line")
+
+
+@query(
+    "q_requirements",
+    f"""SELECT k, pkg FROM (SELECT k, CASE WHEN bare = '' OR regexp_matches(bare, '^[-./]') OR contains(bare, '://') OR contains(bare, ' @ ') THEN NULL ELSE nullif(translate(regexp_extract(bare, '^([A-Za-z0-9][A-Za-z0-9._-]*)', 1), '._', '--'), '') END AS pkg
+    FROM (SELECT k, trim(regexp_replace(line, '(?s)(^|\\s)#.*', '')) AS bare FROM ({REQUIREMENTS}))) WHERE pkg IS NOT NULL""",
+)
+def q_requirements(spark, sf_dir):
+    return base(spark, sf_dir, REQUIREMENTS).select("k", names.requirement_of_line(F.col("line")).alias("pkg")).filter("pkg IS NOT NULL")
+
+
+@query("q_gemfile", f"""SELECT k, regexp_extract(trim(line), '^gem\\s+["'']([A-Za-z0-9._-]+)["'']', 1) AS pkg FROM ({GEMS}) WHERE regexp_matches(trim(line), '^gem\\s+["'']([A-Za-z0-9._-]+)["'']') AND NOT regexp_matches(line, '[\\s,:](path|git|github|gist|branch)\\s*(:|=>)')""")
+def q_gemfile(spark, sf_dir):
+    return base(spark, sf_dir, GEMS).select("k", names.gem_of_line(F.col("line")).alias("pkg")).filter("pkg IS NOT NULL")
+
+
+@query("q_cargo", f"SELECT p_brand AS scan_id, CAST(p_partkey AS INT) AS file_ord, u.line, u.pkg FROM {{part}}, (VALUES (4, 'a'), (6, 'c')) v(n, w), LATERAL (SELECT CAST(n AS INT) AS line, CASE w WHEN 'a' THEN {WORD} ELSE 'real-' || {WORD} END AS pkg) u WHERE p_partkey % 3 < 2")
+def q_cargo(spark, sf_dir):
+    return cargo_refs(explode_lines(spark_files(spark, sf_dir, CARGO_FILES))).select("scan_id", "file_ord", "line", "pkg")
+
+
+def spark_files(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """As ``base``, for SQL whose texts have braces: only a known table's name is one there."""
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("tessel_part")
+    return spark.sql(sql.replace("{part}", "tessel_part"))
+
+
+@query(
+    "q_gomod",
+    f"SELECT p_brand AS scan_id, CAST(p_partkey AS INT) AS file_ord, u.line, u.pkg FROM {{part}}, (VALUES (2, 'github.com/one/'), (4, 'gitlab.com/two/'), (5, 'bitbucket.org/three/')) v(n, w), LATERAL (SELECT CAST(n AS INT) AS line, w || {WORD} AS pkg) u WHERE NOT (n = 4 AND p_partkey % 2 = 0)",
+)
+def q_gomod(spark, sf_dir):
+    return go_mod_refs(explode_lines(base(spark, sf_dir, GO_MODS))).select("scan_id", "file_ord", "line", "pkg")
+
+
+@query("q_npm_specs", f"SELECT k, CASE spec WHEN '^1.0' THEN name WHEN '*' THEN name WHEN 'npm:real@2' THEN 'real' WHEN 'npm:@s/real@2' THEN '@s/real' END AS target FROM ({SPECS})")
+def q_npm_specs(spark, sf_dir):
+    return base(spark, sf_dir, SPECS).select("k", names.npm_dependency_target(F.col("name"), F.col("spec")).alias("target"))
+
+
+COMPOSER = f"SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'php' WHEN 1 THEN 'ext-json' WHEN 2 THEN 'Vendor/' || {WORD} WHEN 3 THEN {WORD} WHEN 4 THEN 'v/' || replace(p_name, ' ', '-') ELSE 'a//b' END AS name FROM {{part}}"
+
+
+@query("q_composer_names", f"SELECT k, p % 6 IN (2, 4) AS ok FROM (SELECT k, k AS p FROM ({COMPOSER}))")
+def q_composer_names(spark, sf_dir):
+    return base(spark, sf_dir, COMPOSER).select("k", names.is_composer_package(F.col("name")).alias("ok"))
+
+
+URL_NAMES = f"SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'go' ELSE 'composer' END AS ecosystem, CASE p_partkey % 3 WHEN 0 THEN '@s/' || {WORD} WHEN 1 THEN 'github.com/Azure/' || {WORD} ELSE 'v/' || p_name END AS name FROM {{part}}"
+
+
+@query("q_request_urls", f"SELECT k, CASE ecosystem WHEN 'npm' THEN 'https://registry.npmjs.org/@s%2F' || substr(name, 4) WHEN 'go' THEN 'https://proxy.golang.org/github.com/!azure/' || substr(name, 18) || '/@latest' ELSE 'https://packagist.org/packages/' || replace(name, ' ', '%20') || '.json' END AS url FROM ({URL_NAMES})")
+def q_request_urls(spark, sf_dir):
+    return base(spark, sf_dir, URL_NAMES).select("k", request_url(F.col("ecosystem"), F.col("name")).alias("url"))
+
+
+# ---- joins ----
+
+SQL_KNOWN = "(VALUES " + ", ".join(f"('{e}:{n}', '{t}', '{d}')" for n, e, t, d in KNOWN_ROWS) + ") known(key, tier, recorded)"
+
+
+@query("q_known_join", f"SELECT scan_id, seg, pkg, tier, recorded FROM ({REFS}) r LEFT JOIN {SQL_KNOWN} ON key = ecosystem || ':' || CASE ecosystem WHEN 'crates' THEN replace(lower(pkg), '_', '-') ELSE lower(pkg) END")
+def q_known_join(spark, sf_dir):
+    return with_known(base(spark, sf_dir, REFS), known_names(spark)).select("scan_id", "seg", "pkg", "tier", "recorded")
+
+
+ANSWERS = "SELECT 'npm' AS ecosystem, 'n' || CAST(o_orderkey AS STRING) AS name, o_orderstatus <> 'P' AS exists, o_orderstatus = 'F' AND o_orderkey % 9 = 0 AS unreachable, o_orderkey % 4 = 0 AS is_new, CAST(o_orderdate AS TIMESTAMP) AS published_at FROM {orders}"
+
+
+@query("q_registry_left", f"SELECT scan_id, seg, r.pkg, coalesce(a.exists, true) AS exists, coalesce(a.unreachable, true) AS unreachable, coalesce(a.is_new, false) AS is_new FROM ({REFS}) r LEFT JOIN ({ANSWERS}) a ON a.ecosystem = r.ecosystem AND a.name = r.pkg")
+def q_registry_left(spark, sf_dir):
+    return with_registry(base(spark, sf_dir, REFS), base(spark, sf_dir, ANSWERS)).select("scan_id", "seg", "pkg", "exists", "unreachable", "is_new")
+
+
+@query("q_package_age", f"SELECT name, CAST(floor((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(published_at)) / 86400000) AS INT) AS days FROM ({ANSWERS})")
+def q_package_age(spark, sf_dir):
+    return base(spark, sf_dir, ANSWERS).select("name", age_days(F.col("published_at"), AS_OF).alias("days"))
+
+
+SQL_INTERNAL = f"(SELECT * FROM ({EVIDENCE}))"
+
+
+@query(
+    "q_internal_anti",
+    f"SELECT scan_id, seg, pkg, ecosystem FROM ({REFS}) r WHERE NOT (ecosystem = 'npm' AND EXISTS (SELECT 1 FROM {SQL_INTERNAL} e WHERE e.scan_id = r.scan_id AND (e.kind = 'exact' AND e.value = r.pkg OR e.kind = 'prefix' AND (starts_with(r.pkg, e.value) OR r.pkg || '/' = e.value))))",
+)
+def q_internal_anti(spark, sf_dir):
+    return without_internal(base(spark, sf_dir, REFS), base(spark, sf_dir, EVIDENCE)).select("scan_id", "seg", "pkg", "ecosystem")
+
+
+@query(
+    "q_scope_semi",
+    f"SELECT scan_id, seg, pkg, CASE WHEN starts_with(pkg, '@') THEN EXISTS (SELECT 1 FROM {SQL_INTERNAL} e WHERE e.scan_id = r.scan_id AND starts_with(e.value, string_split(r.pkg, '/')[1] || '/')) ELSE EXISTS (SELECT 1 FROM {SQL_INTERNAL} e WHERE e.scan_id = r.scan_id) END AS speaks FROM ({REFS}) r",
+)
+def q_scope_semi(spark, sf_dir):
+    return with_scope_evidence(base(spark, sf_dir, REFS), base(spark, sf_dir, EVIDENCE)).select("scan_id", "seg", "pkg", "speaks")
+
+
+MANIFEST_REFS = REFS.replace("p_partkey % 50", "p_partkey % 40").replace("CAST(p_size % 6", "CAST(p_size % 5")
+
+
+@query(
+    "q_merged_refs",
+    f"""SELECT scan_id, ecosystem, pkg, source, file_ord, line FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, ecosystem, pkg ORDER BY source, file_ord, line, seg) AS rn FROM (SELECT *, 'import' AS source FROM ({REFS}) UNION ALL SELECT *, 'manifest' AS source FROM ({MANIFEST_REFS}))) WHERE rn = 1""",
+)
+def q_merged_refs(spark, sf_dir):
+    return merged(base(spark, sf_dir, REFS), base(spark, sf_dir, MANIFEST_REFS)).select("scan_id", "ecosystem", "pkg", "source", "file_ord", "line")
+
+
+@query("q_budget", f"SELECT scan_id, looked_up, count(*) AS n FROM (SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY file_ord, line, seg) <= 30 AS looked_up FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, ecosystem, pkg ORDER BY file_ord, line, seg) AS rn FROM ({REFS})) WHERE rn = 1) GROUP BY scan_id, looked_up")
+def q_budget(spark, sf_dir):
+    refs = base(spark, sf_dir, REFS)
+    return with_budget(merged(refs, refs.limit(0)), 30).groupBy("scan_id", "looked_up").agg(F.count("*").alias("n"))
+
+
+# ---- classification ----
+
+_NEW = "(is_new OR coalesce(age_days < 30, false))"
+_TERMS = f"""CASE WHEN security_holding THEN 70 ELSE 0 END + CASE WHEN known_name THEN 45 ELSE 0 END + CASE typo_distance WHEN 1 THEN 55 WHEN 2 THEN 35 ELSE 0 END + CASE WHEN {_NEW} THEN 22 ELSE 0 END
+    + CASE WHEN NOT has_install_scripts THEN 0 WHEN {_NEW} OR coalesce(weekly_downloads < 1000, false) THEN 30 ELSE 5 END + CASE WHEN is_deprecated THEN 15 ELSE 0 END + CASE WHEN weekly_downloads < 50 THEN 28 WHEN weekly_downloads < 1000 THEN 15 ELSE 0 END
+    + CASE WHEN has_repository = false THEN 12 ELSE 0 END + CASE WHEN maintainers = 1 THEN 8 ELSE 0 END - CASE WHEN has_provenance THEN 25 ELSE 0 END - CASE WHEN weekly_downloads > 1000000 THEN 50 WHEN weekly_downloads > 100000 THEN 35 ELSE 0 END
+    - CASE WHEN NOT {_NEW} AND coalesce(has_repository, false) AND coalesce(weekly_downloads >= 5000, false) THEN 15 ELSE 0 END"""
+SQL_RISK = f"(SELECT *, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'elevated' WHEN score >= 0 THEN 'minimal' END AS band FROM (SELECT *, CAST(CASE WHEN unreachable THEN NULL WHEN NOT exists THEN 100 ELSE greatest(0, least(100, {_TERMS})) END AS INT) AS score FROM ({SIGNALS})))"
+_STRONG = f"NOT exists OR security_holding OR coalesce(typo_distance = 1, false)"
+
+
+def _risks(spark, sf_dir):
+    rows = base(spark, sf_dir, SIGNALS)
+    return rows.withColumn("_risk", risk({c: F.col(c) for c in rows.columns if c != "k"}))
+
+
+@query("q_risk_score", f"SELECT k, score, band FROM {SQL_RISK}")
+def q_risk_score(spark, sf_dir):
+    return _risks(spark, sf_dir).select("k", "_risk.score", "_risk.band")
+
+
+@query("q_stacked", f"SELECT k, coalesce(band IN ('high', 'critical') AND NOT ({_STRONG}), false) AS stacked FROM {SQL_RISK}")
+def q_stacked(spark, sf_dir):
+    return _risks(spark, sf_dir).select("k", is_stacked(F.col("_risk")).alias("stacked"))
+
+
+GHOSTS = f"SELECT *, CASE seg % 4 WHEN 0 THEN 'manifest' ELSE 'import' END AS source, seg % 3 = 0 AS speaks FROM ({REFS})"
+
+
+@query("q_ghost_severity", f"SELECT scan_id, seg, CASE WHEN source = 'manifest' THEN true WHEN ecosystem <> 'npm' THEN false WHEN NOT starts_with(pkg, '@') THEN true ELSE speaks END AS blocks FROM ({GHOSTS})")
+def q_ghost_severity(spark, sf_dir):
+    return base(spark, sf_dir, GHOSTS).select("scan_id", "seg", ghost_can_block(F.col("source"), F.col("ecosystem"), F.col("pkg"), F.col("speaks")).alias("blocks"))
+
+
+STATES = "SELECT o_orderkey AS k, o_orderkey % 3 <> 0 AS exists, o_orderkey % 7 = 0 AS unreachable, CASE o_orderkey % 5 WHEN 0 THEN 'community' WHEN 1 THEN 'reported' ELSE 'pattern' END AS tier, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE '1996-01-01' END AS recorded, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END AS day FROM {orders}"
+
+
+@query(
+    "q_known_states",
+    f"SELECT k, state, CASE WHEN state IN ('registered', 'absent') THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT k, CASE WHEN exists AND NOT unreachable AND tier <> 'community' AND coalesce(day > recorded, false) THEN 'registered' WHEN exists AND NOT unreachable THEN 'there' WHEN unreachable THEN 'unknown' ELSE 'absent' END AS state FROM ({STATES}))",
+)
+def q_known_states(spark, sf_dir):
+    state = known_state(F.col("exists"), F.col("unreachable"), F.col("tier"), F.col("recorded"), F.col("day"))
+    return base(spark, sf_dir, STATES).select("k", state.alias("state"), state_severity(state).alias("severity"))
+
+
+# ---- verdicts ----
+
+SQL_DISTINCT = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, file, line, type, title ORDER BY rank, ord, description) AS n FROM ({FINDINGS})) WHERE n = 1)"
+
+
+@query("q_distinct_findings", f"SELECT scan_id, rank, ord, type, title, file, line FROM {SQL_DISTINCT}")
+def q_distinct_findings(spark, sf_dir):
+    return distinct_findings(base(spark, sf_dir, FINDINGS)).select("scan_id", "rank", "ord", "type", "title", "file", "line")
+
+
+SCANS = "SELECT c_custkey % 97 AS scan_id, count(*) AS files_checked FROM {customer} GROUP BY c_custkey % 97"
+
+
+@query("q_summary", f"SELECT s.scan_id, files_checked, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warnings, CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'BLOCKED' WHEN count(*) FILTER (severity = 'warning') > 0 THEN 'REVIEW_REQUIRED' ELSE 'CLEAR' END AS verdict FROM ({SCANS}) s LEFT JOIN {SQL_DISTINCT} f ON f.scan_id = s.scan_id GROUP BY s.scan_id, files_checked")
+def q_summary(spark, sf_dir):
+    return summary(base(spark, sf_dir, SCANS), distinct_findings(base(spark, sf_dir, FINDINGS)))
+
+
+@query("q_listed", f"SELECT scan_id, CAST(place AS INT) AS place, severity, ord FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY severity = 'critical' DESC, rank, ord, file, line, type, title) AS place FROM {SQL_DISTINCT}) WHERE place <= 20")
+def q_listed(spark, sf_dir):
+    return listed(distinct_findings(base(spark, sf_dir, FINDINGS))).select("scan_id", "place", "severity", "ord")
+
+
+# ---- requests ----
+
+CALLS = "SELECT conv_id AS scan_id, CAST(turn AS INT) AS file_ord, CASE WHEN turn % 7 = 6 THEN '' ELSE role END AS path, text AS content FROM {conversations}"
+
+
+@query("q_refused_scans", f"SELECT scan_id, CASE WHEN count(*) > 50 THEN 'files must have at most 50 entries' ELSE 'files[' || CAST(min(file_ord) FILTER (path = '') AS STRING) || '].path must have at least 1 characters' END AS error FROM ({CALLS}) GROUP BY scan_id HAVING count(*) > 50 OR count(*) FILTER (path = '') > 0")
+def q_refused_scans(spark, sf_dir):
+    return validate_files(base(spark, sf_dir, CALLS))[1]
+
+
+REPORTS = f"SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 215) ELSE {WORD} END AS package, CASE p_partkey % 5 WHEN 0 THEN 'go' WHEN 1 THEN NULL ELSE 'npm' END AS ecosystem, CASE p_partkey % 7 WHEN 0 THEN 'x' WHEN 1 THEN NULL ELSE 'someone' END AS reporter FROM {{part}}"
+
+
+@query(
+    "q_report_errors",
+    f"SELECT k, CASE WHEN ecosystem IS NULL OR ecosystem = 'go' THEN 'ecosystem must be one of: npm, pypi, crates, gems' WHEN package = '' THEN 'package must have at least 1 characters' WHEN len(package) > 214 THEN 'package must have at most 214 characters' WHEN len(reporter) < 2 THEN 'reporter must have at least 2 characters' END AS error FROM ({REPORTS})",
+)
+def q_report_errors(spark, sf_dir):
+    return validate_reports(base(spark, sf_dir, REPORTS)).select("k", "error")
+
+
+@query("q_json_props", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) IS NOT NULL AS has_first, len(json_keys(props)) AS n FROM events")
+def q_json_props(spark, sf_dir):
+    props = F.try_variant_get(F.try_parse_json("props"), "$", "map<string,variant>")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select("event_id", (F.size(F.map_keys(props)) > 0).alias("has_first"), F.size(props).cast("long").alias("n"))
+
+
+@query("q_messages", "SELECT conv_id, CAST(turn AS INT) AS turn, role AS method FROM conversations WHERE turn % 3 <> 2")
+def q_messages(spark, sf_dir):
+    line = F.when(F.col("turn") % 3 == 2, F.lit("{broken")).otherwise(F.to_json(F.struct(F.struct("conv_id", "turn").alias("id"), F.col("role").alias("method"))))
+    got = parse_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet").select(line.alias("value")))[0]
+    return got.select(F.from_json("id", "conv_id long, turn int").alias("i"), "method").select("i.conv_id", "i.turn", "method")
+
+
+# ---- the whole check, rows alone ----
+
+PROJECT_FILES = f"""SELECT scan_id, file_ord, path, content FROM ({SOURCE_FILES}) UNION ALL SELECT * FROM ({GO_MODS}) UNION ALL
+    SELECT p_brand AS scan_id, CAST(1000000 + p_partkey AS INT) AS file_ord, 'requirements.txt' AS path, {WORD} || '==1' || chr(10) || 'flask-gpt' AS content FROM {{part}}"""
+
+
+@query("q_preflight")
+def q_preflight(spark, sf_dir):
+    """Every stage over derived projects; answers are derived from ``orders``."""
+    answers = base(spark, sf_dir, "SELECT 'pypi' AS ecosystem, replace(p_name, ' ', '-') AS name, CAST(CASE p_partkey % 3 WHEN 0 THEN 404 ELSE 200 END AS INT) AS status, '[]' AS body FROM {part}").dropDuplicates(["ecosystem", "name"])
+    out = preflight(base(spark, sf_dir, PROJECT_FILES), answers, AS_OF)
+    return out.select("scan_id", "files_checked", "critical", "warnings", "verdict", "action", F.size("findings").alias("listed"))
+
+
+@query("q_manifests")
+def q_manifests(spark, sf_dir):
+    """References of JSON manifests, which SQL's own JSON reads less strictly."""
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("tessel_part")
+    files = spark.sql(
+        f"""SELECT p_brand AS scan_id, CAST(p_partkey AS INT) AS file_ord, CASE p_partkey % 2 WHEN 0 THEN 'package.json' ELSE 'composer.json' END AS path, CASE p_partkey % 2 WHEN 0 THEN '{{"dependencies": {{"' || {WORD} || '": "^1", "b": "workspace:*"}}}}' ELSE '{{"require": {{"v/' || replace(p_name, ' ', '-') || '": "1", "php": "8"}}}}' END
+        || CASE p_partkey % 11 WHEN 0 THEN ' x' ELSE '' END AS content FROM tessel_part"""
+    )
+    refs, errors = manifest_refs(files)
+    return refs.select("scan_id", "file_ord", "pkg", "ecosystem").unionByName(errors.select("scan_id", "file_ord", F.lit(None).cast("string").alias("pkg"), F.lit("error").alias("ecosystem")))
