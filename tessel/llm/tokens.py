@@ -5,34 +5,114 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 
-#: Chunks whose ids a worker remembers: so many new ones, then those of before that it doesn't meet again go.
-MEMORY = 750_000
+#: Chunks whose ids a worker remembers, at most, and the slots of its table (a power of two, 20 bytes each).
+MEMORY, SLOTS = 2_000_000, 1 << 22
+#: Bytes of a chunk that is remembered, at most; and bytes of text that are looked up together, about.
+LONGEST, SLICE = 512, 1 << 19
+
+#: White space, a space, then white space or the end: only there can a pre-token of byte-level BPE reach
+#: over the place before a space.
+_JOINED = re.compile(r"\s (?:\s|\Z)")
+_LETTERS = re.compile(r"[^\W\d_]*")
 
 # Byte-level vocabularies write each byte as one printable character (fixed values of the format).
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _MARKS = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
 
-#: Chunks that are looked up together.
-SLICE = 200_000
 
-#: White space, a space, then white space or the end: only there can a pre-token of byte-level BPE reach
-#: over the place before a space.
-_LETTERS = re.compile(r"[^\W\d_]*")
-_JOINED = re.compile(r"\s (?:\s|\Z)")
+class _Hash:
+    """Polynomial hashes modulo 2 ** 64 of many parts of a buffer at once, by prefix sums."""
+
+    def __init__(self, seed: int):
+        r = np.random.Generator(np.random.PCG64(seed))
+        self.values = r.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.base = int(r.integers(1 << 40, 1 << 62)) | 1
+        self.powers = self.inverses = np.ones(0, np.uint64)
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(data)
+        if len(self.powers) < n:
+            up, down = np.full(n + 1, self.base, np.uint64), np.full(n + 1, pow(self.base, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            self.powers, self.inverses = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64)
+        found = (found ^ (found >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        found ^= found >> np.uint64(27)
+        return np.maximum(found, np.uint64(1))
+
+
+class _Memory:
+    """Ids of chunks by two 64-bit hashes: open addressing, looked up and filled in bulk."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.one, self.two = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.entry = np.zeros(SLOTS, np.int32)
+        self.offsets, self.pool, self.n = np.zeros(1024, np.int64), np.zeros(1024, self.kind), 0
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Entries, -1 for those that are not there."""
+        slot = (one & np.uint64(SLOTS - 1)).astype(np.int64)
+        there = self.one[slot]
+        out = np.where((there == one) & (self.two[slot] == two), self.entry[slot], -1)
+        left = np.flatnonzero((out < 0) & (there != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+            own = slot[left]
+            there = self.one[own]
+            hit = (there == one[left]) & (self.two[own] == two[left])
+            out[left[hit]] = self.entry[own[hit]]
+            left = left[~hit & (there != 0)]
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, ids: list[bytes]) -> None:
+        """Distinct chunks that are not there."""
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize)
+        begin = int(self.offsets[self.n])
+        if self.n + len(ids) + 1 > len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros(max(len(self.offsets), len(ids) + 1), np.int64)])
+        if begin + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), self.kind)])
+        self.pool[begin : begin + len(flat)] = flat
+        self.offsets[self.n + 1 : self.n + 1 + len(ids)] = begin + ends
+        slot, left = (one & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(ids))
+        while len(left):
+            free = np.flatnonzero(self.one[slot[left]] == 0)
+            own, first = np.unique(slot[left[free]], return_index=True)  # of those that meet one goes in
+            put = left[free[first]]
+            self.one[own], self.two[own], self.entry[own] = one[put], two[put], self.n + put
+            rest = np.ones(len(left), bool)
+            rest[free[first]] = False
+            left = left[rest]
+            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+        self.n += len(ids)
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries one after the other, and where each ends."""
+        starts = self.offsets[entries]
+        sizes = self.offsets[entries + 1] - starts
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
 class Encoder:
     """Ids as the library gives them with add_special_tokens=False, truncation and padding off.
 
     With plain byte-level BPE a pre-token never reaches over the place before a single space, so a text's
-    ids are those of its chunks from space to space.  The library encodes each chunk once; a memory of
-    bounded size keeps them.  Texts with runs of white space that end in a space, or with the string of an
-    added token, and any text under other pre-tokenizers, go to the library whole.
+    ids are those of its chunks, each a space and what follows it.  The library encodes a chunk that is new;
+    a memory of bounded size keeps its ids.  Texts with runs of white space around a space, with the string
+    of an added token or with a chunk of over LONGEST bytes, and any text under other pre-tokenizers, go to
+    the library whole.
     """
 
     def __init__(self, path: str):
@@ -56,97 +136,130 @@ class Encoder:
         self.opens = np.array([x.startswith("Ġ") for x in self.strings])
         # pieces with a space after another character are there for no-break spaces alone
         self.direct = self.chunked and all("\u00c2\u0142" in x for x in self.strings if "Ġ" in x.lstrip("Ġ"))
-        self.first: dict[str, bytes] = {}
         self.rests: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.memory = _Memory(self.type) if self.chunked else None
+        self.hashes = _Hash(1), _Hash(2)
 
     def whole(self, text: str) -> bytes:
         """A text's ids by the library alone."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def _learn_letters(self, words: list[str]) -> None:
+    def _letters(self, words: list[str]) -> list[bytes]:
         """The ids of words of letters only that follow a space: such a word is one pre-token.
 
         The model takes several in one call.  No piece reaches from a letter over a space, so the pieces that
         open with one are where words begin.
         """
         marks = (" " + " ".join(words)).encode().decode("latin-1").translate(_MARKS).split(_MARKS[32])[1:]
+        out: list[bytes] = []
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
             end = at + len(some)
             found = [t.id for k in range(at, end, 8) for t in self.tokenizer.model.tokenize(_MARKS[32] + _MARKS[32].join(marks[k : min(k + 8, end)]))]
-            self._store(some, np.array(found, self.type))
+            out += self._parts(some, np.array(found, self.type))
+        return out
 
-    def _store(self, chunks: list[str], ids: np.ndarray) -> None:
+    def _parts(self, chunks: list[str], ids: np.ndarray) -> list[bytes]:
+        """The ids of each chunk, from those of all chunks with a space before each."""
         cuts = np.flatnonzero(self.opens[ids])
         if len(cuts) != len(chunks):
-            self.later.update((c, self.whole(" " + c)) for c in chunks)
-            return
+            return [self.whole(" " + c) for c in chunks]
         data, width = ids.tobytes(), self.type.itemsize
         ends = [*(cuts[1:] * width).tolist(), len(data)]
-        self.later.update(zip(chunks, (data[a:b] for a, b in zip((cuts * width).tolist(), ends))))
+        return [data[a:b] for a, b in zip((cuts * width).tolist(), ends)]
 
-    def _learn(self, chunks: Iterable[str]) -> None:
-        """The ids of chunks that follow a space.
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks that follow a space, by the chunk without it.
 
         After a run of letters a pre-token ends, whatever follows; so a chunk that begins with letters has the
         ids of these and those of the rest, which is rarely new.
         """
-        letters, both, plain = [], [], []
+        out: dict[str, bytes] = {}
+        letters, both, plain = set(), [], []
         for c in chunks:
             n = _LETTERS.match(c).end()
             if n and self.direct and c[:n].isalpha():
-                if n == len(c):
-                    letters.append(c)
-                else:
+                letters.add(c[:n])
+                if n < len(c):
                     both.append((c, c[:n], c[n:]))
             elif c and not c[0].isspace() and not c[-1].isspace():
                 plain.append(c)
             else:
-                self.later[c] = self.whole(" " + c)
-        heads = {head for _, head, _ in both}.difference(self.later).difference(letters)
-        self._learn_letters(letters + list(heads))
+                out[c] = self.whole(" " + c)
+        words = list(letters)
+        out.update(zip(words, self._letters(words)))
+        if len(self.rests) > MEMORY // 10:
+            self.rests = {}
         rests = list({rest for _, _, rest in both}.difference(self.rests))
         for at in range(0, len(rests), 4096):
             some = rests[at : at + 4096]
             self.rests.update(zip(some, (np.array(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        self.later.update((c, self.later[head] + self.rests[rest]) for c, head, rest in both)
+        out.update((c, out[head] + self.rests[rest]) for c, head, rest in both)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            self._store(some, np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.type))
+            ids = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids
+            out.update(zip(some, self._parts(some, np.array(ids, self.type))))
+        return out
+
+    def _slice(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts that are those of their chunks."""
+        joined = b"".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        opens = data == 32
+        begins = (ends - np.fromiter(map(len, texts), np.int64, len(texts)))[[len(x) > 0 for x in texts]]
+        opens[begins] = True
+        starts = np.flatnonzero(opens)
+        stops = np.append(starts[1:], len(data)) if len(starts) else starts
+        if len(starts) and int((stops - starts).max()) > LONGEST:
+            if len(texts) == 1:
+                return [self.whole(joined.decode())]
+            return self._slice(texts[: len(texts) // 2]) + self._slice(texts[len(texts) // 2 :])
+        one, two = (h.of(data, starts, stops) for h in self.hashes)
+        if self.memory.n > MEMORY:
+            self.memory.clear()
+        entries = self.memory.find(one, two)
+        new = np.flatnonzero(entries < 0)
+        if len(new):
+            _, first = np.unique(one[new], return_index=True)
+            new = new[first]
+            chunks = [joined[a:b].decode() for a, b in zip(starts[new].tolist(), stops[new].tolist())]
+            found = self._learn([c[1:] for c in chunks if c[0] == " "])
+            self.memory.add(one[new], two[new], [found[c[1:]] if c[0] == " " else self.whole(c) for c in chunks])
+            entries = self.memory.find(one, two)
+            if (entries < 0).any():  # two chunks of one first hash
+                return [self.whole(x.decode()) for x in texts]
+        ids, cuts = self.memory.ids(entries)
+        width = self.type.itemsize
+        at = np.append(0, cuts)[np.append(0, np.searchsorted(starts, ends))] * width
+        blob = ids.tobytes()
+        return [blob[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, in ``self.type``."""
-        out: list[bytes | None] = [None] * len(texts)
-        split = []
+        out: list[bytes] = [b""] * len(texts)
+        own: list[int] = []
+        held: list[bytes] = []
+        size = 0
+
+        def flush():
+            nonlocal own, held, size
+            for k, ids in zip(own, self._slice(held)):
+                out[k] = ids
+            own, held, size = [], [], 0
+
         for k, text in enumerate(texts):
             if not self.chunked or _JOINED.search(text) or any(x in text for x in self.added):
                 out[k] = self.whole(text)
-            else:
-                split.append((k, text.split(" ")))
-        at = 0
-        while at < len(split):  # so many texts at a time that new chunks are few
-            end, size = at, 0
-            while end < len(split) and size < SLICE:
-                size += len(split[end][1])
-                end += 1
-            heads = [chunks.pop(0) for _, chunks in split[at:end]]
-            if len(self.later) + len(self.first) > MEMORY:
-                self.first, self.later, self.before = {}, {}, self.later
-            if len(self.rests) > MEMORY // 4:
-                self.rests = {}
-            new = set().union(*(chunks for _, chunks in split[at:end])).difference(self.later)
-            again = list(filter(self.before.__contains__, new))
-            self.later.update(zip(again, map(self.before.__getitem__, again)))
-            new.difference_update(again)
-            self._learn(new)
-            get = self.later.__getitem__
-            for head, (k, chunks) in zip(heads, split[at:end]):
-                if head not in self.first:
-                    self.first[head] = self.whole(head)
-                out[k] = self.first[head] + b"".join(map(get, chunks))
-            at = end
+            elif text:
+                data = text.encode()
+                if held and size + len(data) > SLICE:
+                    flush()
+                own.append(k)
+                held.append(data)
+                size += len(data)
+        if held:
+            flush()
         return out
 
 
