@@ -8,8 +8,10 @@ their full shingle sets.
 Two texts of similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 
 Groups aren't expanded into pairs.  First each text of a band's bucket is compared with the bucket's first
-one, and links are joined into components.  A bucket that is in one component then has no more to tell.  In
-the few others, texts of different components are compared by sketch, in blocks of bounded size.
+one, and links are joined into components.  A bucket that is in one component then has no more to tell.
+Texts that the few other buckets connect are compared where they meet, in blocks of bounded size: by sketch,
+then on their sets, and only as long as they are in different components.  What comes out are links that
+join components, no pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ SAMPLES = ROWS * BANDS
 BITS = 256
 #: Estimates of similarity have a standard deviation of about 0.05 at 0.8; below this one a pair isn't verified.
 LEAST_ESTIMATE = 0.55
-#: Texts of a bucket that a task compares with each other, at most.
-BLOCK = 2000
+#: A task compares two blocks of so many texts at most.
+BLOCK = 3000
 #: A group of equal sets is hot if it holds one of so many parts of all rows.
 HOT_PARTS = 256
 MEMORY = 300_000
@@ -155,6 +157,15 @@ def _sets(size: int):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have ``100 * intersection >= percent * union``."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _verify(percent: int):
     """Pairs whose sets have ``100 * intersection >= percent * union``."""
 
@@ -162,14 +173,7 @@ def _verify(percent: int):
         for b in batches:
             good = []
             for x, y in zip(b.column("_x"), b.column("_y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                low, high = sorted((len(x), len(y)))
-                if 100 * low < percent * high:
-                    good.append(False)
-                    continue
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
+                good.append(_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
@@ -181,20 +185,31 @@ def _near(x: Column, y: Column) -> Column:
     return sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(BITS // 64)), F.lit(0)) <= MOST_BITS
 
 
-def _compare(rows: pa.Table) -> pa.Table:
-    """Pairs of a block of a bucket that are of different components and near by sketch."""
-    node, root, block = (rows.column(x).to_numpy() for x in ("_node", "_root", "_own"))
-    sketch = np.array(rows.column("_sketch").to_pylist(), np.int64).reshape(len(node), -1)
-    i, j = rows.column("_i")[0].as_py(), rows.column("_j")[0].as_py()
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    a, b = [], []
-    for k in left.tolist():
-        others = right[node[right] > node[k]] if i == j else right
-        others = others[root[others] != root[k]]
-        near = others[np.bitwise_count((sketch[others] ^ sketch[k]).view(np.uint64)).sum(axis=1) <= MOST_BITS]
-        a += [node[k]] * len(near)
-        b += node[near].tolist()
-    return pa.table({"a": pa.array(np.maximum(a, b) if a else [], rows.column("_node").type), "b": pa.array(np.minimum(a, b) if a else [], rows.column("_node").type)})
+def _compare(percent: int):
+    """Of two blocks of texts the links that join components."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, root, block = (rows.column(x).to_numpy() for x in ("_node", "_root", "_own"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("_set")]
+        size = np.array([len(x) for x in sets])
+        sketch = np.array(rows.column("_sketch").to_pylist(), np.int64).reshape(len(node), -1).view(np.uint64)
+        i, j = rows.column("_i")[0].as_py(), rows.column("_j")[0].as_py()
+        _, root = np.unique(root, return_inverse=True)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = [], []
+        for k in left.tolist():
+            others = right[node[right] > node[k]] if i == j else right
+            others = others[(root[others] != root[k]) & (100 * np.minimum(size[others], size[k]) >= percent * np.maximum(size[others], size[k]))]
+            others = others[np.bitwise_count(sketch[others] ^ sketch[k]).sum(axis=1) <= MOST_BITS]
+            for m in others.tolist():
+                if root[m] != root[k] and _linked(sets[k], sets[m], percent):
+                    root[root == root[m]] = root[k]
+                    a.append(max(node[k], node[m]))
+                    b.append(min(node[k], node[m]))
+        kind = rows.column("_node").type
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,14 +232,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     firsts = buckets.groupBy("_band").agg(F.count("*").alias("_size"), F.min("_node").alias("_first")).filter("_size > 1")
     shared = written(buckets.join(firsts, "_band"), "buckets")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b) of nodes, on their full sets."""
-        names = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    def sets_of(names: DataFrame) -> DataFrame:
+        """``_node`` and ``_set`` of distinct ``_node``: their texts are read again."""
         wanted = written(nodes.select("_node", "_digest").join(names, "_node"), "wanted")
         ids = wanted.select(F.col("_node").alias("_wanted")).distinct()
         texts = slim.join(bounded(ids, wanted.count(), 24), F.col("_id") == F.col("_wanted"), "left_semi")
-        sets = texts.mapInArrow(_sets(shingle), f"_node {kind}, _digest binary, _set binary").join(wanted, ["_node", "_digest"], "left_semi").dropDuplicates(["_node", "_digest"])
-        sets = written(sets.select("_node", "_set"), "sets")
+        sets = texts.mapInArrow(_sets(shingle), f"_node {kind}, _digest binary, _set binary").join(wanted, ["_node", "_digest"], "left_semi")
+        return written(sets.dropDuplicates(["_node", "_digest"]).select("_node", "_set"), "sets")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b) of nodes, on their full sets."""
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct())
         full = pairs.join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a").join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b")
         return written(full.mapInArrow(_verify(percent), f"a {kind}, b {kind}"), "links")
 
@@ -238,14 +256,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     roots = components(links)
     rooted = shared.filter("_size > 2").join(roots.withColumnRenamed("node", "_node"), "_node", "left").select("_band", "_node", "_size", F.coalesce("root", "_node").alias("_root"))
     rooted = written(rooted, "rooted")
-    split = rooted.groupBy("_band").agg(F.min("_root").alias("_least"), F.max("_root").alias("_most")).filter("_least <> _most").select("_band")
-    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
-    many = rooted.join(split, "_band").withColumn("_own", F.pmod(F.xxhash64("_node"), blocks).cast("int"))
-    many = many.join(sketches, "_node").select("_band", "_node", "_root", "_sketch", "_own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
-    many = many.select("_band", "_node", "_root", "_sketch", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    more = written(many.groupBy("_band", "_i", "_j").applyInArrow(_compare, f"a {kind}, b {kind}").distinct(), "pairs")
-    if more.count():
-        roots = components(links.unionByName(confirm(more)))
+    split = rooted.groupBy("_band").agg(F.min("_root").alias("_least"), F.max("_root").alias("_most"), F.min("_node").alias("b")).filter("_least <> _most").select("_band", "b")
+    touching = written(rooted.join(split, "_band").select(F.col("_node").alias("a"), "b").distinct(), "touching")
+    if touching.count():
+        # texts that buckets connect, each once
+        parts = components(touching).select(F.col("node").alias("_node"), F.col("root").alias("_part"))
+        parts = written(parts.join(roots.withColumnRenamed("node", "_node"), "_node", "left").select("_node", "_part", F.coalesce("root", "_node").alias("_root")), "parts")
+        open_ = parts.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_root").alias("_least"), F.max("_root").alias("_most")).filter("_least <> _most").select("_part", "_size")
+        blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+        many = parts.join(open_, "_part").withColumn("_own", F.pmod(F.xxhash64("_node"), blocks).cast("int"))
+        many = many.join(sketches, "_node").join(sets_of(many.select("_node")), "_node").withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        many = many.select("_part", "_node", "_root", "_sketch", "_set", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+        more = written(many.groupBy("_part", "_i", "_j").applyInArrow(_compare(percent), f"a {kind}, b {kind}"), "links")
+        if more.count():
+            roots = components(links.unionByName(more))
 
     # Back to the rows: nodes of very many rows by broadcast (HOT_PARTS at most), the others by their digest.
     n = signs.count()
