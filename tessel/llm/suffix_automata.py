@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import bounded, same, written
+from tessel.llm.common import bounded, same, small_batches, written
 
 #: Words of a repeated window, and of an anchor.
 WINDOW, ANCHOR = 35, 8
 #: Distinct segments of a shard, at most; and segments in a task's group of shards, about.
 SHARD_SEGMENTS, GROUP_SEGMENTS = 2000, 20_000
 MEMORY = 300_000
+#: A key is hot if it has one of so many parts of all rows; there are HOT_PARTS hot keys at most.
+HOT_PARTS = 1024
 
 
 class Automaton:
@@ -162,7 +164,7 @@ def _lists(own: np.ndarray, n: int, *values: np.ndarray) -> list[pa.Array]:
 def _anchors(window: int):
     def run(batches):
         numbers = _Numbers()
-        for b in batches:
+        for b in small_batches(batches):
             texts = [x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()]
             for a, z in _slices(texts):
                 doc, start, _, anchor = segments([x.split() for x in texts[a:z]], window, numbers)
@@ -178,7 +180,7 @@ def _cut(window: int):
 
     def run(batches):
         numbers = _Numbers()
-        for b in batches:
+        for b in small_batches(batches):
             texts = [x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()]
             for a, z in _slices(texts):
                 words = [x.split() for x in texts[a:z]]
@@ -242,7 +244,7 @@ def _windows(window: int):
     """The single windows of segments of shards that are too large."""
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             own, at, strings = [], [], []
             for k, x in enumerate(b.column("_string").to_pylist()):
                 words = x.split(b" ")
@@ -265,12 +267,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
     lists = written(slim.mapInArrow(_anchors(window), f"_id {kind}, _hash long, _starts array<int>, _anchors array<long>"), "anchors")
     each = lists.select("_id", "_hash", F.explode(F.arrays_zip("_starts", "_anchors")).alias("_z")).select("_id", "_hash", F.col("_z._starts").alias("_start"), F.col("_z._anchors").alias("_anchor"))
-    twice = each.groupBy("_anchor").agg(F.count("*").alias("_n")).filter("_n > 1").select("_anchor")
-    wanted = each.join(twice, "_anchor", "left_semi").groupBy("_id", "_hash").agg(F.collect_set("_start").alias("_wanted"))
-    wanted = written(wanted.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_wanted"), "wanted")
-    size = wanted.agg(F.count("*").alias("rows"), F.sum(F.size("_wanted")).alias("n")).first()
-    near = bounded(wanted, 1, 60 * size["rows"] + 4 * (size["n"] or 0))
-    some = slim.join(near, same(F.col("_id"), F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).select("_id", "_hash", "_text", "_wanted")
+    twice = written(each.groupBy("_anchor").agg(F.count("*").alias("_n")).filter("_n > 1"), "twice")
+    total = lists.agg(F.sum(F.size("_starts"))).first()[0] or 0
+    hot = F.broadcast(twice.filter(F.col("_n") * HOT_PARTS >= total).select("_anchor"))
+    cold = twice.filter(F.col("_n") * HOT_PARTS < total).select("_anchor")
+    again = each.join(hot, "_anchor", "left_semi").unionByName(each.join(hot, "_anchor", "left_anti").join(cold, "_anchor", "left_semi"))
+    wanted = again.groupBy("_id", "_hash").agg(F.collect_set("_start").alias("_wanted"))
+    wanted = wanted.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_wanted")
+    # the lists grow with the corpus: they are never broadcast
+    some = slim.join(wanted.hint("merge"), same(F.col("_id"), F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).select("_id", "_hash", "_text", "_wanted")
     cut = some.mapInArrow(_cut(window), f"_id {kind}, _hash long, _start int, _anchor long, _string binary")
     cut = written(cut.withColumn("_text", F.xxhash64("_string")), "segments")
 
@@ -290,7 +295,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     hits = hits.withColumn("_high", F.transform("_low", lambda x: x + window))
     found = written(found.unionByName(hits), "found")
 
-    spans = cut.select("_id", "_hash", "_start", "_anchor", "_text").join(found, ["_anchor", "_text"])
+    places = cut.select("_id", "_hash", "_start", "_anchor", "_text")
+    total = distinct.agg(F.sum("_count")).first()[0] or 0
+    hot_keys = F.broadcast(distinct.filter(F.col("_count") * HOT_PARTS >= total).select("_anchor", "_text"))
+    keys = ["_anchor", "_text"]
+    hot = F.broadcast(found.join(hot_keys, keys, "left_semi"))
+    spans = places.join(hot, keys).unionByName(places.join(hot_keys, keys, "left_anti").join(found, keys))
     spans = spans.select("_id", "_hash", F.transform("_low", lambda x: x + F.col("_start")).alias("_low"), F.transform("_high", lambda x: x + F.col("_start")).alias("_high"))
     return spans.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_low", "_high")).alias("_spans")).select("_id", "_hash", F.flatten("_spans._low").alias("_low"), F.flatten("_spans._high").alias("_high"))
 
@@ -309,15 +319,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """
     carried = [F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)]
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = written(repeated_spans(docs, window, id_col, text_col), "spans")
-    spans = spans.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_low", "_high")
-    size = spans.agg(F.count("*").alias("rows"), F.sum(F.size("_low")).alias("n")).first()
-    near = bounded(spans, 1, 80 * size["rows"] + 8 * (size["n"] or 0))
+    spans = repeated_spans(docs, window, id_col, text_col).select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_low", "_high")
     slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).cast("string").alias("_text"), *carried)
-    both = slim.join(near, same(F.col("_id"), F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left").select("_id", "_text", "_low", "_high", *(f"_carry{k}" for k in range(len(carry))))
+    both = slim.join(spans.hint("merge"), same(F.col("_id"), F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left").select("_id", "_text", "_low", "_high", *(f"_carry{k}" for k in range(len(carry))))
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             sizes, gone, out = [], [], []
             for text, low, high in zip(texts, b.column(2), b.column(3)):
