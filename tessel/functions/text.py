@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as the scanned languages' own tools see it (Unicode's, and the byte order mark).
@@ -18,6 +18,20 @@ def first_of(*columns: Column) -> Column:
     return F.coalesce(*columns)
 
 
+def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once, however often later steps and filters name it.
+
+    It is the output of a generator, into which the optimiser doesn't fold what comes after.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def where_found(rows: DataFrame, name: str, value: Column, test=None) -> DataFrame:
+    """As ``held``, with the rows alone where the value isn't null and passes the test (a function of it)."""
+    good = lambda x: x.isNotNull() if test is None else x.isNotNull() & test(x)
+    return rows.select("*", F.explode(F.filter(F.array(value), good)).alias(name))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.names import registry_name, registry_site
-from tessel.functions.risk import is_stacked, risk
+from tessel.functions.risk import is_stacked, with_risk
 from tessel.sources.registry import age_days
 
 CWE = "CWE-1357"
@@ -60,23 +60,21 @@ def package_findings(refs: DataFrame, as_of: str) -> DataFrame:
     it new.  A reference over the budget counts as not reached, listed or not.  A package that is there can
     have a stacked risk besides.
     """
-    pkg, eco, name = F.col("pkg"), F.col("ecosystem"), registry_name(F.col("ecosystem"))
-    over = ~F.col("looked_up")
+    state = known_state(F.col("exists"), F.col("unreachable"), F.col("tier"), F.col("recorded"), F.col("_day"))
+    refs = refs.withColumns({"_name": registry_name(F.col("ecosystem")), "_day": F.date_format("published_at", "yyyy-MM-dd"), "_days": age_days(F.col("published_at"), as_of), "_over": ~F.col("looked_up")})
+    refs = refs.withColumns({"_state": state, "_block": ghost_can_block(F.col("source"), F.col("ecosystem"), F.col("pkg"), F.col("speaks"))})
+    signals = {"exists": F.col("exists"), "unreachable": F.col("unreachable"), "is_new": F.col("is_new"), "age_days": F.col("_days")} | {c: F.col(c) for c in ("has_repository", "has_provenance", "has_install_scripts", "is_deprecated")}
+    refs = with_risk(refs, signals, "_risk")
+    refs = refs.withColumns({"_quoted": F.concat(F.lit('"'), F.col("pkg"), F.lit('"')), "_at": F.concat(F.lit(" Found in "), F.col("path"), F.lit(", line "), F.col("line").cast("string"), F.lit(".")), "_look": F.concat(F.lit("Check the name on "), registry_site(F.col("ecosystem")), F.lit("."))})
+    eco, name, quoted, at, look = F.col("ecosystem"), F.col("_name"), F.col("_quoted"), F.col("_at"), F.col("_look")
+    over, unreachable, day, days, state, block = (F.col(c) for c in ("_over", "unreachable", "_day", "_days", "_state", "_block"))
     listed = F.col("tier").isNotNull() & ~over
-    unreachable = F.col("unreachable")
-    day = F.date_format("published_at", "yyyy-MM-dd")
-    state = known_state(F.col("exists"), unreachable, F.col("tier"), F.col("recorded"), day)
-    block = ghost_can_block(F.col("source"), eco, pkg, F.col("speaks"))
-    days = age_days(F.col("published_at"), as_of)
     ago = F.when(days.isNull(), F.lit("recently")).otherwise(F.concat(days.cast("string"), F.when(days == 1, F.lit(" day ago")).otherwise(F.lit(" days ago"))))
-    quoted = F.concat(F.lit('"'), pkg, F.lit('"'))
-    at = F.concat(F.lit(" Found in "), F.col("path"), F.lit(", line "), F.col("line").cast("string"), F.lit("."))
 
     def finding(kind: str, severity: Column, title: Column, text: Column, advice: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), severity.alias("severity"), title.alias("title"), F.concat(text, at).alias("description"), advice.alias("recommendation"))
 
     warning = F.lit("warning")
-    look = F.concat(F.lit("Check the name on "), registry_site(eco), F.lit("."))
     known = finding(
         "known_hallucination", state_severity(state),
         F.when(state == "registered", F.concat(quoted, F.lit(" is a listed invented name and has been registered since"))).when(state == "there", F.concat(quoted, F.lit(" is a listed invented name that a real package has too")))
@@ -96,11 +94,11 @@ def package_findings(refs: DataFrame, as_of: str) -> DataFrame:
     main = (
         F.when(over, unverified).when(listed, known).when(unreachable, unverified).when(~F.col("exists"), ghost).when(F.col("is_new"), new)
     )
-    shape = risk({"exists": F.col("exists"), "unreachable": unreachable, "is_new": F.col("is_new"), "age_days": days, "has_repository": F.col("has_repository"), "has_provenance": F.col("has_provenance"), "has_install_scripts": F.col("has_install_scripts"), "is_deprecated": F.col("is_deprecated")})
+    shape = F.col("_risk")
     notes = F.array_join(F.transform(F.filter(shape["factors"], lambda x: x["points"] > 0), lambda x: x["note"]), " ")
     stacked = finding("dependency_risk_shape", warning, F.concat(quoted, F.lit(" has several risks at once ("), shape["score"].cast("string"), F.lit("/100)")), F.concat(notes, F.lit(" An estimate from metadata.")), F.lit("Review it before trusting it."))
     more = F.when(~over & ~listed & F.col("exists") & ~unreachable & is_stacked(shape), stacked)
-    each = refs.select("scan_id", "ord", "path", "line", over.alias("_over"), F.posexplode(F.filter(F.array(main, more), lambda x: x.isNotNull())).alias("_k", "_f"))
+    each = refs.select("scan_id", "ord", "path", "line", "_over", F.posexplode(F.filter(F.array(main, more), lambda x: x.isNotNull())).alias("_k", "_f"))
     # those over the budget come after all others
     return each.select("scan_id", F.when(F.col("_over"), 2).otherwise(1).alias("rank"), (F.col("ord") * 2 + F.col("_k")).cast("long").alias("ord"), "_f.type", "_f.severity", "_f.title", "_f.description", F.col("path").alias("file"), "line", "_f.recommendation", F.lit(CWE).alias("cve"))
 

@@ -31,31 +31,43 @@ def internal_evidence(files: DataFrame) -> DataFrame:
     return aliases.unionByName(own).unionByName(deps).distinct()
 
 
-def without_internal(refs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``refs`` without npm names that the scan's evidence has, exactly or by a prefix.
+def _by_scan(evidence: DataFrame) -> DataFrame:
+    """One row for each scan: its prefixes, the scopes that its evidence is about, and ``_some``."""
+    value = F.col("value")
+    scope = F.when(value.startswith("@") & value.contains("/"), F.concat(F.substring_index(value, "/", 1), F.lit("/")))
+    return evidence.groupBy("scan_id").agg(F.collect_set(F.when(F.col("kind") == "prefix", value)).alias("_prefixes"), F.collect_set(scope).alias("_scopes"), F.lit(True).alias("_some"))
 
-    A prefix that ends in a slash can only meet the name's starts up to a slash (or the name and a slash), so
-    those are the keys of an equality join; any other prefix is compared with the scan's refs alone.
-    """
+
+def _without_exact(refs: DataFrame, evidence: DataFrame) -> DataFrame:
     exact = evidence.filter("kind = 'exact'").select("scan_id", F.col("value").alias("pkg"), F.lit("npm").alias("ecosystem"))
-    out = refs.join(exact, ["scan_id", "pkg", "ecosystem"], "left_anti")
-    # tsconfig prefixes end in a slash: they are made from keys that end in /*
-    prefixes = evidence.filter("kind = 'prefix'").select("scan_id", F.col("value").alias("_prefix")).distinct()
-    parts = F.split("pkg", "/", -1)
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")))
-    hits = out.filter("ecosystem = 'npm'").select("scan_id", "pkg", F.explode(starts).alias("_prefix")).distinct().join(prefixes, ["scan_id", "_prefix"], "left_semi")
-    hits = hits.select("scan_id", "pkg", F.lit("npm").alias("ecosystem")).distinct()
-    return out.join(hits, ["scan_id", "pkg", "ecosystem"], "left_anti")
+    return refs.join(exact, ["scan_id", "pkg", "ecosystem"], "left_anti")
 
 
-def with_scope_evidence(refs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``refs`` with ``speaks``: whether any evidence of the scan is about the name's ``@scope/``.
+def apply_evidence(refs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``refs`` without npm names that the scan's evidence has, exactly or by a prefix, and with ``speaks``.
 
-    For a name without a scope any evidence counts.
+    ``speaks`` tells whether any evidence of the scan is about the name's ``@scope/``; for a name without a
+    scope any evidence counts.  Exact names are an equality join.  A scan's prefixes and scopes, the few keys
+    of its configuration, come along as arrays.
     """
-    scope = F.when(F.col("pkg").startswith("@"), F.concat(F.substring_index("pkg", "/", 1), F.lit("/")))
-    scopes = evidence.filter(F.col("value").contains("/") & F.col("value").startswith("@")).select("scan_id", F.concat(F.substring_index("value", "/", 1), F.lit("/")).alias("_scope")).distinct().withColumn("_has", F.lit(True))
-    some = evidence.select("scan_id").distinct().withColumn("_some", F.lit(True))
-    both = refs.withColumn("_scope", scope).join(scopes, ["scan_id", "_scope"], "left").join(some, "scan_id", "left")
-    speaks = F.when(F.col("_scope").isNotNull(), F.coalesce("_has", F.lit(False))).otherwise(F.coalesce("_some", F.lit(False)))
-    return both.withColumn("speaks", speaks).drop("_scope", "_has", "_some")
+    pkg = F.col("pkg")
+    both = _without_exact(refs, evidence).join(_by_scan(evidence), "scan_id", "left")
+    own = F.exists("_prefixes", lambda p: F.startswith(pkg, p) | (F.concat(pkg, F.lit("/")) == p))
+    both = both.filter((F.col("ecosystem") != "npm") | ~F.coalesce(own, F.lit(False)))
+    scope = F.concat(F.substring_index(pkg, "/", 1), F.lit("/"))
+    speaks = F.when(pkg.startswith("@"), F.coalesce(F.array_contains("_scopes", scope), F.lit(False))).otherwise(F.coalesce("_some", F.lit(False)))
+    return both.withColumn("speaks", speaks).drop("_prefixes", "_scopes", "_some")
+
+
+def without_internal(refs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``apply_evidence`` without ``speaks``."""
+    return apply_evidence(refs, evidence).drop("speaks")
+
+
+def with_scope_evidence(refs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``refs`` with ``speaks`` as in ``apply_evidence``, all of them."""
+    pkg = F.col("pkg")
+    scope = F.concat(F.substring_index(pkg, "/", 1), F.lit("/"))
+    both = refs.join(_by_scan(evidence), "scan_id", "left")
+    speaks = F.when(pkg.startswith("@"), F.coalesce(F.array_contains("_scopes", scope), F.lit(False))).otherwise(F.coalesce("_some", F.lit(False)))
+    return both.withColumn("speaks", speaks).drop("_prefixes", "_scopes", "_some")

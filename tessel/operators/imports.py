@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import names
+from tessel.functions.text import where_found
 from tessel.operators.lines import FILE, block_flag, explode_lines
 
 REF = [*FILE, "line", "seg", "pkg", "ecosystem"]
@@ -15,8 +16,9 @@ def go_refs(lines: DataFrame) -> DataFrame:
     """Modules of Go lines: single imports, and those in import blocks."""
     opens, closes = F.col("text").rlike(r"^\s*import\s*\("), F.col("text").rlike(r"^\s*\)")
     flagged = lines.withColumn("_in", block_flag(opens, closes))
-    found = flagged.filter(~opens & ~(F.col("_in") & closes)).withColumn("pkg", names.go_module_of_line(F.col("text"), F.col("_in")))
-    return found.filter("pkg IS NOT NULL").select(*FILE, "line", F.lit(0).alias("seg"), "pkg", F.lit("go").alias("ecosystem"))
+    found = flagged.filter(~opens & ~(F.col("_in") & closes))
+    found = where_found(found, "_path", names.go_path_of_line(F.col("text"), F.col("_in")))
+    return where_found(found, "pkg", names.go_module_root(F.col("_path"))).select(*FILE, "line", F.lit(0).alias("seg"), "pkg", F.lit("go").alias("ecosystem"))
 
 
 def import_refs(files: DataFrame, scoped_require: bool = False) -> DataFrame:
@@ -33,8 +35,8 @@ def import_refs(files: DataFrame, scoped_require: bool = False) -> DataFrame:
     text = F.col("text")
     npm, py, rust = names.npm_package_of_line(text, scoped_require), names.python_package_of_line(text), names.rust_crate_of_line(text)
     pkg = F.when(F.col("_eco") == "npm", npm).when(F.col("_eco") == "pypi", py).otherwise(rust)
-    found = segments.withColumn("pkg", pkg).filter("pkg IS NOT NULL")
-    found = found.filter(F.when(F.col("_eco") == "npm", names.is_npm_name(F.col("pkg"))).when(F.col("_eco") == "pypi", ~names.is_python_stdlib(F.col("pkg"))).otherwise(True))
+    known = lambda x: F.when(F.col("_eco") == "npm", names.is_npm_name(x)).when(F.col("_eco") == "pypi", ~names.is_python_stdlib(x)).otherwise(True)
+    found = where_found(segments, "pkg", pkg, known)
     return found.select(*FILE, "line", "seg", "pkg", F.col("_eco").alias("ecosystem")).unionByName(go)
 
 

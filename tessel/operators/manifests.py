@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import names
-from tessel.functions.text import group, lines, trimmed
+from tessel.functions.text import group, held, lines, trimmed, where_found
 from tessel.operators.imports import REF
 from tessel.operators.lines import FILE, block_flag, explode_lines
 
@@ -31,19 +31,20 @@ def parsed(files: DataFrame) -> DataFrame:
     made here.
     """
     files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return files.withColumn("_json", strict_json(F.col("content")))
+    return held(files, "_json", strict_json(F.col("content")))
 
 
 def section_entries(docs: DataFrame, sections: tuple[str, ...]) -> DataFrame:
     """Entries (``_section`` by number, ``_key``, ``_value`` as variant) of objects, and of arrays by place."""
     out = None
     for k, name in enumerate(sections):
-        value = F.try_variant_get("_json", f"$['{name}']", "variant")
+        docs_k = held(docs, "_part", F.try_variant_get("_json", f"$['{name}']", "variant"))
+        value = F.col("_part")
         table = F.try_variant_get(value, "$", "map<string,variant>")
         places = F.try_variant_get(value, "$", "array<variant>")
         by_place = F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.size(places) - 1), lambda x: x.cast("string")), places)
         entries = F.coalesce(table, F.when(F.size(places) > 0, by_place))
-        one = docs.select(*FILE, "content", F.lit(k).alias("_section"), F.explode(entries).alias("_key", "_value"))
+        one = docs_k.select(*FILE, "content", F.lit(k).alias("_section"), F.explode(entries).alias("_key", "_value"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -67,8 +68,8 @@ def _ordered(rows: DataFrame, ecosystem: str) -> DataFrame:
 
 
 def package_json_refs(docs: DataFrame) -> DataFrame:
-    found = section_entries(docs, NPM_SECTIONS).withColumn("pkg", names.npm_dependency_target(F.col("_key"), text_value(F.col("_value"))))
-    found = found.filter(text_value(F.col("_value")).isNotNull() & F.col("pkg").isNotNull() & (F.col("pkg") != ""))
+    found = where_found(section_entries(docs, NPM_SECTIONS), "_spec", text_value(F.col("_value")))
+    found = where_found(found, "pkg", names.npm_dependency_target(F.col("_key"), F.col("_spec")), lambda x: x != "")
     return _ordered(found.withColumn("line", declaration_line(F.col("content"), F.col("_key"))), "npm")
 
 
@@ -78,7 +79,7 @@ def composer_refs(docs: DataFrame) -> DataFrame:
 
 
 def line_refs(rows: DataFrame, target: Column, ecosystem: str) -> DataFrame:
-    return rows.withColumn("pkg", target).filter("pkg IS NOT NULL").select(*FILE, "line", F.lit(0).alias("seg"), "pkg", F.lit(ecosystem).alias("ecosystem"))
+    return where_found(rows, "pkg", target).select(*FILE, "line", F.lit(0).alias("seg"), "pkg", F.lit(ecosystem).alias("ecosystem"))
 
 
 def cargo_refs(rows: DataFrame) -> DataFrame:

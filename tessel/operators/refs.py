@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.operators.evidence import internal_evidence, with_scope_evidence, without_internal
-from tessel.operators.imports import first_seen, import_refs
+from tessel.operators.evidence import apply_evidence, internal_evidence
+from tessel.operators.imports import import_refs
 from tessel.operators.manifests import manifest_refs
 
 #: Lookups of a scan; the references beyond are reported as unverified, never dropped.
 MAX_LOOKUPS = 1000
 
 
-def merged(imports: DataFrame, manifests: DataFrame) -> DataFrame:
-    """One row for each (scan, ecosystem, package): an import goes before a manifest, the earliest before others.
+def merged(refs: DataFrame) -> DataFrame:
+    """Of references with ``source`` one for each (scan, ecosystem, package): an import goes before a manifest, the
+    earliest before others.
 
-    With ``source`` and ``ord``, the reference's place in its scan: imports first, in the order of the files.
+    With ``ord``, the reference's place in its scan: imports first, in the order of the files.
     """
-    both = imports.withColumn("source", F.lit("import")).unionByName(manifests.withColumn("source", F.lit("manifest")))
-    both = both.withColumn("_source", F.when(F.col("source") == "import", 0).otherwise(1))
+    both = refs.withColumn("_source", F.when(F.col("source") == "import", 0).otherwise(1))
     by = Window.partitionBy("scan_id", "ecosystem", "pkg").orderBy("_source", "file_ord", "line", "seg")
     first = both.withColumn("_rank", F.row_number().over(by)).filter("_rank = 1").drop("_rank")
     return first.withColumn("ord", F.row_number().over(Window.partitionBy("scan_id").orderBy("_source", "file_ord", "line", "seg", "ecosystem", "pkg"))).drop("_source")
@@ -34,6 +34,5 @@ def package_refs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The references of each scan, without the project's own names, and the manifests that can't be read."""
     evidence = internal_evidence(files)
     manifests, errors = manifest_refs(files)
-    imports = first_seen(without_internal(import_refs(files), evidence))
-    refs = merged(imports, first_seen(without_internal(manifests, evidence)))
-    return with_scope_evidence(with_budget(refs), evidence), errors
+    both = import_refs(files).withColumn("source", F.lit("import")).unionByName(manifests.withColumn("source", F.lit("manifest")))
+    return with_budget(merged(apply_evidence(both, evidence))), errors

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions import names
-from tessel.functions.risk import is_stacked, risk
+from tessel.functions.risk import is_stacked, with_risk
 from tessel.functions.text import entropy
 from tessel.operators import secrets
 from tessel.operators.classify import ghost_can_block, known_state, state_severity
@@ -361,13 +361,14 @@ MANIFEST_REFS = REFS.replace("p_partkey % 50", "p_partkey % 40").replace("CAST(p
     f"""SELECT scan_id, ecosystem, pkg, source, file_ord, line FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, ecosystem, pkg ORDER BY source, file_ord, line, seg) AS rn FROM (SELECT *, 'import' AS source FROM ({REFS}) UNION ALL SELECT *, 'manifest' AS source FROM ({MANIFEST_REFS}))) WHERE rn = 1""",
 )
 def q_merged_refs(spark, sf_dir):
-    return merged(base(spark, sf_dir, REFS), base(spark, sf_dir, MANIFEST_REFS)).select("scan_id", "ecosystem", "pkg", "source", "file_ord", "line")
+    both = base(spark, sf_dir, REFS).withColumn("source", F.lit("import")).unionByName(base(spark, sf_dir, MANIFEST_REFS).withColumn("source", F.lit("manifest")))
+    return merged(both).select("scan_id", "ecosystem", "pkg", "source", "file_ord", "line")
 
 
 @query("q_budget", f"SELECT scan_id, looked_up, count(*) AS n FROM (SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY file_ord, line, seg) <= 30 AS looked_up FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, ecosystem, pkg ORDER BY file_ord, line, seg) AS rn FROM ({REFS})) WHERE rn = 1) GROUP BY scan_id, looked_up")
 def q_budget(spark, sf_dir):
-    refs = base(spark, sf_dir, REFS)
-    return with_budget(merged(refs, refs.limit(0)), 30).groupBy("scan_id", "looked_up").agg(F.count("*").alias("n"))
+    refs = base(spark, sf_dir, REFS).withColumn("source", F.lit("import"))
+    return with_budget(merged(refs), 30).groupBy("scan_id", "looked_up").agg(F.count("*").alias("n"))
 
 
 # ---- classification ----
@@ -383,7 +384,7 @@ _STRONG = f"NOT exists OR security_holding OR coalesce(typo_distance = 1, false)
 
 def _risks(spark, sf_dir):
     rows = base(spark, sf_dir, SIGNALS)
-    return rows.withColumn("_risk", risk({c: F.col(c) for c in rows.columns if c != "k"}))
+    return with_risk(rows, {c: F.col(c) for c in rows.columns if c != "k"}, "_risk")
 
 
 @query("q_risk_score", f"SELECT k, score, band FROM {SQL_RISK}")

@@ -51,8 +51,8 @@ def test_go(value):
         "github.com/aws/aws-sdk-go-v2/service/s3": "github.com/aws/aws-sdk-go-v2", "github.com/aws": None, "fmt": None, "net/http": None, "golang.org/x/net/html": "golang.org/x/net", "golang.org/y/z": None,
         "gopkg.in/yaml.v3": "gopkg.in/yaml.v3", "gopkg.in/a/b.v1/c": "gopkg.in/a/b.v1", "gopkg.in/a": None, "example.com/a/b": None, "GitHub.com/a/b": "GitHub.com/a/b",
     })
-    check(value, lambda c: names.go_module_of_line(c, F.lit(True)), {'import "github.com/a/b"': "github.com/a/b", '  x "github.com/a/b/c"': "github.com/a/b", '"github.com/a/b" // c': None, "": None})
-    check(value, lambda c: names.go_module_of_line(c, F.lit(False)), {'import _ "github.com/a/b"': "github.com/a/b", '"github.com/a/b"': None})
+    check(value, lambda c: names.go_module_root(names.go_path_of_line(c, F.lit(True))), {'import "github.com/a/b"': "github.com/a/b", '  x "github.com/a/b/c"': "github.com/a/b", '"github.com/a/b" // c': None, "": None})
+    check(value, lambda c: names.go_module_root(names.go_path_of_line(c, F.lit(False))), {'import _ "github.com/a/b"': "github.com/a/b", '"github.com/a/b"': None})
 
 
 def test_paths(value):
