@@ -96,6 +96,22 @@ ORACLE_SQL = {
                (SELECT h || p FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule,
                coalesce((SELECT v FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1), 'allow') AS verdict
         FROM u""",
+    "op6_suffix_automata": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM w, range(1, len(ws) - 33) r(i)),
+        again AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM p SEMI JOIN again USING (k), range(0, 35) x(j)),
+        left_ AS (SELECT doc_id, count(*) AS n, sha256(string_agg(word, ' ' ORDER BY pos)) AS h FROM (SELECT doc_id, pos, ws[pos] AS word FROM w, range(1, len(ws) + 1) t(pos)) a ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, coalesce(h, sha256('')) AS kept_sha256 FROM w LEFT JOIN left_ USING (doc_id)""",
+    "op9_odd_sketches": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 1], ' ') AS g FROM w, range(1, greatest(len(ws), 2)) r(i) WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+        e2 AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        reach AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT e2.y, root FROM reach JOIN e2 ON e2.x = reach.doc_id)
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c.root AS component_id, w.doc_id = c.root AS kept FROM w JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) c USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op10_golomb_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s FROM documents),
         k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY s ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size FROM d)
