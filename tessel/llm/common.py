@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +63,25 @@ def same(a: Column, b: Column) -> Column:
 def bounded(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
     """``df`` with a broadcast hint if ``rows`` rows are within ``BROADCAST_BYTES``, else as it is."""
     return F.broadcast(df) if rows * bytes_a_row <= BROADCAST_BYTES else df
+
+
+#: What a worker keeps from task to task: functions that drop it.
+KEPT: list[Callable[[], None]] = []
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 1000, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that a worker holds the Python objects of few rows.
+
+    Workers live on, and an executor's limit holds for all of them: unless ``keep`` is said, what tasks of other
+    operators left for later ones goes first, and at the end free memory goes back to the system.
+    """
+    if not keep:
+        for drop in KEPT:
+            drop()
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)

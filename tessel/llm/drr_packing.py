@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import bounded, written
+from tessel.llm.common import bounded, small_batches, written
 from tessel.llm.tokens import batches_of_texts, encoder
 
 #: Ids in a sequence, and in a window: a window has the target proportions.
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, weights: dict | None
     def encode(batches):
         enc, given = encoder(tokenizer), {}
         end = np.array([end_id], enc.type).tobytes()
-        for b in batches:
+        for b in small_batches(batches, keep=True):
             texts = [x or "" for x in b.column("_text").to_pylist()]
             sources = b.column("_source").to_pylist()
             for a, z in batches_of_texts(texts):
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, weights: dict | None
 
     def cut(batches):
         width = encoder(tokenizer).type
-        for b in batches:
+        for b in small_batches(batches, keep=True):
             rows: list[tuple] = []
             own: list[int] = []
             data: list[bytes] = []

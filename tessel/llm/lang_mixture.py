@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessel.llm.common import small_batches
+
 #: The models are fitted on at most so many labelled rows of each language, those with the smallest hashes of
 #: their ids, and for at most so many languages, the most frequent ones.
 FIT_ROWS, MAX_LANGUAGES = 2000, 256
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in small_batches(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 bucket, _ = trigrams(words_of(text))
                 sums[lang] = sums.get(lang, np.zeros(BUCKETS, np.int64)) + np.bincount(bucket, minlength=BUCKETS)
@@ -187,7 +189,7 @@ def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         models, memory = held.value, {}
-        for b in batches:
+        for b in small_batches(batches):
             shares = _predictions(models, [x or "" for x in b.column(1).to_pylist()], memory)
             best = [None if x is None else int(x.argmax()) for x in shares]
             yield pa.RecordBatch.from_arrays(
@@ -212,7 +214,7 @@ def with_main_language(docs: DataFrame, models: Models, share: float, text_col:
 
     def run(batches):
         models, memory = held.value, {}
-        for b in batches:
+        for b in small_batches(batches):
             shares = _predictions(models, [x or "" for x in b.column(at).to_pylist()], memory)
             yield b.filter(pa.array([x is not None and float(x.max()) >= share for x in shares], pa.bool_()))
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.common import small_batches
+
 #: Words whose counts a worker remembers, at most.
 MEMORY = 400_000
 
@@ -114,7 +116,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches):
         engine, known = automaton(vocabulary), {}
-        for b in batches:
+        for b in small_batches(batches):
             words, pieces = [], []
             for text in b.column(1).cast(pa.binary()).to_pylist():
                 own = (text or b"").split()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import bounded, written
+from tessel.llm.common import bounded, small_batches, written
 from tessel.llm.components import components
 
 ROWS, BANDS = 5, 32
@@ -119,7 +119,7 @@ MOST_BITS = int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * SAMPLES * (1 - LEAST_ESTI
 def _signatures(size: int):
     def run(batches):
         numbers = _Numbers()
-        for b in batches:
+        for b in small_batches(batches):
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             at = 0
             while at < len(texts):
@@ -150,7 +150,7 @@ def _signatures(size: int):
 def _sets(size: int):
     def run(batches):
         numbers = _Numbers()
-        for b in batches:
+        for b in small_batches(batches):
             sets = shingle_sets([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()], size, numbers)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["_node", "_digest", "_set"])
 
@@ -170,7 +170,7 @@ def _verify(percent: int):
     """Pairs whose sets have ``100 * intersection >= percent * union``."""
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             good = []
             for x, y in zip(b.column("_x"), b.column("_y")):
                 good.append(_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.llm.common import small_batches
 from tessel.llm.tokens import batches_of_texts, encoder
 
 #: Ids in a shard, about; a longer document is a shard alone.
@@ -165,7 +166,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_co
             return row
 
         end = np.array([end_id], enc.type).tobytes()
-        for b in batches:
+        for b in small_batches(batches, keep=True):
             arrow = b.column(1).type
             if part is None and b.num_rows:
                 part = b.column(0)[0].as_py()
@@ -204,7 +205,7 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFram
         total += sums[part]
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, keep=True):
             for part, start, names, sizes, payload in zip(*(b.column(i) for i in range(5))):
                 names, sizes = names.values, sizes.values.to_numpy().astype(np.int64)
                 ids = Shard(payload.as_py()).read().astype("<u4")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.common import small_batches
+
 #: Substrings of fewer words don't count as repeated passages.
 MIN_WORDS = 5
 #: A text is dropped if more of its words than this fraction lie in repeated passages ...
@@ -151,7 +153,7 @@ def repetition_features(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = [x.split()[0] for x in FEATURES.split(", ")]
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in _features(texts))], ["_id", *names])
 

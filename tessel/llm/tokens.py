@@ -9,8 +9,10 @@ from functools import lru_cache
 
 import numpy as np
 
+from tessel.llm.common import KEPT
+
 #: Chunks whose ids a worker remembers, at most, and the slots of its table (a power of two, 20 bytes each).
-MEMORY, SLOTS = 2_000_000, 1 << 22
+MEMORY, SLOTS = 1_200_000, 1 << 21
 #: Bytes of a chunk that is remembered, at most; and bytes of text that are looked up together, about.
 LONGEST, SLICE = 512, 1 << 19
 
@@ -269,6 +271,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+KEPT.append(encoder.cache_clear)
+
+
 def batches_of_texts(texts, chars: int = 4_000_000):
     """Slices of a list of texts, of about so many characters each."""
     at = 0

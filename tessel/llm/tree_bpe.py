@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.common import small_batches
 from tessel.llm.tokens import Encoder, batches_of_texts, encoder
 
 #: A pre-token of more bytes is encoded as a tree, with leaves of at most so many.
@@ -171,7 +172,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def short(batches):
         tree = tree_encoder(tokenizer)
-        for b in batches:
+        for b in small_batches(batches, keep=True):
             texts = b.column(1).to_pylist()
             for x, y in batches_of_texts(texts):
                 yield batch(b.column(0).slice(x, y - x), [result(ids, tree) for ids in tree.encode_many(texts[x:y])])
@@ -179,7 +180,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     def cut(batches):
         """Rows of parts: a run of pre-tokens, or a leaf of a long one (kept together by ``_whole``)."""
         tree = tree_encoder(tokenizer)
-        for b in batches:
+        for b in small_batches(batches, keep=True):
             for k, text in enumerate(b.column(2).to_pylist()):
                 if not tree.enc.chunked or any(x in text for x in tree.enc.added):
                     parts = [(0, "run", text)]
@@ -197,7 +198,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def leaves(batches):
         tree = tree_encoder(tokenizer)
-        for b in batches:
+        for b in small_batches(batches, keep=True):
             ids = []
             for what, part in zip(b.column("_kind").to_pylist(), b.column("_part").to_pylist()):
                 ids.append(tree.enc.encode_many([part])[0] if what == "run" else np.array(tree.tree(part), tree.enc.type).tobytes())
