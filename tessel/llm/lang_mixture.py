@@ -123,8 +123,12 @@ def mixtures(logs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:
     """Models of the languages of the rows where ``train`` holds, and text and language are not null."""
     rows = docs.filter(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    by = Window.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit("fit")), "_id")
-    some = rows.select("_id", "_lang").withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= FIT_ROWS).select("_id", "_lang").distinct()
+    narrow = rows.select("_id", "_lang", F.shiftrightunsigned(F.xxhash64("_id", F.lit("fit")), 1).alias("_place"))
+    sizes = narrow.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "_lang").limit(MAX_LANGUAGES)
+    # of each language about four times as many rows as are wanted, then the first of them
+    near = narrow.join(F.broadcast(sizes), "_lang").filter(F.col("_place") <= F.least(F.lit(1.0), 4.0 * FIT_ROWS / F.col("_n")) * float(1 << 63))
+    by = Window.partitionBy("_lang").orderBy("_place", "_id")
+    some = near.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= FIT_ROWS).select("_id", "_lang").distinct()
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -139,8 +143,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     # FIT_ROWS ids of each language at most
     counts = rows.join(F.broadcast(some), ["_id", "_lang"], "left_semi").select("_lang", "_text").mapInArrow(count, "_lang string, _bucket long, _n long")
     got = counts.groupBy("_lang", "_bucket").agg(F.sum("_n").alias("_n")).toPandas()
-    sizes = got.groupby("_lang")["_n"].sum().sort_values(ascending=False)
-    names = sorted(sizes.index[:MAX_LANGUAGES])
+    names = sorted(got["_lang"].unique())
     table = np.zeros((BUCKETS, len(names)))
     for k, name in enumerate(names):
         own = got[got["_lang"] == name]
