@@ -24,16 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset, as in local tests, is a
-    folder under /tmp taken.
+    It is ``spark.checkpoint.dir`` of the session.  Only in a local session, as in tests, may that be unset; a
+    folder under /tmp is taken then.
     """
     context = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "/tmp/checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Folders of intermediate tables of this driver.
+WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the intermediate tables written so far; results that were not yet read or stored are lost with them."""
+    while WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
@@ -41,6 +56,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
