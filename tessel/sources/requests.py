@@ -70,3 +70,17 @@ def files_of_params(messages: DataFrame) -> DataFrame:
     kind = "struct<arguments:struct<files:array<struct<path:string,content:string>>>>"
     called = messages.filter("method = 'tools/call' AND id IS NOT NULL").select(F.col("id").alias("scan_id"), F.from_json("params", kind).alias("_p"))
     return called.select("scan_id", F.posexplode("_p.arguments.files").alias("file_ord", "_f")).select("scan_id", "file_ord", "_f.path", "_f.content")
+
+
+def contexts_of_params(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``scan_id`` and ``context`` of ``tools/call`` messages (null where none is given), and those that are refused."""
+    called = messages.filter("method = 'tools/call' AND id IS NOT NULL").select(F.col("id").alias("scan_id"), F.get_json_object("params", "$.arguments.context").alias("context"))
+    called = called.withColumn("error", string_error(F.col("context"), "context", 0, MAX_CONTEXT, optional=True))
+    return called.filter("error IS NULL").drop("error"), called.filter("error IS NOT NULL").select("scan_id", "error")
+
+
+def without_files(messages: DataFrame) -> DataFrame:
+    """``scan_id`` and ``error`` of ``tools/call`` messages that have no file."""
+    files = F.from_json(F.get_json_object("params", "$.arguments.files"), "array<string>")
+    none = messages.filter("method = 'tools/call' AND id IS NOT NULL").filter(F.coalesce(F.size(files), F.lit(0)) < 1)
+    return none.select(F.col("id").alias("scan_id"), F.lit("files must be an array of at least 1 entry").alias("error"))

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessel.operators.verdict import as_json
-from tessel.plans.preflight import preflight
-from tessel.sources.requests import INVALID_PARAMS, files_of_params, parse_messages, validate_files
+from tessel.operators.verdict import as_json, results
+from tessel.plans.preflight import findings, scans
+from tessel.sources.requests import INVALID_PARAMS, contexts_of_params, files_of_params, parse_messages, validate_files, without_files
 
+#: The tool that checks files; a call that names none is one.
+CHECK = "pre_flight_check"
 #: Files of requests that a batch takes, at most: the rest waits.
 MAX_FILES_A_TRIGGER = 4
 
@@ -25,9 +27,14 @@ def answer(lines: DataFrame, answers: DataFrame, as_of: str) -> tuple[DataFrame,
     """For a batch of lines the results (``scan_id``, ``result``) and what could not be read (``scan_id``,
     ``code``, ``error``); one row for each request's id."""
     messages, bad = parse_messages(lines)
+    messages = messages.filter((F.col("method") != "tools/call") | F.coalesce(F.get_json_object("params", "$.name") == CHECK, F.lit(True)))
     files, refused = validate_files(files_of_params(messages))
+    contexts, long = contexts_of_params(messages)
+    refused = refused.unionByName(long).unionByName(without_files(messages)).groupBy("scan_id").agg(F.min("error").alias("error"))
+    files = files.join(long, "scan_id", "left_anti")
+    own = scans(files).join(contexts, "scan_id", "left")
     errors = bad.select(F.lit(None).cast("string").alias("scan_id"), "code", F.lit("parse error").alias("error")).unionByName(refused.select("scan_id", F.lit(INVALID_PARAMS).alias("code"), "error"))
-    return as_json(preflight(files, answers, as_of)), errors
+    return as_json(results(own, findings(files, answers, as_of))), errors
 
 
 def serve(requests: DataFrame, answers: DataFrame, as_of: str, results_path: str, errors_path: str, checkpoint: str) -> StreamingQuery:

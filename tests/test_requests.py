@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessel.sources.requests import parse_messages, report_outcome, validate_files, validate_reports
+from tessel.streaming.protocol import replies
 from tessel.streaming.service import answer, append_reports, read_requests, serve
 
 AS_OF = "2026-08-07 00:00:00"
@@ -26,8 +27,8 @@ def test_reports(spark):
     assert all(r[0] for r in kinds.select(report_outcome(F.col("s"), F.lit("n"), F.lit(None).cast("string"), F.lit(500))).collect())
 
 
-def call(number, *pairs):
-    return json.dumps({"jsonrpc": "2.0", "id": number, "method": "tools/call", "params": {"name": "check", "arguments": {"files": [{"path": p, "content": c} for p, c in pairs]}}})
+def call(number, *pairs, **extra):
+    return json.dumps({"jsonrpc": "2.0", "id": number, "method": "tools/call", "params": {"name": "pre_flight_check", "arguments": {"files": [{"path": p, "content": c} for p, c in pairs]} | extra}})
 
 
 def test_messages(spark):
@@ -42,10 +43,19 @@ def known_answers(spark):
 
 
 def test_answers(spark):
-    lines = [call(1, ("requirements.txt", "ghost")), call(2, ("a.txt", "")), call(3, ("", "x")), "nonsense"]
+    lines = [call(1, ("requirements.txt", "ghost"), context="why"), call(2, ("a.txt", "")), call(3, ("", "x")), "nonsense", call(4, ("a.txt", ""), context="x" * 501), call(5), call(6, ("a.txt", "")).replace("pre_flight_check", "other")]
     results, errors = answer(spark.createDataFrame([(x,) for x in lines], "value string"), known_answers(spark), AS_OF)
     assert {r.scan_id: json.loads(r.result)["verdict"] for r in results.collect()} == {"1": "BLOCKED", "2": "CLEAR"}
-    assert sorted((str(r.scan_id), r.code) for r in errors.collect()) == [("3", -32602), ("None", -32700)]
+    assert {r.scan_id: json.loads(r.result).get("context") for r in results.collect()} == {"1": "why", "2": None}
+    assert sorted((str(r.scan_id), r.code) for r in errors.collect()) == [("3", -32602), ("4", -32602), ("5", -32602), ("None", -32700)]
+
+
+def test_replies(spark):
+    lines = ['{"id": 1, "method": "ping"}', '{"id": "a", "method": "initialize", "params": {"protocolVersion": "2024-11-05"}}', '{"id": 3, "method": "initialize", "params": {"protocolVersion": "1"}}', '{"id": 4, "method": "tools/list"}', '{"id": 5, "method": "no\\"pe"}', '{"id": 6}', '{"method": "notifications/initialized"}', '{"id": 7, "method": "tools/call", "params": {"name": "x"}}', call(8)]
+    got = [json.loads(r.reply) if r.reply else None for r in replies(parse_messages(spark.createDataFrame([(x,) for x in lines], "value string"))[0]).collect()]
+    by = {r["id"]: r for r in got if r}
+    assert got.count(None) == 2 and by[1]["result"] == {} and by["a"]["result"]["protocolVersion"] == "2024-11-05" and by[3]["result"]["protocolVersion"] == "2025-11-25"
+    assert [t["name"] for t in by[4]["result"]["tools"]] == ["pre_flight_check", "report_hallucination"] and {k: by[k]["error"]["code"] for k in (5, 6, 7)} == {5: -32601, 6: -32600, 7: -32602}
 
 
 def test_stream(spark, tmp_path):
