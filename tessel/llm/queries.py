@@ -14,7 +14,7 @@ from tessel.llm.golomb_dedup import exact_dedup
 from tessel.llm.lang_mixture import fit, held_out, predict
 from tessel.llm.linmax import token_counts
 from tessel.llm.odd_sketches import near_duplicates
-from tessel.llm.repair_store import read_ids, with_crc32, write_ids
+from tessel.llm.repair_store import read_ids, write_ids
 from tessel.llm.suffix_automata import remove_repeats
 from tessel.llm.suffix_repeats import repetition_rules
 from tessel.llm.tree_bpe import encode_decode
@@ -30,7 +30,7 @@ TOKENIZER = "byte_bpe_50k.json"
 def op1_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tessel-store-{uuid.uuid4().hex}"
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
-    return with_crc32(read_ids(spark, path))
+    return read_ids(spark, path, digest=True)
 
 
 def op2_linmax_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

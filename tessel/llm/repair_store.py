@@ -16,6 +16,7 @@ documents and ``payload`` holds the ids, all numbers little-endian:
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -190,10 +191,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_co
     ranged.mapInArrow(run, schema).write.parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", digest: bool = False) -> DataFrame:
     """Of each document of a store: id, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids``.
 
-    ``ids`` are little-endian unsigned 32-bit integers.
+    ``ids`` are little-endian unsigned 32-bit integers; with ``digest``, ``ids_crc32`` of them is in their place.
     """
     shards = spark.read.parquet(path)
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
@@ -212,15 +213,15 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFram
                 ends = np.cumsum(sizes)
                 first = before[part.as_py()] + start.as_py()
                 data = ids.tobytes()
-                cut = [data[4 * x : 4 * y] for x, y in zip((ends - sizes).tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([names, pa.array(first + ends - sizes), pa.array(sizes), pa.array(cut, pa.binary())], ["_id", "start", "n_tokens", "ids"])
-
-    got = shards.select("part", "start", "doc_ids", "doc_tokens", "payload").mapInArrow(run, f"_id {kind}, start long, n_tokens long, ids binary")
+                spans = zip((ends - sizes).tolist(), ends.tolist())
+                if digest:
+                    last = pa.array([zlib.crc32(data[4 * x : 4 * y]) for x, y in spans], pa.int64())
+                else:
+                    last = pa.array([data[4 * x : 4 * y] for x, y in spans], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, pa.array(first + ends - sizes), pa.array(sizes), last], ["_id", "start", "n_tokens", column])
+
+    column = "ids_crc32" if digest else "ids"
+    got = shards.select("part", "start", "doc_ids", "doc_tokens", "payload").mapInArrow(run, f"_id {kind}, start long, n_tokens long, {column} " + ("long" if digest else "binary"))
     return got.withColumnRenamed("_id", id_col)
 
 
-def with_crc32(ids: DataFrame) -> DataFrame:
-    """``ids`` replaced by ``ids_crc32``."""
-    return ids.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-
-

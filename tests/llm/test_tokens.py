@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from tessel.llm.common import shared_dir
 from tessel.llm.drr_packing import SEQUENCE, pack, places, plan_rounds
 from tessel.llm.linmax import Automaton, automaton, byte_pieces, token_counts
-from tessel.llm.repair_store import Shard, read_ids, to_payload, with_crc32, write_ids
+from tessel.llm.repair_store import Shard, read_ids, to_payload, write_ids
 from tessel.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,7 +57,8 @@ def test_store(spark, library, monkeypatch):
     data = [(i * 7 % 1000, x) for i, x in enumerate(texts)] + [(3, "again"), (3, "again"), (None, "first")]
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     write_ids(spark.createDataFrame([(*x, 1) for x in data], "doc_id long, text string, part int").repartition(4), path, PATH)
-    got = sorted(with_crc32(read_ids(spark, path)).collect(), key=lambda r: r.start)
+    got = sorted(read_ids(spark, path, digest=True).collect(), key=lambda r: r.start)
+    assert {r.start: zlib.crc32(r.ids) for r in read_ids(spark, path).collect()} == {r.start: r.ids_crc32 for r in got}
     assert [r.doc_id for r in got] == sorted((i for i, _ in data), key=lambda i: -1 if i is None else i)
     start = 0
     for r in got:
