@@ -26,6 +26,9 @@ _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _MARKS = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
 
 
+_BLANK = np.array([chr(b).isspace() and b < 128 for b in range(256)])
+
+
 class _Hash:
     """Polynomial hashes modulo 2 ** 64 of many parts of a buffer at once, by prefix sums."""
 
@@ -209,6 +212,18 @@ class Encoder:
         data = np.frombuffer(joined, np.uint8)
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         opens = data == 32
+        # a space between white space, or between white space and the end: beyond ASCII it was looked for before
+        blank = _BLANK[data]
+        after = np.append(blank[1:], True)
+        after[ends[ends > 0] - 1] = True
+        joined_up = np.flatnonzero(opens[1:] & blank[:-1] & after[1:]) + 1
+        if len(joined_up):
+            owner = np.searchsorted(ends, joined_up, "right")
+            inside = joined_up - 1 >= np.append(0, ends)[owner]
+            whole = set(owner[inside].tolist())
+            if whole:
+                rest = iter(self._slice([x for k, x in enumerate(texts) if k not in whole]))
+                return [self.whole(x.decode()) if k in whole else next(rest) for k, x in enumerate(texts)]
         begins = (ends - np.fromiter(map(len, texts), np.int64, len(texts)))[[len(x) > 0 for x in texts]]
         opens[begins] = True
         starts = np.flatnonzero(opens)
@@ -221,14 +236,14 @@ class Encoder:
         if self.memory.n > MEMORY:
             self.memory.clear()
         entries = self.memory.find(one, two)
-        new = np.flatnonzero(entries < 0)
-        if len(new):
-            _, first = np.unique(one[new], return_index=True)
-            new = new[first]
+        missing = np.flatnonzero(entries < 0)
+        if len(missing):
+            _, first = np.unique(one[missing], return_index=True)
+            new = missing[first]
             chunks = [joined[a:b].decode() for a, b in zip(starts[new].tolist(), stops[new].tolist())]
             found = self._learn([c[1:] for c in chunks if c[0] == " "])
             self.memory.add(one[new], two[new], [found[c[1:]] if c[0] == " " else self.whole(c) for c in chunks])
-            entries = self.memory.find(one, two)
+            entries[missing] = self.memory.find(one[missing], two[missing])
             if (entries < 0).any():  # two chunks of one first hash
                 return [self.whole(x.decode()) for x in texts]
         ids, cuts = self.memory.ids(entries)
@@ -251,7 +266,7 @@ class Encoder:
             own, held, size = [], [], 0
 
         for k, text in enumerate(texts):
-            if not self.chunked or _JOINED.search(text) or any(x in text for x in self.added):
+            if not self.chunked or (not text.isascii() and _JOINED.search(text)) or any(x in text for x in self.added):
                 out[k] = self.whole(text)
             elif text:
                 data = text.encode()
