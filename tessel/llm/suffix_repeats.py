@@ -20,10 +20,12 @@ from tessel.llm.common import small_batches
 
 #: Substrings of fewer words don't count as repeated passages.
 MIN_WORDS = 5
-#: A text is dropped if more of its words than this fraction lie in repeated passages ...
-MAX_FRACTION = 0.5
-#: ... or if the longest repeated passage has more than this fraction of its words and at least LONG_WORDS.
-MAX_LONGEST, LONG_WORDS = 0.2, 50
+#: A text is dropped if more of its words than this fraction lie in repeated passages (words in such passages
+#: are also in 3-word windows found twice, so a fraction of the base rule's 0.5 or more would drop nothing) ...
+MAX_FRACTION = 0.15
+#: ... or if the longest repeated passage has more than this fraction of its words and at least LONG_WORDS.  A
+#: passage found twice covers twice its share, so this acts on its own below MAX_FRACTION / 2.
+MAX_LONGEST, LONG_WORDS = 0.05, 10
 #: Words sorted together; a longer text is sorted alone.
 BATCH_WORDS = 200_000
 
@@ -166,7 +168,7 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A text fails the base rules with fewer than 50 words, or with over half of its words in 3-word windows
     that it has twice.  Of the others, those stay that have at most MAX_FRACTION of their words in repeated
-    passages and no repeated passage longer than MAX_LONGEST of the text (LONG_WORDS words always pass).
+    passages and no repeated passage longer than MAX_LONGEST of the text (fewer than LONG_WORDS words always pass).
     Null, empty and blank texts fail the base rules.
     """
     got = repetition_features(docs, id_col, text_col)

@@ -64,6 +64,21 @@ def test_repetition_of_long_texts(spark):
     assert [(r.n_covered_words, r.longest_repeat, r.kept) for r in sorted(rows)] == [(3000, 2999, False), (0, 0, True)]
 
 
+def test_each_repetition_limit_acts_alone(spark):
+    w = [f"w{i}" for i in range(1000)]
+    some = {
+        "clean": w[:200],
+        "short passages": w[:200] + w[0:6] + w[300:310] + w[20:26] + w[310:320] + w[40:46],  # 36 of 238 words, at most 6 at once
+        "few short passages": w[:200] + w[0:6] + w[300:310] + w[20:26],
+        "one long passage": w[:200] + w[0:14],  # 28 of 214 words
+        "long passage of a long text": w + w[:14],
+        "just below the base rule": w[:200] + w[0:60],  # 120 of 260 words
+    }
+    rows = {r.doc_id: r for r in repetition_rules(spark.createDataFrame([(k, " ".join(x)) for k, x in some.items()], "doc_id string, text string")).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert {k: (r.n_covered_words, r.longest_repeat) for k, r in rows.items() if not r.kept} == {"short passages": (36, 6), "one long passage": (28, 14), "just below the base rule": (120, 60)}
+
+
 def test_suffix_array():
     r = np.random.default_rng(0)
     for n in (0, 1, 2, 50, 300):
