@@ -154,3 +154,50 @@ def test_mixture(spark):
             cold[p.sequence_id // 16] = cold.get(p.sequence_id // 16, 0) + p.length
     full = [n for w, n in cold.items() if w < max(cold)]
     assert full and max(abs(n - 4096) for n in full) <= 4
+
+
+def test_mixture_of_many_sources(spark):
+    """With more sources than MAX_QUEUES every window still has each source's own proportion."""
+    data = [(i, "word " * 900, "hot") for i in range(200)] + [(1000 + i, "word " * 299, f"rare {i % 200}") for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    got = pack(docs, PATH).collect()
+    total, have = sum(p.length for p in got), {}
+    size, window = {}, 16 * SEQUENCE
+    for p in got:
+        size[p.source] = size.get(p.source, 0) + p.length
+        have[p.source, p.sequence_id // 16] = have.get((p.source, p.sequence_id // 16), 0) + p.length
+    assert len(size) == 201
+    # windows lose less than an id a source against the rounds; a sequence's end lies that far from a round's
+    for s, n in size.items():
+        for w in range(total // window - 1):
+            assert abs(have.get((s, w), 0) - n * window / total) <= (2 if s != "hot" else 201), (s, w)
+
+
+def test_weights_of_many_sources(spark):
+    """Given targets hold with more sources than MAX_QUEUES; others wait until those are dry."""
+    data = [(i, "word " * 900, "a" if i % 2 else "b") for i in range(100)] + [(1000 + i, "word " * 20, f"rare {i}") for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    have = {}
+    for p in pack(docs, PATH, weights={"a": 3.0, "b": 1.0}).collect():
+        if p.sequence_id < 32:
+            have[p.source] = have.get(p.source, 0) + p.length
+    assert set(have) == {"a", "b"} and abs(have["a"] - 3 * 8 * SEQUENCE) <= 4, have
+
+
+def test_rounds_of_many_queues():
+    """Against deficits counted round by round, in the phase before the first queue is dry."""
+    r = random.Random(5)
+    totals = [r.randrange(40, 90) for _ in range(300)]
+    weights = [r.choice([0.5, 1.0, 3.0]) for _ in totals]
+    plan, mass = plan_rounds(totals, weights, 256), sum(weights)
+    deficit, given, want, at = [0] * len(totals), [0] * len(totals), [], 0
+    for _ in range(15):
+        for i, w in enumerate(weights):
+            deficit[i] += int(w / mass * 256 * 65536)
+            n, deficit[i] = deficit[i] >> 16, deficit[i] & 65535
+            want += [(i, given[i], at, n)] if n else []
+            given[i], at = given[i] + n, at + n
+    assert all(n < x for n, x in zip(given, totals))
+    assert sorted((i, *x) for i, n in enumerate(given) for x in places(plan, i, 0, n)) == sorted(want)
+    seen = sorted(x[1:] for i, n in enumerate(totals) for x in places(plan, i, 0, n))
+    assert [a for a, _ in seen] == np.cumsum([0, *(n for _, n in seen)])[:-1].tolist() and sum(n for _, n in seen) == sum(totals)
