@@ -1,8 +1,8 @@
 """A store of token ids in shards that Re-Pair compresses.
 
 A shard's ids are a sequence.  A round counts its neighbouring pairs, gives each of the most frequent ones a
-new symbol (a nonterminal) and replaces them from left to right; rounds follow as long as they shorten the
-sequence enough.  A rule is the pair of symbols that a nonterminal stands for; with each rule its expansion's
+new symbol (a nonterminal) and replaces them from left to right; rounds follow until no pair is frequent enough
+or, where symbols have two bytes, those are used up.  A rule is the pair of symbols that a nonterminal stands for; with each rule its expansion's
 length is stored, so that a reader finds a place of the sequence without expanding what lies before it.
 
 The file format: a Parquet table, one row for each shard, written by Spark.  ``part`` and ``seq`` order the
@@ -28,25 +28,39 @@ from tessel.llm.tokens import batches_of_texts, encoder
 
 #: Ids in a shard, about; a longer document is a shard alone.
 SHARD_IDS = 1 << 20
-#: A pair is replaced if it is there at least so often.
+#: A pair is replaced if it is there at least so often: a rule takes 12 bytes, a pair that goes saves 2 to 4.
 MIN_COUNT = 8
-#: Pairs replaced in a round, at most, and the part of the sequence that a round must save for another one.
-PAIRS_A_ROUND, MIN_SAVING = 8000, 0.1
-#: Symbols, ids included, at most: so that one takes two bytes.  A larger vocabulary gets no rules.
+#: Pairs replaced in a round, at most.
+PAIRS_A_ROUND = 8000
+#: Symbols of two bytes, ids included.  A vocabulary that leaves fewer than PAIRS_A_ROUND of them may
+#: have symbols of three or four bytes, and as many as pairs give.
 MAX_SYMBOLS = 1 << 16
 STRIDE = 1024
 
 _HEAD = struct.Struct("<4sIIQQB")
 
 
+def _half(x: np.ndarray) -> np.unsignedinteger:
+    """The bits of a symbol in a pair."""
+    return x.dtype.type(4 * x.itemsize)
+
+
+def _bucket(pairs: np.ndarray) -> np.ndarray:
+    """One of 1 << 18 buckets for each pair."""
+    if pairs.dtype == np.uint32:
+        return ((pairs * np.uint32(2654435761)) >> np.uint32(14)).astype(np.int32)
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
+
+
 def _frequent(seq: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent pairs (left << 16 | right), the places of ``seq`` where they begin and which is there.
+    """The most frequent pairs, the places of ``seq`` where they begin and which is there.
 
+    Pairs are left << 16 | right of 32 bits, or left << 32 | right of 64 if ``seq`` is of 64-bit symbols.
     Pairs are counted in hashed buckets first, exactly only in the buckets with the highest counts.  A bucket
     gives its most frequent pair; another one of it waits for a later round.
     """
-    keys = (seq[:-1] << np.uint32(16)) | seq[1:]
-    buckets = ((keys * np.uint32(2654435761)) >> np.uint32(14)).astype(np.int32)
+    keys = (seq[:-1] << _half(seq)) | seq[1:]
+    buckets = _bucket(keys)
     held = np.bincount(buckets, minlength=1 << 18)
     least = max(MIN_COUNT, int(np.partition(held, len(held) - room)[len(held) - room]))
     some = np.sort(keys[held[buckets] >= least])
@@ -58,10 +72,10 @@ def _frequent(seq: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.nd
     by = by[counts[by] >= MIN_COUNT][-room:]
     pairs = pairs[by]  # rising counts: of a bucket's pairs the last is kept
     table = np.full(1 << 18, -1, np.int32)
-    own = ((pairs * np.uint32(2654435761)) >> np.uint32(14)).astype(np.int32)
+    own = _bucket(pairs)
     table[own] = np.arange(len(pairs))
     pairs = pairs[table[own] == np.arange(len(pairs))]
-    table[((pairs * np.uint32(2654435761)) >> np.uint32(14)).astype(np.int32)] = np.arange(len(pairs))
+    table[_bucket(pairs)] = np.arange(len(pairs))
     if not len(pairs):
         return pairs, np.zeros(0, np.int64), np.zeros(0, np.int64)
     which = table[buckets]
@@ -70,13 +84,16 @@ def _frequent(seq: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return pairs, at, which[at]
 
 
-def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rules (pairs of symbols), their expansions' lengths and the sequence that is left of ``ids``."""
-    seq = ids.astype(np.uint32)
+def compress(ids: np.ndarray, first: int, symbols: int = MAX_SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rules (pairs of symbols), their expansions' lengths and the sequence that is left of ``ids``.
+
+    There are at most ``symbols`` symbols, ids included.
+    """
+    seq = ids.astype(np.uint32 if symbols <= 1 << 16 else np.uint64)
     rules: list[np.ndarray] = []
     lengths = np.ones(first, np.uint32)
     while len(seq) > 1:
-        room = min(PAIRS_A_ROUND, MAX_SYMBOLS - len(lengths))
+        room = min(PAIRS_A_ROUND, symbols - len(lengths))
         if room <= 0:
             break
         pairs, at, which = _frequent(seq, room)
@@ -86,7 +103,8 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
         fresh = np.diff(at, prepend=-2) != 1
         good = (at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0
         at, which = at[good], which[good]
-        made = np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], axis=1)
+        half = _half(pairs)
+        made = np.stack([pairs >> half, pairs & ((pairs.dtype.type(1) << half) - pairs.dtype.type(1))], axis=1).astype(np.uint32)
         rules.append(made)
         before = len(seq)
         seq[at] = which + len(lengths)
@@ -94,18 +112,23 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
         keep = np.ones(before, bool)
         keep[at + 1] = False
         seq = seq[keep]
-        if before - len(seq) < MIN_SAVING * before:
-            break
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), lengths[first:], seq
 
 
 def to_payload(ids: np.ndarray, vocabulary: int) -> bytes:
-    rules, lengths, seq = compress(ids, vocabulary)
-    kind = np.dtype("<u2") if vocabulary + len(rules) <= 1 << 16 else np.dtype("<u4")
+    if MAX_SYMBOLS - vocabulary >= PAIRS_A_ROUND:
+        return _payload(ids, vocabulary, MAX_SYMBOLS)
+    wide = _payload(ids, vocabulary, 1 << 32)
+    return wide if vocabulary > MAX_SYMBOLS else min(_payload(ids, vocabulary, MAX_SYMBOLS), wide, key=len)
+
+
+def _payload(ids: np.ndarray, vocabulary: int, symbols: int) -> bytes:
+    rules, lengths, seq = compress(ids, vocabulary, symbols)
+    width = next(w for w in (2, 3, 4) if vocabulary + len(rules) <= 1 << 8 * w)
     sizes = np.concatenate([np.ones(vocabulary, np.uint32), lengths])[seq].astype(np.uint64)
     marks = (np.cumsum(sizes) - sizes)[::STRIDE]
-    head = _HEAD.pack(b"RPR1", vocabulary, len(rules), len(seq), len(ids), kind.itemsize)
-    return b"".join([head, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype(kind).tobytes(), marks.astype("<u8").tobytes()])
+    head = _HEAD.pack(b"RPR1", vocabulary, len(rules), len(seq), len(ids), width)
+    return b"".join([head, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes(), marks.astype("<u8").tobytes()])
 
 
 class Shard:
@@ -118,7 +141,9 @@ class Shard:
         at = _HEAD.size
         rules = np.frombuffer(payload, "<u4", 2 * n, at).reshape(n, 2)
         lengths = np.frombuffer(payload, "<u4", n, at + 8 * n)
-        self.seq = np.frombuffer(payload, f"<u{width}", symbols, at + 12 * n)
+        seq = np.zeros((symbols, 4), np.uint8)
+        seq[:, :width] = np.frombuffer(payload, np.uint8, width * symbols, at + 12 * n).reshape(symbols, width)
+        self.seq = seq.view("<u4").ravel()
         self.marks = np.frombuffer(payload, "<u8", -(-symbols // STRIDE), at + 12 * n + width * symbols).astype(np.int64)
         self.lengths = np.concatenate([np.ones(self.first, np.int64), lengths.astype(np.int64)])
         self.places = np.concatenate([np.arange(self.first), self.first + np.cumsum(lengths, dtype=np.int64) - lengths])

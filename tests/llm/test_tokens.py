@@ -3,6 +3,7 @@
 import random
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 from tessel.llm.common import shared_dir
 from tessel.llm.drr_packing import SEQUENCE, pack, places, plan_rounds
 from tessel.llm.linmax import Automaton, automaton, byte_pieces, token_counts
-from tessel.llm.repair_store import Shard, read_ids, to_payload, write_ids
+from tessel.llm.repair_store import Shard, compress, read_ids, to_payload, write_ids
 from tessel.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,6 +50,21 @@ def test_payload():
     assert len(payload) < 2 * len(ids) / 10
 
 
+@pytest.mark.parametrize("vocabulary", [50257, 65000, 65536, 100_000, (1 << 24) - 50])
+def test_rules_of_any_vocabulary(vocabulary):
+    r = np.random.default_rng(1)
+    frequent = np.tile(r.integers(0, vocabulary, 90), 500)
+    some = np.concatenate([r.integers(0, vocabulary, 200_000), *(np.tile(r.integers(0, vocabulary, 2), 8) for _ in range(30))])
+    for ids in (frequent, some):
+        shard = Shard(payload := to_payload(ids.astype(np.uint32), vocabulary))
+        assert (shard.read() == ids).all() and (shard.read(1500, 2500) == ids[1500:2500]).all()
+    assert len(to_payload(frequent.astype(np.uint32), vocabulary)) < 2 * len(frequent) / 10
+    # rounds go on where one saves little: no pair is left 8 times or more
+    _, _, seq = compress(np.concatenate([r.integers(0, 50257, 30_000), frequent % 50257, *([k, k + 1] * 4 for k in range(0, 400, 2))]).astype(np.uint32), 50257)
+    pairs = Counter(zip(seq[:-1].tolist(), seq[1:].tolist()))
+    assert max(n for (a, b), n in pairs.items() if a != b) < 8
+
+
 def test_store(spark, library, monkeypatch):
     import tessel.llm.repair_store as module
 
