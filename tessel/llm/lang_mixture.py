@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.llm.common import small_batches
+from tessel.llm.common import bounded, small_batches, written
 
 #: The models are fitted on at most so many labelled rows of each language, those with the smallest hashes of
-#: their ids, and for at most so many languages, the most frequent ones.
-FIT_ROWS, MAX_LANGUAGES = 2000, 256
+#: their ids.  All languages are learned; a task counts so many at once, and so many come to the driver at once.
+FIT_ROWS, LANGUAGES_AT_ONCE = 2000, 64
 #: Buckets of trigrams, and what is added to each count.
 BUCKETS, SMOOTHING = 1 << 16, 0.1
 #: A language is worth PENALTY * log(words) of log-likelihood at least.
@@ -121,12 +121,16 @@ def mixtures(logs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:
-    """Models of the languages of the rows where ``train`` holds, and text and language are not null."""
+    """Models of the languages of the rows where ``train`` holds, and text and language are not null.
+
+    The models take half a MB a language, on the driver and in each worker.
+    """
     rows = docs.filter(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     narrow = rows.select("_id", "_lang", F.shiftrightunsigned(F.xxhash64("_id", F.lit("fit")), 1).alias("_place"))
-    sizes = narrow.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "_lang").limit(MAX_LANGUAGES)
+    sizes = written(narrow.groupBy("_lang").agg(F.count("*").alias("_n")), "languages")
+    languages = sizes.count()
     # of each language about four times as many rows as are wanted, then the first of them
-    near = narrow.join(F.broadcast(sizes), "_lang").filter(F.col("_place") <= F.least(F.lit(1.0), 4.0 * FIT_ROWS / F.col("_n")) * float(1 << 63))
+    near = narrow.join(bounded(sizes, languages, 64), "_lang").filter(F.col("_place") <= F.least(F.lit(1.0), 4.0 * FIT_ROWS / F.col("_n")) * float(1 << 63))
     by = Window.partitionBy("_lang").orderBy("_place", "_id")
     some = near.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= FIT_ROWS).select("_id", "_lang").distinct()
 
@@ -134,22 +138,30 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         sums: dict[str, np.ndarray] = {}
         for b in small_batches(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if lang not in sums and len(sums) == LANGUAGES_AT_ONCE:
+                    yield from tables(sums)
+                    sums.clear()
                 bucket, _ = trigrams(words_of(text))
                 sums[lang] = sums.get(lang, np.zeros(BUCKETS, np.int64)) + np.bincount(bucket, minlength=BUCKETS)
+        yield from tables(sums)
+
+    def tables(sums):
         for lang, have in sums.items():
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_pydict({"_lang": [lang] * len(at), "_bucket": pa.array(at), "_n": pa.array(have[at])})
 
     # FIT_ROWS ids of each language at most
-    counts = rows.join(F.broadcast(some), ["_id", "_lang"], "left_semi").select("_lang", "_text").mapInArrow(count, "_lang string, _bucket long, _n long")
-    got = counts.groupBy("_lang", "_bucket").agg(F.sum("_n").alias("_n")).toPandas()
-    names = sorted(got["_lang"].unique())
+    counts = rows.join(bounded(some, languages * FIT_ROWS, 64), ["_id", "_lang"], "left_semi").select("_lang", "_text").mapInArrow(count, "_lang string, _bucket long, _n long")
+    counts = written(counts.groupBy("_lang", "_bucket").agg(F.sum("_n").alias("_n")), "trigrams")
+    names = sorted(r["_lang"] for r in counts.select("_lang").distinct().collect())
     table = np.zeros((BUCKETS, len(names)))
-    for k, name in enumerate(names):
-        own = got[got["_lang"] == name]
-        table[own["_bucket"].to_numpy(), k] = own["_n"].to_numpy()
+    for at in range(0, len(names), LANGUAGES_AT_ONCE):
+        some = {name: at + k for k, name in enumerate(names[at : at + LANGUAGES_AT_ONCE])}
+        got = counts.filter(F.col("_lang").isin(list(some))).toPandas()
+        table[got["_bucket"].to_numpy(np.int64), got["_lang"].map(some).to_numpy(np.int64)] = got["_n"].to_numpy()
     table += SMOOTHING
-    return Models(names, np.log(table / table.sum(axis=0)) if names else table)
+    table /= table.sum(axis=0)
+    return Models(names, np.log(table, out=table))
 
 
 def _predictions(models: Models, texts: list[str], memory: dict) -> list:

@@ -45,3 +45,14 @@ def test_odd_rows(spark):
     none = fit(spark.createDataFrame([], "doc_id long, text string, lang string"), ~held_out())
     assert none.languages == [] and {r.lang_pred for r in predict(spark.createDataFrame(data, "doc_id long, text string"), none).collect()} == {"und"}
     assert predict(spark.createDataFrame([], "doc_id long, text string"), models).count() == 0
+
+
+def test_more_than_256_languages(spark):
+    """The rarest labels are learned too."""
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + i) for i in range(6))
+    data = [(k * 10 + i, f"{word(k)} " * 5, f"l{k}") for k in range(270) for i in range(3 if k < 260 else 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    models = fit(docs, F.lit(True))
+    assert models.languages == sorted(f"l{k}" for k in range(270))
+    rare = docs.filter("lang IN ('l260', 'l269', 'l0')")
+    assert {r.doc_id // 10: r.lang_pred for r in predict(rare, models).collect()} == {0: "l0", 260: "l260", 269: "l269"}
