@@ -62,8 +62,12 @@ def _frequent(seq: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.nd
     keys = (seq[:-1] << _half(seq)) | seq[1:]
     buckets = _bucket(keys)
     held = np.bincount(buckets, minlength=1 << 18)
-    least = max(MIN_COUNT, int(np.partition(held, len(held) - room)[len(held) - room]))
-    some = np.sort(keys[held[buckets] >= least])
+    least = MIN_COUNT
+    if np.count_nonzero(held >= MIN_COUNT) > room:
+        least = max(MIN_COUNT, int(np.partition(held, len(held) - room)[len(held) - room]))
+    at = np.flatnonzero((held >= least)[buckets])
+    keys, buckets = keys[at], buckets[at]
+    some = np.sort(keys)
     if not len(some):
         return some, np.zeros(0, np.int64), np.zeros(0, np.int64)
     cut = np.flatnonzero(np.diff(some, prepend=~some[:1]))
@@ -79,9 +83,9 @@ def _frequent(seq: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.nd
     if not len(pairs):
         return pairs, np.zeros(0, np.int64), np.zeros(0, np.int64)
     which = table[buckets]
-    at = np.flatnonzero(which >= 0)
-    at = at[pairs[which[at]] == keys[at]]
-    return pairs, at, which[at]
+    good = np.flatnonzero(which >= 0)
+    good = good[pairs[which[good]] == keys[good]]
+    return pairs, at[good], which[good]
 
 
 def compress(ids: np.ndarray, first: int, symbols: int = MAX_SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
