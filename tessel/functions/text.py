@@ -14,10 +14,6 @@ def group(text: Column, pattern: str, n: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
 
-def first_of(*columns: Column) -> Column:
-    return F.coalesce(*columns)
-
-
 def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """``rows`` with a column that is computed once, however often later steps and filters name it.
 

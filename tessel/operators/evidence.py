@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions import names
-from tessel.operators.manifests import NPM_SECTIONS, parsed, section_entries, text_value
+from tessel.operators.manifests import NPM_SECTIONS, of_sections, parsed, text_value
 
 OWN_SPEC = r"^(?:workspace|file|link|portal):"
 COMMENTS = r'("(?:[^"\\]++|\\.)*+")|//[^\n]*|(?s:/\*.*?(?:\*/|\z))'
@@ -18,17 +18,22 @@ def without_comments(content):
 
 
 def internal_evidence(files: DataFrame) -> DataFrame:
-    """Distinct (``scan_id``, ``kind`` exact or prefix, ``value``) of a scan's tsconfig and package files."""
+    """Distinct (``scan_id``, ``kind`` exact or prefix, ``value``) of a scan's tsconfig and package files.
+
+    Each of these files is read once.
+    """
     base = names.basename(F.col("path"))
-    configs = parsed(files.filter(base.rlike(r"^tsconfig[^\\/]*\.json\z")).withColumn("content", without_comments(F.col("content"))))
-    paths = F.map_keys(F.try_variant_get("_json", "$.compilerOptions.paths", "map<string,variant>"))
-    keys = configs.select("scan_id", F.explode(paths).alias("_key"))
-    star = F.col("_key").endswith("/*")
-    aliases = keys.select("scan_id", F.when(star, "prefix").otherwise("exact").alias("kind"), F.when(star, F.expr("left(_key, length(_key) - 1)")).otherwise(F.col("_key")).alias("value"))
-    packages = parsed(files.filter(base == "package.json"))
-    own = packages.select("scan_id", F.lit("exact").alias("kind"), text_value(F.try_variant_get("_json", "$.name", "variant")).alias("value")).filter("value <> ''")
-    deps = section_entries(packages, NPM_SECTIONS).filter(text_value(F.col("_value")).rlike(OWN_SPEC)).select("scan_id", F.lit("exact").alias("kind"), F.col("_key").alias("value"))
-    return aliases.unionByName(own).unionByName(deps).distinct()
+    is_config = base.rlike(r"(?i)^tsconfig.*\.json\z")
+    own = files.filter(is_config | (base == "package.json")).withColumn("_config", is_config)
+    docs = parsed(own.withColumn("content", F.when(F.col("_config"), without_comments(F.col("content"))).otherwise(F.col("content"))))
+    item = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
+    exact, json = F.lit("exact"), F.col("_json")
+    keys = F.map_keys(F.try_variant_get(json, "$.compilerOptions.paths", "map<string,variant>"))
+    aliases = F.transform(keys, lambda k: item(F.when(k.endswith("/*"), F.lit("prefix")).otherwise(exact), F.when(k.endswith("/*"), k.substr(F.lit(1), F.char_length(k) - 1)).otherwise(k)))
+    linked = of_sections(json, NPM_SECTIONS, lambda e: F.when(text_value(e["value"]).rlike(OWN_SPEC), e["key"]))
+    name = F.filter(F.array(text_value(F.try_variant_get(json, "$.name", "variant"))), lambda x: x != "")
+    declared = F.concat(F.transform(name, lambda x: item(exact, x)), F.transform(linked, lambda x: item(exact, x["pkg"])))
+    return docs.select("scan_id", F.explode(F.when(F.col("_config"), aliases).otherwise(declared)).alias("_x")).select("scan_id", "_x.kind", "_x.value").distinct()
 
 
 def _by_scan(evidence: DataFrame) -> DataFrame:

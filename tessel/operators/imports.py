@@ -6,38 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import names
-from tessel.functions.text import where_found
-from tessel.operators.lines import FILE, block_flag, explode_lines
+from tessel.functions.text import held, lines, where_found
+from tessel.operators.lines import FILE, blocks, inside, marks
 
 REF = [*FILE, "line", "seg", "pkg", "ecosystem"]
-
-
-def go_refs(lines: DataFrame) -> DataFrame:
-    """Modules of Go lines: single imports, and those in import blocks."""
-    opens, closes = F.col("text").rlike(r"^\s*import\s*\("), F.col("text").rlike(r"^\s*\)")
-    flagged = lines.withColumn("_in", block_flag(opens, closes))
-    found = flagged.filter(~opens & ~(F.col("_in") & closes))
-    found = where_found(found, "_path", names.go_path_of_line(F.col("text"), F.col("_in")))
-    return where_found(found, "pkg", names.go_module_root(F.col("_path"))).select(*FILE, "line", F.lit(0).alias("seg"), "pkg", F.lit("go").alias("ecosystem"))
+#: Lines that open and close a block of Go imports.
+GO_OPENS, CLOSES = r"^\s*import\s*\(", r"^\s*\)"
 
 
 def import_refs(files: DataFrame, scoped_require: bool = False) -> DataFrame:
     """All references of imports, one for each segment of a line (an npm line has one at most).
 
     Names of the languages' own modules and names that no registry can have are not among them.  Ruby and
-    PHP imports name paths and namespaces, not packages, and are not read.
+    PHP imports name paths and namespaces, not packages, and are not read.  Each file is read once and its lines
+    stay where they are: the blocks of a Go file are found in its row.
     """
-    source = files.withColumn("_eco", names.ecosystem_of_path(F.col("path"))).filter("_eco IS NOT NULL")
-    eco = source.select("scan_id", "file_ord", "path", "content", "_eco")
-    rows = eco.select(*FILE, "_eco", F.posexplode(F.split("content", "\n", -1)).alias("_at", "text")).withColumn("line", F.col("_at") + 1)
-    go = go_refs(rows.filter("_eco = 'go'"))
-    segments = rows.filter("_eco <> 'go'").select(*FILE, "_eco", "line", F.posexplode(F.when(F.col("_eco") == "pypi", names.python_segments(F.col("text"))).otherwise(F.array("text"))).alias("seg", "text"))
-    text = F.col("text")
-    npm, py, rust = names.npm_package_of_line(text, scoped_require), names.python_package_of_line(text), names.rust_crate_of_line(text)
-    pkg = F.when(F.col("_eco") == "npm", npm).when(F.col("_eco") == "pypi", py).otherwise(rust)
-    known = lambda x: F.when(F.col("_eco") == "npm", names.is_npm_name(x)).when(F.col("_eco") == "pypi", ~names.is_python_stdlib(x)).otherwise(True)
-    found = where_found(segments, "pkg", pkg, known)
-    return found.select(*FILE, "line", "seg", "pkg", F.col("_eco").alias("ecosystem")).unionByName(go)
+    source = files.withColumn("_eco", names.ecosystem_of_path(F.col("path"))).filter("_eco IS NOT NULL").select(*FILE, "_eco", "content")
+    source = held(source, "_lines", lines(F.col("content"))).drop("content")
+    is_go = F.col("_eco") == "go"
+    source = held(source, "_marks", F.when(is_go, marks(F.col("_lines"), lambda x: x.rlike(GO_OPENS), lambda x: x.rlike(CLOSES))))
+    source = held(source, "_blocks", F.when(is_go, blocks(F.col("_marks")))).drop("_marks")
+    rows = source.select(*FILE, "_eco", "_blocks", F.posexplode("_lines").alias("_at", "_line"))
+    rows = rows.select(*FILE, "_eco", "_at", inside(F.col("_at"), F.col("_blocks")).alias("_in"), F.posexplode(F.when(F.col("_eco") == "pypi", names.python_segments(F.col("_line"))).otherwise(F.array("_line"))).alias("seg", "_text"))
+    text, eco = F.col("_text"), F.col("_eco")
+    go = names.go_module_root(names.go_path_of_line(text, F.col("_in")))
+    pkg = F.when(eco == "npm", names.npm_package_of_line(text, scoped_require)).when(eco == "pypi", names.python_package_of_line(text)).when(eco == "go", go).otherwise(names.rust_crate_of_line(text))
+    known = lambda x: F.when(eco == "npm", names.is_npm_name(x)).when(eco == "pypi", ~names.is_python_stdlib(x)).otherwise(True)
+    return where_found(rows, "pkg", pkg, known).select(*FILE, (F.col("_at") + 1).alias("line"), "seg", "pkg", eco.alias("ecosystem"))
 
 
 def first_seen(refs: DataFrame) -> DataFrame:

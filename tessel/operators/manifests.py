@@ -1,17 +1,28 @@
-"""Dependencies that manifests declare, and manifests that can't be read."""
+"""Dependencies that manifests declare, and manifests that can't be read.
+
+A manifest is one row from beginning to end: its sections, blocks and replacements are arrays of that row, so no
+line is shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions import names
-from tessel.functions.text import group, held, lines, trimmed, where_found
-from tessel.operators.imports import REF
-from tessel.operators.lines import FILE, block_flag, explode_lines
+from tessel.functions.text import group, held, lines, trimmed
+from tessel.operators.imports import CLOSES, REF
+from tessel.operators.lines import FILE, blocks, inside, marks
 
 NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
 COMPOSER_SECTIONS = ("require", "require-dev")
+#: Kinds of manifests that are JSON, and the ecosystem of each kind.
+JSON_KINDS = ("package.json", "composer")
+ECOSYSTEM = {"package.json": "npm", "composer": "composer", "requirements": "pypi", "gemfile": "gems", "cargo": "crates", "gomod": "go"}
+#: What the line of a go.mod replaces, and with what.
+GO_REPLACES = r"^\s*(?:replace\s+)?(\S+)(?:\s+\S+)?\s+=>\s+(\S+)"
 
 
 def strict_json(content: Column) -> Column:
@@ -19,40 +30,46 @@ def strict_json(content: Column) -> Column:
 
     ``try_parse_json`` alone lets text follow the value; inside an object and inside an array it can't.
     """
-    inside = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), content, F.lit(',"__z":0}'))), "$.__z", "int") == 0
+    inside_ = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), content, F.lit(',"__z":0}'))), "$.__z", "int") == 0
     alone = F.size(F.expr("try_cast(try_parse_json(concat('[', content, ']')) AS array<variant>)")) == 1
-    return F.when(F.coalesce(inside, F.lit(False)) & F.coalesce(alone, F.lit(False)), F.try_parse_json(content))
+    return F.when(F.coalesce(inside_, F.lit(False)) & F.coalesce(alone, F.lit(False)), F.try_parse_json(content))
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """``files`` with ``_json``.
+def parsed(files: DataFrame, where: Column | None = None) -> DataFrame:
+    """``files`` with ``_json``, null where ``where`` doesn't hold.
 
-    Of repeated keys the last one counts, as where JSON is read into objects; the session setting for that is
-    made here.
+    Of repeated keys the last one counts, as where JSON is read into objects.  That is a setting of the session
+    (``spark.sql.variant.allowDuplicateKeys``), which this sets.
     """
     files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return held(files, "_json", strict_json(F.col("content")))
+    value = strict_json(F.col("content"))
+    return held(files, "_json", value if where is None else F.when(where, value))
+
+
+def entries(json: Column, section: str) -> Column:
+    """Entries (``key``, ``value`` as variant) of an object's section, and of an array by place; null for others."""
+    value = F.try_variant_get(json, f"$['{section}']", "variant")
+    places = F.try_variant_get(value, "$", "array<variant>")
+    by_place = F.transform(places, lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+    return F.coalesce(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), by_place)
 
 
-def section_entries(docs: DataFrame, sections: tuple[str, ...]) -> DataFrame:
-    """Entries (``_section`` by number, ``_key``, ``_value`` as variant) of objects, and of arrays by place."""
-    out = None
-    for k, name in enumerate(sections):
-        docs_k = held(docs, "_part", F.try_variant_get("_json", f"$['{name}']", "variant"))
-        value = F.col("_part")
-        table = F.try_variant_get(value, "$", "map<string,variant>")
-        places = F.try_variant_get(value, "$", "array<variant>")
-        by_place = F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.size(places) - 1), lambda x: x.cast("string")), places)
-        entries = F.coalesce(table, F.when(F.size(places) > 0, by_place))
-        one = docs_k.select(*FILE, "content", F.lit(k).alias("_section"), F.explode(entries).alias("_key", "_value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def of_sections(json: Column, sections: tuple[str, ...], item: Callable[[Column], Column]) -> Column:
+    """What ``item`` makes of the entries of all sections, in the order of section and key, without nulls.
+
+    ``item`` gives a string for an entry; the result has ``key`` and ``pkg``.
+    """
+    parts = []
+    for name in sections:
+        made = F.transform(entries(json, name), lambda e: F.struct(e["key"].alias("key"), item(e).alias("pkg")))
+        parts.append(F.coalesce(F.array_sort(F.filter(made, lambda x: x["pkg"].isNotNull() & (x["pkg"] != ""))), F.array().cast("array<struct<key:string,pkg:string>>")))
+    return F.concat(*parts)
 
 
-def declaration_line(content: Column, name: Column) -> Column:
+def declaration_line(parts: Column, name: Column) -> Column:
     """The first line that has the name in quotes, or 1."""
     needle = F.concat(F.lit('"'), name, F.lit('"'))
-    at = F.array_position(F.transform(lines(content), lambda x: F.contains(x, needle)), True)
+    at = F.array_position(F.transform(parts, lambda x: F.contains(x, needle)), True)
     return F.greatest(at, F.lit(1)).cast("int")
 
 
@@ -61,69 +78,82 @@ def text_value(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def _ordered(rows: DataFrame, ecosystem: str) -> DataFrame:
-    """Refs of JSON entries, in the order of section and name within their line."""
-    by = Window.partitionBy("scan_id", "file_ord").orderBy("_section", "_key")
-    return rows.withColumn("seg", F.row_number().over(by)).withColumn("ecosystem", F.lit(ecosystem)).select(REF)
+def _item(line: Column, seg: Column, pkg: Column) -> Column:
+    return F.struct(line.cast("int").alias("line"), seg.cast("int").alias("seg"), pkg.alias("pkg"))
+
+
+def _given(items: Column) -> Column:
+    return F.filter(items, lambda x: x["pkg"].isNotNull())
 
 
-def package_json_refs(docs: DataFrame) -> DataFrame:
-    found = where_found(section_entries(docs, NPM_SECTIONS), "_spec", text_value(F.col("_value")))
-    found = where_found(found, "pkg", names.npm_dependency_target(F.col("_key"), F.col("_spec")), lambda x: x != "")
-    return _ordered(found.withColumn("line", declaration_line(F.col("content"), F.col("_key"))), "npm")
+def json_items(json: Column, sections: tuple[str, ...], item: Callable[[Column], Column], parts: Column) -> Column:
+    """The references of a JSON manifest."""
+    return F.transform(of_sections(json, sections, item), lambda x, i: _item(declaration_line(parts, x["key"]), i + 1, x["pkg"]))
 
 
-def composer_refs(docs: DataFrame) -> DataFrame:
-    found = section_entries(docs, COMPOSER_SECTIONS).filter(names.is_composer_package(F.col("_key"))).withColumn("pkg", F.col("_key"))
-    return _ordered(found.withColumn("line", declaration_line(F.col("content"), F.col("_key"))), "composer")
+def line_items(parts: Column, target: Callable[[Column], Column]) -> Column:
+    """The references of a manifest whose lines are independent."""
+    return _given(F.transform(parts, lambda x, i: _item(i + 1, F.lit(0), target(x))))
 
 
-def line_refs(rows: DataFrame, target: Column, ecosystem: str) -> DataFrame:
-    return where_found(rows, "pkg", target).select(*FILE, "line", F.lit(0).alias("seg"), "pkg", F.lit(ecosystem).alias("ecosystem"))
+def cargo_sections(parts: Column) -> Column:
+    """The headers of a Cargo.toml: (``at`` from 0, ``name``)."""
+    header = lambda x: F.when(x.rlike(r"^\s*\[[^\]]+\]\s*\z"), trimmed(F.regexp_extract(x, r"^\s*\[([^\]]+)\]\s*\z", 1)))
+    return F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("at"), header(x).alias("name"))), lambda h: h["name"].isNotNull())
 
 
-def cargo_refs(rows: DataFrame) -> DataFrame:
+def cargo_items(parts: Column, heads: Column) -> Column:
     """Entries of dependency sections, and ``[dependencies.NAME]`` tables with their renames."""
-    header = trimmed(F.regexp_extract("text", r"^\s*\[([^\]]+)\]\s*\z", 1))
-    upto = Window.partitionBy("scan_id", "file_ord").orderBy("line")
-    is_header = F.col("text").rlike(r"^\s*\[[^\]]+\]\s*\z")
-    rows = rows.withColumn("_header", F.when(is_header, header)).withColumn("_number", F.count("_header").over(upto)).withColumn("_section", F.last("_header", ignorenulls=True).over(upto))
-    inner = rows.filter("_header IS NULL AND _section IS NOT NULL")
-    plain = line_refs(inner.filter(names.is_cargo_section(F.col("_section"))), names.cargo_dependency(F.col("text")), "crates")
-    sub = group(F.col("_section"), r"^(?:workspace\.)?(?:dev-|build-)?dependencies\.([A-Za-z0-9_-]+)\z")
-    text = F.col("text")
-    rename = F.when(F.col("_header").isNull(), group(text, r'^\s*package\s*=\s*"([^"]+)"'))
-    local = F.col("_header").isNull() & text.rlike(r"^\s*(?:path|git)\s*=")
-    tables = rows.withColumn("_sub", sub).filter("_sub IS NOT NULL").groupBy(*FILE, "_number", "_sub").agg(F.min("line").alias("line"), F.max_by(rename, F.when(rename.isNotNull(), F.col("line"))).alias("_rename"), F.max(local).alias("_local"))
-    tables = tables.filter("NOT _local").select(*FILE, "line", F.lit(0).alias("seg"), F.coalesce("_rename", "_sub").alias("pkg"), F.lit("crates").alias("ecosystem"))
-    return plain.unionByName(tables)
-
-
-def go_mod_refs(rows: DataFrame) -> DataFrame:
-    """Required modules, without those that a local path replaces in the same file."""
-    text = F.col("text")
-    opens, closes = text.rlike(r"^\s*replace\s*\("), text.rlike(r"^\s*\)")
-    replaced = rows.withColumn("_in", block_flag(opens, closes)).filter(~opens & ~(F.col("_in") & closes))
-    pattern = r"^\s*(?:replace\s+)?(\S+)(?:\s+\S+)?\s+=>\s+(\S+)"
-    replaced = replaced.filter((F.col("_in") | text.rlike(r"^\s*replace\s")) & F.regexp_extract(text, pattern, 2).rlike(r"^(?:\./|\.\./|/)"))
-    replaced = replaced.select("scan_id", "file_ord", group(text, pattern).alias("pkg"))
-    opens = text.rlike(r"^\s*require\s*\(")
-    required = rows.withColumn("_in", block_flag(opens, closes)).filter(~opens & ~(F.col("_in") & closes))
-    return line_refs(required, names.go_requirement(text, F.col("_in")), "go").join(replaced, ["scan_id", "file_ord", "pkg"], "left_anti").select(REF)
+
+    def of_section(h: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(heads, k + 1)["at"], F.size(parts))
+        body = F.slice(parts, h["at"] + 2, end - h["at"] - 1)
+        plain = _given(F.transform(body, lambda x, i: _item(h["at"] + i + 2, F.lit(0), names.cargo_dependency(x))))
+        name = group(h["name"], r"^(?:workspace\.)?(?:dev-|build-)?dependencies\.([A-Za-z0-9_-]+)\z")
+        renames = F.filter(F.transform(body, lambda x: group(x, r'^\s*package\s*=\s*"([^"]+)"')), lambda x: x.isNotNull())
+        local = F.exists(body, lambda x: x.rlike(r"^\s*(?:path|git)\s*="))
+        table = F.array(_item(h["at"] + 1, F.lit(0), F.coalesce(F.get(renames, F.size(renames) - 1), name)))
+        return F.when(names.is_cargo_section(h["name"]), plain).when(name.isNotNull() & ~local, table)
+
+    return F.flatten(F.filter(F.transform(heads, of_section), lambda x: x.isNotNull()))
+
+
+def go_replaced(parts: Column, within: Column) -> Column:
+    """Modules of a go.mod that a local path replaces; ``within`` are its blocks of replacements."""
+    local = lambda x, i: (inside(i, within) | x.rlike(r"^\s*replace\s")) & F.regexp_extract(x, GO_REPLACES, 2).rlike(r"^(?:\./|\.\./|/)")
+    return F.filter(F.transform(parts, lambda x, i: F.when(local(x, i), group(x, GO_REPLACES))), lambda x: x.isNotNull())
+
+
+def go_mod_items(parts: Column, within: Column, replaced: Column) -> Column:
+    """Required modules, without those that a local path replaces; ``within`` are the blocks of requirements."""
+    required = F.transform(parts, lambda x, i: _item(i + 1, F.lit(0), names.go_requirement(x, inside(i, within))))
+    return F.filter(_given(required), lambda x: ~F.coalesce(F.array_contains(replaced, x["pkg"]), F.lit(False)))
 
 
 def manifest_refs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All references of manifests, and one row (``FILE``) for each JSON manifest that isn't JSON."""
-    own = files.withColumn("_kind", names.manifest_kind(F.col("path")))
-    json = parsed(own.filter("_kind IN ('package.json', 'composer')"))
-    errors = json.filter("_json IS NULL").select(FILE)
-    text = F.col("text")
-    of = lambda kind: explode_lines(own.filter(F.col("_kind") == kind))
-    parts = [
-        package_json_refs(json.filter("_kind = 'package.json'")), composer_refs(json.filter("_kind = 'composer'")), line_refs(of("requirements"), names.requirement_of_line(text), "pypi"),
-        line_refs(of("gemfile"), names.gem_of_line(text), "gems"), cargo_refs(of("cargo")), go_mod_refs(of("gomod")),
-    ]
-    out = parts[0].select(REF)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(REF))
-    return out, errors
+    """All references of manifests, and one row (``FILE``) for each JSON manifest that isn't JSON.
+
+    Each manifest is read once for its references.
+    """
+    kind = F.col("_kind")
+    own = files.withColumn("_kind", names.manifest_kind(F.col("path"))).filter(kind.isNotNull() & F.col("content").isNotNull())
+    rows = held(parsed(own, kind.isin(*JSON_KINDS)), "_lines", lines(F.col("content"))).select(*FILE, "_kind", "_json", "_lines")
+    parts, found = F.col("_lines"), F.col("_json")
+    marked = lambda opens: marks(parts, lambda x: x.rlike(opens), lambda x: x.rlike(CLOSES))
+    rows = held(rows, "_heads", F.when(kind == "cargo", cargo_sections(parts)))
+    for name, opens in (("_require", r"^\s*require\s*\("), ("_replace", r"^\s*replace\s*\(")):
+        rows = held(rows, f"{name}_marks", F.when(kind == "gomod", marked(opens)))
+        rows = held(rows, f"{name}_blocks", F.when(kind == "gomod", blocks(F.col(f"{name}_marks")))).drop(f"{name}_marks")
+    rows = held(rows, "_replaced", F.when(kind == "gomod", go_replaced(parts, F.col("_replace_blocks"))))
+    items = (
+        F.when(kind == "package.json", json_items(found, NPM_SECTIONS, lambda e: F.when(text_value(e["value"]).isNotNull(), names.npm_dependency_target(e["key"], text_value(e["value"]))), parts))
+        .when(kind == "composer", json_items(found, COMPOSER_SECTIONS, lambda e: F.when(names.is_composer_package(e["key"]), e["key"]), parts))
+        .when(kind == "requirements", line_items(parts, names.requirement_of_line)).when(kind == "gemfile", line_items(parts, names.gem_of_line))
+        .when(kind == "cargo", cargo_items(parts, F.col("_heads"))).when(kind == "gomod", go_mod_items(parts, F.col("_require_blocks"), F.col("_replaced")))
+    )
+    ecosystem = F.lit(None).cast("string")
+    for k, name in ECOSYSTEM.items():
+        ecosystem = F.when(kind == k, F.lit(name)).otherwise(ecosystem)
+    refs = rows.select(*FILE, ecosystem.alias("ecosystem"), F.explode(items).alias("_x")).select(*FILE, "_x.line", "_x.seg", "_x.pkg", "ecosystem").select(REF)
+    errors = parsed(own.filter(kind.isin(*JSON_KINDS))).filter("_json IS NULL").select(FILE)
+    return refs, errors

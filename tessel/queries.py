@@ -21,7 +21,7 @@ from tessel.operators.classify import ghost_can_block, known_state, state_severi
 from tessel.operators.evidence import with_scope_evidence, without_internal
 from tessel.operators.imports import first_seen, import_refs
 from tessel.operators.lines import explode_lines
-from tessel.operators.manifests import cargo_refs, go_mod_refs, manifest_refs
+from tessel.operators.manifests import manifest_refs
 from tessel.operators.refs import merged, with_budget
 from tessel.operators.verdict import distinct_findings, listed, results, summary
 from tessel.plans.preflight import preflight, scans
@@ -126,9 +126,7 @@ SQL_ASSIGNED = f"""(SELECT scan_id, path, line, CAST(k AS INT) AS place, names[k
 
 def assigned(spark, sf_dir):
     rows = explode_lines(base(spark, sf_dir, DOC_FILES)).filter(secrets.is_scanned(F.col("text")))
-    of = lambda k: F.regexp_extract_all("text", F.lit(secrets.ASSIGNED), k)
-    each = rows.select("scan_id", "path", "line", F.posexplode(F.arrays_zip(of(1).alias("name"), of(2).alias("value"))).alias("_k", "_x"))
-    return each.select("scan_id", "path", "line", (F.col("_k") + 1).alias("place"), "_x.name", "_x.value")
+    return secrets.assigned_strings(rows).select("scan_id", "path", "line", "place", "name", "value")
 
 
 @query("q_secret_assign", f"SELECT scan_id, line, place, name, value FROM {SQL_ASSIGNED}")
@@ -273,7 +271,7 @@ def q_gemfile(spark, sf_dir):
 
 @query("q_cargo", f"SELECT p_brand AS scan_id, CAST(p_partkey AS INT) AS file_ord, u.line, u.pkg FROM {{part}}, (VALUES (4, 'a'), (6, 'c')) v(n, w), LATERAL (SELECT CAST(n AS INT) AS line, CASE w WHEN 'a' THEN {WORD} ELSE 'real-' || {WORD} END AS pkg) u WHERE p_partkey % 3 < 2")
 def q_cargo(spark, sf_dir):
-    return cargo_refs(explode_lines(spark_files(spark, sf_dir, CARGO_FILES))).select("scan_id", "file_ord", "line", "pkg")
+    return manifest_refs(spark_files(spark, sf_dir, CARGO_FILES))[0].select("scan_id", "file_ord", "line", "pkg")
 
 
 def spark_files(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -287,7 +285,7 @@ def spark_files(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     f"SELECT p_brand AS scan_id, CAST(p_partkey AS INT) AS file_ord, u.line, u.pkg FROM {{part}}, (VALUES (2, 'github.com/one/'), (4, 'gitlab.com/two/'), (5, 'bitbucket.org/three/')) v(n, w), LATERAL (SELECT CAST(n AS INT) AS line, w || {WORD} AS pkg) u WHERE NOT (n = 4 AND p_partkey % 2 = 0)",
 )
 def q_gomod(spark, sf_dir):
-    return go_mod_refs(explode_lines(base(spark, sf_dir, GO_MODS))).select("scan_id", "file_ord", "line", "pkg")
+    return manifest_refs(base(spark, sf_dir, GO_MODS))[0].select("scan_id", "file_ord", "line", "pkg")
 
 
 @query("q_npm_specs", f"SELECT k, CASE spec WHEN '^1.0' THEN name WHEN '*' THEN name WHEN 'npm:real@2' THEN 'real' WHEN 'npm:@s/real@2' THEN '@s/real' END AS target FROM ({SPECS})")

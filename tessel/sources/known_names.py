@@ -7,18 +7,47 @@ from pyspark.sql import functions as F
 
 from tessel.functions.names import list_key
 
-# Names by ecosystem, tier and the day on which they were recorded.
-_PATTERN_DAY, _REPORTED_DAY = "2026-06-01", "2026-04-19"
-_PATTERN = {
-    "pypi": (
-        "flask-gpt flask-gpt4 flask-chatgpt django-gpt django-ai django-llm fastapi-gpt fastapi-chatgpt langchain-gpt langchain-gpt4 openai-utils gpt-utils llm-helper chatgpt-utils "
-        "pandas-gpt numpy-gpt pytorch-gpt tensorflow-gpt sklearn-gpt"
-    ),
-    "npm": "express-gpt express-ai react-gpt react-ai-helper vue-gpt next-gpt next-ai prisma-gpt gpt-helper ai-utils llm-utils chatgpt-helper mongoose-gpt sequelize-ai drizzle-ai axios-ai",
-}
-_REPORTED = {"npm": "react-codeshift unused-imports", "pypi": "huggingface-cli"}
-
-ROWS = [(n, eco, "pattern", _PATTERN_DAY) for eco, x in _PATTERN.items() for n in x.split()] + [(n, eco, "reported", _REPORTED_DAY) for eco, x in _REPORTED.items() for n in x.split()]
+# The listed names with their ecosystem, tier and the day on which they were recorded.
+ROWS = [
+    ("flask-gpt", "pypi", "pattern", "2026-06-01"),
+    ("flask-gpt4", "pypi", "pattern", "2026-06-01"),
+    ("flask-chatgpt", "pypi", "pattern", "2026-06-01"),
+    ("django-gpt", "pypi", "pattern", "2026-06-01"),
+    ("django-ai", "pypi", "pattern", "2026-06-01"),
+    ("django-llm", "pypi", "pattern", "2026-06-01"),
+    ("fastapi-gpt", "pypi", "pattern", "2026-06-01"),
+    ("fastapi-chatgpt", "pypi", "pattern", "2026-06-01"),
+    ("express-gpt", "npm", "pattern", "2026-06-01"),
+    ("express-ai", "npm", "pattern", "2026-06-01"),
+    ("react-gpt", "npm", "pattern", "2026-06-01"),
+    ("react-ai-helper", "npm", "pattern", "2026-06-01"),
+    ("vue-gpt", "npm", "pattern", "2026-06-01"),
+    ("next-gpt", "npm", "pattern", "2026-06-01"),
+    ("next-ai", "npm", "pattern", "2026-06-01"),
+    ("prisma-gpt", "npm", "pattern", "2026-06-01"),
+    ("langchain-gpt", "pypi", "pattern", "2026-06-01"),
+    ("langchain-gpt4", "pypi", "pattern", "2026-06-01"),
+    ("openai-utils", "pypi", "pattern", "2026-06-01"),
+    ("gpt-utils", "pypi", "pattern", "2026-06-01"),
+    ("gpt-helper", "npm", "pattern", "2026-06-01"),
+    ("ai-utils", "npm", "pattern", "2026-06-01"),
+    ("llm-utils", "npm", "pattern", "2026-06-01"),
+    ("llm-helper", "pypi", "pattern", "2026-06-01"),
+    ("chatgpt-helper", "npm", "pattern", "2026-06-01"),
+    ("chatgpt-utils", "pypi", "pattern", "2026-06-01"),
+    ("mongoose-gpt", "npm", "pattern", "2026-06-01"),
+    ("sequelize-ai", "npm", "pattern", "2026-06-01"),
+    ("drizzle-ai", "npm", "pattern", "2026-06-01"),
+    ("axios-ai", "npm", "pattern", "2026-06-01"),
+    ("pandas-gpt", "pypi", "pattern", "2026-06-01"),
+    ("numpy-gpt", "pypi", "pattern", "2026-06-01"),
+    ("pytorch-gpt", "pypi", "pattern", "2026-06-01"),
+    ("tensorflow-gpt", "pypi", "pattern", "2026-06-01"),
+    ("sklearn-gpt", "pypi", "pattern", "2026-06-01"),
+    ("react-codeshift", "npm", "reported", "2026-04-19"),
+    ("unused-imports", "npm", "reported", "2026-04-19"),
+    ("huggingface-cli", "pypi", "reported", "2026-04-19"),
+]
 
 
 def known_names(spark: SparkSession) -> DataFrame:
