@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions import names
-from tessel.operators.manifests import NPM_SECTIONS, of_sections, parsed, text_value
+from tessel.functions.json import parsed, text_value
+from tessel.operators.manifests import NPM_SECTIONS, of_sections
 
 OWN_SPEC = r"^(?:workspace|file|link|portal):"
 COMMENTS = r'("(?:[^"\\]++|\\.)*+")|//[^\n]*|(?s:/\*.*?(?:\*/|\z))'

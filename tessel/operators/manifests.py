@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions import names
+from tessel.functions.json import parsed, text_value
 from tessel.functions.text import group, held, lines, trimmed
 from tessel.operators.imports import CLOSES, REF
 from tessel.operators.lines import FILE, blocks, inside, marks
@@ -25,27 +26,6 @@ ECOSYSTEM = {"package.json": "npm", "composer": "composer", "requirements": "pyp
 GO_REPLACES = r"^\s*(?:replace\s+)?(\S+)(?:\s+\S+)?\s+=>\s+(\S+)"
 
 
-def strict_json(content: Column) -> Column:
-    """The content as a variant, or null if it isn't JSON to the letter.
-
-    ``try_parse_json`` alone lets text follow the value; inside an object and inside an array it can't.
-    """
-    inside_ = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), content, F.lit(',"__z":0}'))), "$.__z", "int") == 0
-    alone = F.size(F.expr("try_cast(try_parse_json(concat('[', content, ']')) AS array<variant>)")) == 1
-    return F.when(F.coalesce(inside_, F.lit(False)) & F.coalesce(alone, F.lit(False)), F.try_parse_json(content))
-
-
-def parsed(files: DataFrame, where: Column | None = None) -> DataFrame:
-    """``files`` with ``_json``, null where ``where`` doesn't hold.
-
-    Of repeated keys the last one counts, as where JSON is read into objects.  That is a setting of the session
-    (``spark.sql.variant.allowDuplicateKeys``), which this sets.
-    """
-    files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    value = strict_json(F.col("content"))
-    return held(files, "_json", value if where is None else F.when(where, value))
-
-
 def entries(json: Column, section: str) -> Column:
     """Entries (``key``, ``value`` as variant) of an object's section, and of an array by place; null for others."""
     value = F.try_variant_get(json, f"$['{section}']", "variant")
@@ -73,11 +53,6 @@ def declaration_line(parts: Column, name: Column) -> Column:
     return F.greatest(at, F.lit(1)).cast("int")
 
 
-def text_value(value: Column) -> Column:
-    """A variant's string; null for other kinds."""
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-
-
 def _item(line: Column, seg: Column, pkg: Column) -> Column:
     return F.struct(line.cast("int").alias("line"), seg.cast("int").alias("seg"), pkg.alias("pkg"))
 

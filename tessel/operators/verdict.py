@@ -50,6 +50,14 @@ def results(scans: DataFrame, findings: DataFrame, most: int = MAX_LISTED) -> Da
 
 
 def as_json(results: DataFrame) -> DataFrame:
-    """``scan_id`` and the result as JSON text."""
-    keep = [c for c in results.columns if c != "scan_id"]
-    return results.select("scan_id", F.to_json(F.struct(*keep), {"ignoreNullFields": "true"}).alias("result"))
+    """``scan_id`` and the result as JSON text: verdict, summary, findings and action.
+
+    The summary has the call's context, null without one.  A finding without a ``cve`` has no such key.
+    """
+    context = F.col("context") if "context" in results.columns else F.lit(None).cast("string")
+    total = F.struct(F.col("files_checked").alias("filesChecked"), "critical", "warnings", context.alias("context"))
+    text = F.concat(
+        F.lit('{"verdict":"'), F.col("verdict"), F.lit('","summary":'), F.to_json(total, {"ignoreNullFields": "false"}), F.lit(',"findings":'), F.to_json("findings", {"ignoreNullFields": "true"}),
+        F.lit(',"action":"'), F.col("action"), F.lit('"}'),
+    )
+    return results.select("scan_id", text.alias("result"))

@@ -1,15 +1,20 @@
-"""Requests of the scanning service: files to check, reports of invented names, JSON lines."""
+"""Requests of the scanning service: files to check, reports of invented names, JSON lines and calls in them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions.json import kind_of, last_key_counts, strict_json, text_value
+from tessel.functions.text import held, trimmed
+
 # The bounds of a call.
 MAX_FILES, MAX_PATH, MAX_CONTENT, MAX_CONTEXT, MAX_PACKAGE = 50, 1_024, 200_000, 500, 214
 REPORTER = (2, 30)
 REPORTABLE = ("npm", "pypi", "crates", "gems")
 PARSE_ERROR, INVALID_PARAMS = -32700, -32602
+#: The tools: one checks files, one takes reports of invented names.
+CHECK, REPORT = "pre_flight_check", "report_hallucination"
 
 
 def string_error(value: Column, field: Column | str, least: int, most: int, optional: bool = False) -> Column:
@@ -52,35 +57,78 @@ def report_outcome(status: Column, name: Column, reason: Column, http: Column) -
 
 
 def parse_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JSON lines (``value``) as messages (``id``, ``method``, ``params`` as JSON text), and the lines that
-    aren't JSON objects or arrays of them, with the code of the answer they get.
+    """JSON lines (``value``) as messages, and the lines that aren't JSON (``line``, ``value``, ``code``).
 
-    Blank lines are skipped.  A line that is an array is as many messages as it has elements.
+    A message has ``line`` (the line's number, from ``lines`` if it has that column), ``batch`` (whether the line is
+    an array) and ``at`` (its place there), ``id`` and ``params`` as JSON text and ``method``, null if it isn't a
+    string.  An array is as many messages as it has elements; an empty one is one message without anything.
+    Blank lines are skipped.
     """
-    rows = lines.filter(F.trim("value") != "").withColumn("_v", F.try_parse_json("value"))
-    bad = rows.filter("_v IS NULL").select("value", F.lit(PARSE_ERROR).alias("code"))
+    last_key_counts(lines.sparkSession)
+    rows = lines if "line" in lines.columns else lines.withColumn("line", F.monotonically_increasing_id())
+    rows = rows.withColumn("value", trimmed(F.col("value"))).filter("value <> ''").withColumn("_v", strict_json(F.col("value")))
+    bad = rows.filter("_v IS NULL").select("line", "value", F.lit(PARSE_ERROR).alias("code"))
     batch = F.try_variant_get("_v", "$", "array<variant>")
-    each = rows.filter("_v IS NOT NULL").select(F.explode(F.coalesce(batch, F.array("_v"))).alias("_m"))
-    text = lambda path: F.to_json(F.try_variant_get("_m", path, "variant"))
-    return each.select(text("$.id").alias("id"), F.try_variant_get("_m", "$.method", "string").alias("method"), text("$.params").alias("params")), bad
+    each = rows.filter("_v IS NOT NULL").select("line", batch.isNotNull().alias("batch"), F.posexplode_outer(F.coalesce(batch, F.array("_v"))).alias("at", "_m"))
+    part = lambda path: F.try_variant_get("_m", path, "variant")
+    return each.select("line", "batch", F.coalesce("at", F.lit(-1)).alias("at"), F.to_json(part("$.id")).alias("id"), text_value(part("$.method")).alias("method"), F.to_json(part("$.params")).alias("params")), bad
+
+
+def calls_of(messages: DataFrame, tool: str) -> DataFrame:
+    """The calls of a tool: messages with ``call`` (a text that tells them apart) and ``_args``, their arguments."""
+    name = text_value(F.try_variant_get(F.try_parse_json("params"), "$.name", "variant"))
+    calls = messages.filter((F.col("method") == "tools/call") & (name == tool))
+    return calls.withColumn("call", F.concat_ws("/", "line", "at")).withColumn("_args", F.try_variant_get(F.try_parse_json("params"), "$.arguments", "variant"))
 
 
-def files_of_params(messages: DataFrame) -> DataFrame:
-    """Files (``scan_id`` from the message's id) of ``tools/call`` messages."""
-    kind = "struct<arguments:struct<files:array<struct<path:string,content:string>>>>"
-    called = messages.filter("method = 'tools/call' AND id IS NOT NULL").select(F.col("id").alias("scan_id"), F.from_json("params", kind).alias("_p"))
-    return called.select("scan_id", F.posexplode("_p.arguments.files").alias("file_ord", "_f")).select("scan_id", "file_ord", "_f.path", "_f.content")
+def _no_object(args: Column) -> Column:
+    return F.when(~F.coalesce(kind_of(args) == "OBJECT", F.lit(False)), F.lit("arguments must be an object"))
 
 
-def contexts_of_params(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``scan_id`` and ``context`` of ``tools/call`` messages (null where none is given), and those that are refused."""
-    called = messages.filter("method = 'tools/call' AND id IS NOT NULL").select(F.col("id").alias("scan_id"), F.get_json_object("params", "$.arguments.context").alias("context"))
-    called = called.withColumn("error", string_error(F.col("context"), "context", 0, MAX_CONTEXT, optional=True))
-    return called.filter("error IS NULL").drop("error"), called.filter("error IS NOT NULL").select("scan_id", "error")
+def _text_error(value: Column, field: Column | str, least: int, most: int, optional: bool = False) -> Column:
+    """``string_error`` of a variant: what isn't a string is refused, null and nothing only where it is asked for."""
+    field = F.lit(field) if isinstance(field, str) else field
+    bad = F.concat(field, F.lit(" must be a string"))
+    none = F.coalesce(kind_of(value) == "VOID", F.lit(True))
+    text = text_value(value)
+    wrong = F.when(none, F.lit(None) if optional else bad).when(text.isNull(), bad)
+    return F.coalesce(wrong, string_error(text, field, least, most, optional=True))
+
 
+def check_calls(messages: DataFrame, tool: str = CHECK) -> tuple[DataFrame, DataFrame]:
+    """Files (``scan_id`` is the call) of the valid calls of the checking tool, and of every call ``call``, ``id``,
+    ``context`` and ``error`` (null for a valid one).
 
-def without_files(messages: DataFrame) -> DataFrame:
-    """``scan_id`` and ``error`` of ``tools/call`` messages that have no file."""
-    files = F.from_json(F.get_json_object("params", "$.arguments.files"), "array<string>")
-    none = messages.filter("method = 'tools/call' AND id IS NOT NULL").filter(F.coalesce(F.size(files), F.lit(0)) < 1)
-    return none.select(F.col("id").alias("scan_id"), F.lit("files must be an array of at least 1 entry").alias("error"))
+    Arguments are an object with ``files``, an array of 1 to MAX_FILES objects with a path and a content, and a
+    context if there is one; the first thing that is wrong gives the error.
+    """
+    calls = calls_of(messages, tool)
+    part = lambda v, path: F.try_variant_get(v, path, "variant")
+    args = F.col("_args")
+    calls = calls.withColumns({"_files": F.try_variant_get(args, "$.files", "array<variant>"), "_context": part(args, "$.context")})
+
+    def of_file(f: Column, i: Column) -> Column:
+        at = F.concat(F.lit("files["), i.cast("string"), F.lit("]"))
+        good = F.coalesce(kind_of(f).isin("OBJECT", "ARRAY"), F.lit(False))
+        return F.coalesce(
+            F.when(~good, F.concat(at, F.lit(" must be an object"))), _text_error(part(f, "$.path"), F.concat(at, F.lit(".path")), 1, MAX_PATH),
+            _text_error(part(f, "$.content"), F.concat(at, F.lit(".content")), 0, MAX_CONTENT),
+        )
+
+    n = F.size("_files")
+    several = F.when(F.col("_files").isNull(), F.lit("files must be an array")).when(n < 1, F.lit("files must have at least 1 entry")).when(n > MAX_FILES, F.lit(f"files must have at most {MAX_FILES} entries"))
+    first = F.get(F.filter(F.transform("_files", of_file), lambda e: e.isNotNull()), F.lit(0))
+    error = F.coalesce(_no_object(args), several, first, _text_error(F.col("_context"), "context", 0, MAX_CONTEXT, optional=True))
+    calls = held(calls, "error", error)
+    files = calls.filter("error IS NULL").select(F.col("call").alias("scan_id"), F.posexplode("_files").alias("file_ord", "_f"))
+    files = files.select("scan_id", "file_ord", text_value(part(F.col("_f"), "$.path")).alias("path"), text_value(part(F.col("_f"), "$.content")).alias("content"))
+    return files, calls.select("line", "batch", "at", "call", "id", text_value(F.col("_context")).alias("context"), "error")
+
+
+def report_calls(messages: DataFrame, tool: str = REPORT) -> DataFrame:
+    """Of every call of the reporting tool ``call``, ``id``, ``package``, ``ecosystem``, ``reporter`` and ``error``."""
+    part = lambda path: F.try_variant_get("_args", path, "variant")
+    calls = calls_of(messages, tool)
+    eco = F.when(~F.coalesce(text_value(part("$.ecosystem")).isin(*REPORTABLE), F.lit(False)), F.lit("ecosystem must be one of: " + ", ".join(REPORTABLE)))
+    error = F.coalesce(_no_object(F.col("_args")), eco, _text_error(part("$.package"), "package", 1, MAX_PACKAGE), _text_error(part("$.reporter"), "reporter", *REPORTER, optional=True))
+    return calls.select("line", "batch", "at", "call", "id", *(text_value(part(f"$.{x}")).alias(x) for x in ("package", "ecosystem", "reporter")), error.alias("error"))

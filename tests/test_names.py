@@ -82,3 +82,15 @@ def test_addresses(value):
 def test_text(value):
     check(value, trimmed, {" a \n": "a", " ﻿a b ": "a b", "": ""})
     check(value, lambda c: F.round(entropy(c), 6), {"": 0.0, "aaaa": 0.0, "ab": 1.0, "abcd": 2.0, "aab": 0.918296})
+
+
+def test_quotes_and_blocks(value):
+    check(value, names.npm_package_of_line, {
+        "// don't import x from 'y'": "y", "import a from \"./rel\"; import('dyn')": "dyn", "x from 'a' + from \"b\"": None, "  from './a'  from \"b\"": None, "import('a') ; import b from 'c'": "c", 'const a = require("x"); import("y")': "y",
+        "import('a'": None, "export { a } from 'b'": "b", "from 'x": None, "import 'a\"b'; import c from \"d\"": "d",
+    })
+
+
+def test_python_modules_of_all_versions(value):
+    """Names that a newer Python no longer has are no packages, whatever Python runs this."""
+    check(value, names.is_python_stdlib, {"distutils": True, "cgi": True, "imp": True, "asyncore": True, "telnetlib": True, "crypt": True, "lib2to3": True, "tomllib": True, "annotationlib": False, "sre-compile": True})

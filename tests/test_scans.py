@@ -63,9 +63,9 @@ def test_manifests(spark):
 
 def test_evidence(spark):
     config = '{\n // paths\n "compilerOptions": {"paths": {"@shared/*": ["./src/*"], "exact": ["x"] /* y */, "u": ["http://x"]}}}'
-    df = files(spark, ("tsconfig.base.json", config), ("a/package.json", '{"name": "mine", "dependencies": {"w": "workspace:*", "x": "^1"}}'), ("tsconfig.json", "{broken"))
+    df = files(spark, ("tsconfig.base.json", config), ("a/package.json", '{"name": "mine", "dependencies": {"w": "workspace:*", "x": "^1"}}'), ("tsconfig.json", "{broken"), ("x/TSConfig.JSON", '{"compilerOptions": {"paths": {"caps": []}}}'))
     evidence = internal_evidence(df)
-    assert sorted((r.kind, r.value) for r in evidence.collect()) == [("exact", "exact"), ("exact", "mine"), ("exact", "u"), ("exact", "w"), ("prefix", "@shared/")]
+    assert sorted((r.kind, r.value) for r in evidence.collect()) == [("exact", "caps"), ("exact", "exact"), ("exact", "mine"), ("exact", "u"), ("exact", "w"), ("prefix", "@shared/")]
     rows = [("s", p, e) for p, e in [("@shared/const", "npm"), ("@shared", "npm"), ("@sharedx/y", "npm"), ("mine", "npm"), ("mine", "pypi"), ("x", "npm")]]
     left = without_internal(spark.createDataFrame(rows, "scan_id string, pkg string, ecosystem string"), evidence).collect()
     assert sorted((r.pkg, r.ecosystem) for r in left) == [("@sharedx/y", "npm"), ("mine", "pypi"), ("x", "npm")]
