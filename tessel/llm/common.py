@@ -38,25 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Folders of intermediate tables of this driver.
+#: Folders of intermediate tables of this driver, in the order in which they were written.
 WRITTEN: list[str] = []
 
 
-def clean(spark: SparkSession) -> None:
-    """Deletes the intermediate tables written so far; results that were not yet read or stored are lost with them."""
-    while WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+def clean(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the intermediate tables written so far, from number ``since`` on, but for those of ``keep``.
+
+    Results that were not yet read or stored are lost with them.
+    """
+    for at in [x for x in WRITTEN[since:] if x not in keep]:
+        WRITTEN.remove(at)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new intermediate table in the shared folder."""
+    path = f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
     This runs the plan once, cuts the lineage and survives the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,7 +74,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` by checkpoint(): as ``written``, and the partitions stay as they are."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        WRITTEN.append(file.get())
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:

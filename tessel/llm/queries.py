@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm.bloom_urls import judge_urls
-from tessel.llm.common import shared_dir, table
+from tessel.llm.common import scratch, table
 from tessel.llm.drr_packing import pack
 from tessel.llm.golomb_dedup import exact_dedup
 from tessel.llm.lang_mixture import fit, held_out, predict
@@ -28,7 +26,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tessel-store-{uuid.uuid4().hex}"
+    path = scratch(spark, "store")
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
     return read_ids(spark, path, digest=True)
 

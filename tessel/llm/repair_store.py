@@ -136,7 +136,7 @@ def _payload(ids: np.ndarray, vocabulary: int, symbols: int) -> bytes:
 
 
 class Shard:
-    """A reader of a payload."""
+    """A reader of a payload.  Opening one expands nothing."""
 
     def __init__(self, payload: bytes):
         magic, self.first, n, symbols, self.ids, width = _HEAD.unpack_from(payload)
@@ -149,22 +149,33 @@ class Shard:
         seq[:, :width] = np.frombuffer(payload, np.uint8, width * symbols, at + 12 * n).reshape(symbols, width)
         self.seq = seq.view("<u4").ravel()
         self.marks = np.frombuffer(payload, "<u8", -(-symbols // STRIDE), at + 12 * n + width * symbols).astype(np.int64)
-        self.lengths = np.concatenate([np.ones(self.first, np.int64), lengths.astype(np.int64)])
-        self.places = np.concatenate([np.arange(self.first), self.first + np.cumsum(lengths, dtype=np.int64) - lengths])
-        flat = np.empty(self.first + int(lengths.sum(dtype=np.int64)), np.uint32)
-        flat[: self.first] = np.arange(self.first)
-        for (a, b), p in zip(rules.tolist(), self.places[self.first :].tolist()):
-            x, y = int(self.lengths[a]), int(self.lengths[b])
-            flat[p : p + x] = flat[self.places[a] : self.places[a] + x]
-            flat[p + x : p + x + y] = flat[self.places[b] : self.places[b] + y]
-        self.flat = flat
+        self.rules, self.lengths = rules, np.concatenate([np.ones(self.first, np.int64), lengths.astype(np.int64)])
+
+    def _rules(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of nonterminals, one after the other: each round puts a rule's two symbols in its place."""
+        while True:
+            at = np.flatnonzero(symbols >= self.first)
+            if not len(at):
+                return symbols
+            n = np.ones(len(symbols), np.int64)
+            n[at] = 2
+            place = (np.cumsum(n) - n)[at]
+            pair = self.rules[symbols[at] - self.first]
+            symbols = np.repeat(symbols, n)
+            symbols[place], symbols[place + 1] = pair[:, 0], pair[:, 1]
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
+        """The ids of symbols: each rule that is among them, or that these need, is expanded once."""
+        there = np.zeros(len(self.lengths), bool)
+        there[symbols] = True
+        used = np.flatnonzero(there[self.first :]) + self.first
+        own = self.lengths[used]
+        places = np.arange(len(self.lengths))
+        places[used] = self.first + np.cumsum(own) - own
+        flat = np.concatenate([np.arange(self.first, dtype=np.uint32), self._rules(used).astype(np.uint32)])
         sizes = self.lengths[symbols]
         ends = np.cumsum(sizes)
-        jump = np.repeat(self.places[symbols] - (ends - sizes), sizes)
-        return self.flat[jump + np.arange(len(jump))]
+        return flat[np.repeat(places[symbols] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def read(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids from ``start`` to ``stop``: only the symbols there are expanded."""

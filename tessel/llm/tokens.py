@@ -29,27 +29,30 @@ _MARKS = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(b fo
 _BLANK = np.array([chr(b).isspace() and b < 128 for b in range(256)])
 
 
-class _Hash:
-    """Polynomial hashes modulo 2 ** 64 of many parts of a buffer at once, by prefix sums."""
-
-    def __init__(self, seed: int):
-        r = np.random.Generator(np.random.PCG64(seed))
-        self.values = r.integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.base = int(r.integers(1 << 40, 1 << 62)) | 1
-        self.powers = self.inverses = np.ones(0, np.uint64)
-
-    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(data)
-        if len(self.powers) < n:
-            up, down = np.full(n + 1, self.base, np.uint64), np.full(n + 1, pow(self.base, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            self.powers, self.inverses = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
-        found = (sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64)
-        found = (found ^ (found >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        found ^= found >> np.uint64(27)
-        return np.maximum(found, np.uint64(1))
+class _Hashes:
+    """Two 64-bit hashes of many parts of a buffer at once.
+
+    A part's hash is the sum of its bytes (plus one) times random keys, one for each place, modulo 2 ** 64, with its
+    length.  Keys are drawn anew in each worker, so no text can be made to collide: two different parts have the
+    same two hashes with probability 2 ** -112 at most, whatever they are.
+    """
+
+    def __init__(self):
+        self.keys = np.frombuffer(os.urandom(16 * (LONGEST + 1)), np.uint64).reshape(2, LONGEST + 1)
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``starts`` and ``ends`` of parts of LONGEST bytes at most that follow one another through all of ``data``."""
+        sizes = ends - starts
+        place = np.arange(len(data)) - np.repeat(starts, sizes)
+        wide = data.astype(np.uint64) + np.uint64(1)
+        one, two = (self._mixed(np.add.reduceat(np.take(k, place, mode="clip") * wide, starts) + k[LONGEST] * sizes.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64) for k in self.keys)
+        return one, two
+
+    @staticmethod
+    def _mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        return np.maximum(x, np.uint64(1))
 
 
 class _Memory:
@@ -143,7 +146,7 @@ class Encoder:
         self.direct = self.chunked and all("\u00c2\u0142" in x for x in self.strings if "Ġ" in x.lstrip("Ġ"))
         self.rests: dict[str, bytes] = {}
         self.memory = _Memory(self.type) if self.chunked else None
-        self.hashes = _Hash(1), _Hash(2)
+        self.hashes = _Hashes()
 
     def whole(self, text: str) -> bytes:
         """A text's ids by the library alone."""
@@ -164,6 +167,25 @@ class Encoder:
             out += self._parts(some, np.array(found, self.type))
         return out
 
+    def _heads(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words of letters that chunks begin with: most were chunks before and are remembered."""
+        if not words:
+            return {}
+        data = np.frombuffer((" " + " ".join(words)).encode(), np.uint8)
+        starts = np.flatnonzero(data == 32)
+        one, two = self.hashes.of(data, starts, np.append(starts[1:], len(data)))
+        entries = self.memory.find(one, two)
+        new = np.flatnonzero(entries < 0)
+        some = [words[k] for k in new.tolist()]
+        ids = self._letters(some)
+        out = dict(zip(some, ids))
+        self.memory.add(one[new], two[new], ids)
+        old = np.flatnonzero(entries >= 0)
+        flat, ends = self.memory.ids(entries[old])
+        blob, cuts = flat.tobytes(), [0, *(ends * self.type.itemsize).tolist()]
+        out.update((words[k], blob[a:b]) for k, a, b in zip(old.tolist(), cuts, cuts[1:]))
+        return out
+
     def _parts(self, chunks: list[str], ids: np.ndarray) -> list[bytes]:
         """The ids of each chunk, from those of all chunks with a space before each."""
         cuts = np.flatnonzero(self.opens[ids])
@@ -180,19 +202,21 @@ class Encoder:
         ids of these and those of the rest, which is rarely new.
         """
         out: dict[str, bytes] = {}
-        letters, both, plain = set(), [], []
+        alone, heads, both, plain = [], set(), [], []
         for c in chunks:
             n = _LETTERS.match(c).end()
             if n and self.direct and c[:n].isalpha():
-                letters.add(c[:n])
                 if n < len(c):
+                    heads.add(c[:n])
                     both.append((c, c[:n], c[n:]))
+                else:
+                    alone.append(c)
             elif c and not c[0].isspace() and not c[-1].isspace():
                 plain.append(c)
             else:
                 out[c] = self.whole(" " + c)
-        words = list(letters)
-        out.update(zip(words, self._letters(words)))
+        out.update(zip(alone, self._letters(alone)))
+        out.update(self._heads([x for x in heads if x not in out]))
         if len(self.rests) > MEMORY // 10:
             self.rests = {}
         rests = list({rest for _, _, rest in both}.difference(self.rests))
@@ -232,7 +256,7 @@ class Encoder:
             if len(texts) == 1:
                 return [self.whole(joined.decode())]
             return self._slice(texts[: len(texts) // 2]) + self._slice(texts[len(texts) // 2 :])
-        one, two = (h.of(data, starts, stops) for h in self.hashes)
+        one, two = self.hashes.of(data, starts, stops)
         if self.memory.n > MEMORY:
             self.memory.clear()
         entries = self.memory.find(one, two)
