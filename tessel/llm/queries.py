@@ -20,6 +20,8 @@ from tessel.llm.tree_bpe import encode_decode
 #: Host, path and verdict of the listed entries.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
+#: URLs that are blocked as a whole, where no entry fits: in canonical form they are compared with all pages.
+BLOCKED_URLS = ["https://thther.example.org/en/685/", "http://ththed.example.org/en/453#top", "https://blog.ththly.example.org:443/en/777?ref=x&page=2&utm_source=feed", "http://spam-farm.example.org/en/728"]
 
 #: Name of the tokenizer file that the queries use.
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,7 +47,8 @@ def op4_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return judge_urls(table(spark, sf_dir, "pages"), listed)
+    urls = spark.createDataFrame([(x, "block") for x in BLOCKED_URLS], "url string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), listed, urls=urls)
 
 
 def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,13 +90,16 @@ ORACLE_SQL = {
         WITH u AS (
             SELECT page_id,
                    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+                   list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND string_split(x, '=')[1] NOT IN ('fbclid', 'gclid', 'ref'))) AS said
             FROM pages),
+        c AS (SELECT *, regexp_replace(host, ':(80|443)$', '') || rtrim(path, '/') || CASE WHEN len(said) > 0 THEN '?' || array_to_string(said, '&') ELSE '' END AS canonical FROM u),
         r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
         SELECT page_id, host, path,
                (SELECT h || p FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule,
-               coalesce((SELECT v FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1), 'allow') AS verdict
-        FROM u""",
+               coalesce((SELECT v FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1),
+                        CASE WHEN canonical IN ('thther.example.org/en/685', 'ththed.example.org/en/453', 'blog.ththly.example.org/en/777?page=2', 'spam-farm.example.org/en/728') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM c""",
     "op6_suffix_automata": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         p AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM w, range(1, len(ws) - 33) r(i)),

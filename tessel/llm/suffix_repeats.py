@@ -1,9 +1,9 @@
 """Repetition within a text, by a suffix array over its words.
 
 Suffixes of all texts of a batch are sorted together by prefix doubling; the first words' ranks differ
-from text to text, so suffixes of two texts never tie.  Longest common prefixes of neighbours come from the
-ranks of the doubling rounds.  An interval of the array whose common prefix is long is a maximal repeated
-substring; the union of the spans of all of them is what the text has more than once.
+from text to text, so suffixes of two texts never tie.  Longest common prefixes of neighbours are compared only
+where they don't follow from those of the place before.  An interval of the array whose common prefix is long
+is a maximal repeated substring; the union of the spans of all of them is what the text has more than once.
 """
 
 from __future__ import annotations
@@ -33,11 +33,10 @@ SYMBOLS = b"#*$%&|<>"
 _WS = b" \t\n\x0b\x0c\r"
 
 
-def suffix_array(first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The suffix array of ``first`` (integers) and the ranks of each round.
+def suffix_array(first: np.ndarray) -> np.ndarray:
+    """The suffix array of ``first`` (integers) by prefix doubling.
 
-    In round k equal ranks are equal substrings of 2 ** k words (to the end of the array, where fewer are
-    left).  Suffixes that no other one ties with aren't sorted again.
+    Suffixes that no other one ties with aren't sorted again; one array of ranks is all that is kept.
     """
     n = len(first)
     order = np.argsort(first, kind="stable")
@@ -46,9 +45,8 @@ def suffix_array(first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     new[1:] = first[order[1:]] != first[order[:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    levels, step = [rank], 1
-    tied = ~(new & np.append(new[1:], True))
-    places = np.flatnonzero(tied)  # places of the array that are not settled; ranks are places
+    step = 1
+    places = np.flatnonzero(~(new & np.append(new[1:], True)))  # places of the array that are not settled; ranks are places
     while len(places):
         own = order[places]
         nxt = own + step
@@ -60,33 +58,64 @@ def suffix_array(first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         new[0] = True
         new[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
         order[places] = own
-        rank = rank.copy()
         rank[own] = np.maximum.accumulate(np.where(new, places, 0))
-        levels.append(rank)
-        tied = ~(new & np.append(new[1:], True))
-        places = places[tied]
+        places = places[~(new & np.append(new[1:], True))]
         step *= 2
-    return order, levels
+    return order
 
 
-def neighbour_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """Of each place but the first, the words that its suffix has in common with the one before."""
-    n = len(order)
-    at = np.flatnonzero(levels[0][order[1:]] == levels[0][order[:-1]]) if n else np.zeros(0, np.int64)
-    a, b = order[at].copy(), order[at + 1].copy()
-    found = np.zeros(len(at), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        rank = levels[k]
-        hi = np.maximum(a, b)
-        equal = (hi + (1 << k) <= n) & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]) & (hi < n)
-        found += np.where(equal, 1 << k, 0)
-        a += np.where(equal, 1 << k, 0)
-        b += np.where(equal, 1 << k, 0)
-    out = np.zeros(max(0, n - 1), np.int64)
-    out[at] = found
+def _common(first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair of places how many values from there on are equal.
+
+    Pairs are compared together, a few values at a time and then more; those that are very long go one by one.
+    """
+    n = len(first)
+    out = np.zeros(len(a), np.int64)
+    live, size = np.arange(len(a)), 4
+    while len(live) and size <= 1 << 12:
+        rows, left = (1 << 20) // size, []
+        for at in range(0, len(live), rows):
+            own = live[at : at + rows]
+            x, y = (z[own, None] + out[own, None] + np.arange(size) for z in (a, b))
+            like = (np.maximum(x, y) < n) & (first[np.minimum(x, n - 1)] == first[np.minimum(y, n - 1)])
+            same = np.where(like.all(axis=1), size, like.argmin(axis=1))
+            out[own] += same
+            left.append(own[same == size])
+        live, size = np.concatenate(left), 4 * size
+    for k in live.tolist():
+        x, y = int(a[k] + out[k]), int(b[k] + out[k])
+        while max(x, y) < n:
+            some = min(size, n - max(x, y))
+            unlike = np.flatnonzero(first[x : x + some] != first[y : y + some])
+            same = int(unlike[0]) if len(unlike) else some
+            out[k], x, y = out[k] + same, x + same, y + same
+            if same < some:
+                break
     return out
 
 
+def neighbour_prefixes(first: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of each place but the first, the words that its suffix has in common with the one before.
+
+    Where the words before the two suffixes are equal too, the number is one less than that of the suffix before in
+    the text; so only the others are compared.  What is compared grows as n log n at most, what is kept as n.
+    """
+    n = len(order)
+    if n < 2:
+        return np.zeros(0, np.int64)
+    before = np.full(n, -1)  # of each suffix the one before it in the array
+    before[order[1:]] = order[:-1]
+    at = np.arange(n)
+    follows = (at > 0) & (before > 0)
+    follows[follows] = first[at[follows] - 1] == first[before[follows] - 1]
+    alone = np.flatnonzero(~follows & (before >= 0))
+    found = np.zeros(n, np.int64)
+    found[alone] = _common(first, alone, before[alone])
+    start = np.maximum.accumulate(np.where(follows, 0, at))
+    found = found[start] - (at - start)
+    return found[order[1:]]
+
+
 def _covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Which of ``n`` places the spans cover."""
     delta = np.zeros(n + 1, np.int64)
@@ -105,8 +134,9 @@ def repeats(texts_words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.
     numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
     ids = np.fromiter((numbers[w] for x in texts_words for w in x), np.int64, total)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    order, levels = suffix_array(doc * len(numbers) + ids)
-    shared = neighbour_prefixes(order, levels)
+    keys = doc * len(numbers) + ids
+    order = suffix_array(keys)
+    shared = neighbour_prefixes(keys, order)
     longest = np.zeros(total, np.int64)  # from each place, the longest passage that is also elsewhere
     longest[order[1:]] = shared
     np.maximum.at(longest, order[:-1], shared)
