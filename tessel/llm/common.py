@@ -95,6 +95,22 @@ def bounded(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
     return F.broadcast(df) if rows * bytes_a_row <= BROADCAST_BYTES else df
 
 
+def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` (one row a key): its ``hot`` rows, few by their definition, by broadcast, the others
+    by a shuffle that hot rows take no part in."""
+    few = F.broadcast(side.filter(hot))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(side.filter(~hot), keys, how)
+    return rows.join(few, keys, "left_semi" if how == "left_semi" else "inner").unionByName(rest)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: What a worker keeps from task to task: functions that drop it.
 KEPT: list[Callable[[], None]] = []
 

@@ -9,9 +9,11 @@ Two texts of similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 32
 
 Groups aren't expanded into pairs.  First each text of a band's bucket is compared with the bucket's first
 one, and links are joined into components.  A bucket that is in one component then has no more to tell.
-Texts that the few other buckets connect are compared where they meet, in blocks of bounded size: by sketch,
-then on their sets, and only as long as they are in different components.  What comes out are links that
-join components, no pairs.
+In the others texts of different components are compared where they meet, each pair in one bucket alone: first by
+sketch, then, for those that are near to any, on their sets, and only as long as they are in different components.
+A bucket that is too large is cut in blocks; texts of its largest component don't meet one another.  What comes out are
+links that join components, no pairs, and a text's set is sent once to each of its open buckets (BANDS at most) and
+once more for each block of a bucket that is cut.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import bounded, small_batches, written
+from tessel.llm.common import bounded, fresh, hot_join, small_batches, written
 from tessel.llm.components import components
 
 ROWS, BANDS = 5, 32
@@ -31,8 +33,10 @@ SAMPLES = ROWS * BANDS
 BITS = 256
 #: Estimates of similarity have a standard deviation of about 0.05 at 0.8; below this one a pair isn't verified.
 LEAST_ESTIMATE = 0.55
-#: A task compares two blocks of so many texts at most.
-BLOCK = 3000
+#: A block has about so many texts at most, and so many bytes of sets; a task compares two blocks.
+BLOCK, BLOCK_BYTES = 3000, 32 << 20
+#: A bucket is hot if it holds one of so many parts of all rows of buckets.
+HOT_BUCKETS = 1 << 14
 #: A group of equal sets is hot if it holds one of so many parts of all rows.
 HOT_PARTS = 256
 MEMORY = 300_000
@@ -185,66 +189,149 @@ def _near(x: Column, y: Column) -> Column:
     return sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(BITS // 64)), F.lit(0)) <= MOST_BITS
 
 
+#: A text in a task (a bucket, or two blocks of one): its side there, and the open buckets that it is in.
+MEMBER = "_band long, _k int, _i int, _j int, _side boolean, _node long, _root long, _n long, _sketch array<long>, _open array<long>"
+_TASK = ["_band", "_k", "_i", "_j"]
+
+
+def _tasks(rows: pa.Table):
+    """The tasks among the rows of a group: numbers of the rows of each."""
+    key = [rows.column(x).to_numpy() for x in _TASK]
+    order = np.lexsort(key[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in key:
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    return np.split(order, np.flatnonzero(new)[1:])
+
+
+def _met(band: int, opens: list[np.ndarray]) -> np.ndarray:
+    """Bits [text, word] of the open buckets before ``band`` that several texts of a task share: there they meet too."""
+    sizes = np.array([len(x) for x in opens])
+    flat, own = np.concatenate(opens), np.repeat(np.arange(len(opens)), sizes)
+    early = flat < band
+    found, place, count = np.unique(flat[early], return_inverse=True, return_counts=True)
+    many = np.flatnonzero(count > 1)
+    number = np.full(len(found), -1)
+    number[many] = np.arange(len(many))
+    bits = np.zeros((len(opens), -(-max(1, len(many)) // 64) * 64), np.uint8)
+    use = number[place] >= 0
+    bits[own[early][use], number[place][use]] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _meetings(rows: pa.Table, percent: int):
+    """For each text of each task, its row, and the rows of those that it has to be compared with by size and sketch.
+
+    A pair meets in the first of its common buckets; texts of one component are left out (``root`` may change meanwhile).
+    """
+    node, root, side, size = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("_node", "_root", "_side", "_n"))
+    root = root.copy()
+    sketch = np.concatenate([np.zeros(0, np.int64), rows.column("_sketch").combine_chunks().flatten().to_numpy()]).reshape(len(node), -1).view(np.uint64)
+    opens = rows.column("_open").combine_chunks()
+    cuts, flat = opens.offsets.to_numpy(), opens.values.to_numpy()
+    band, kind = rows.column("_band").to_numpy(), rows.column("_k").to_numpy()
+    for task in _tasks(rows):
+        if (root[task] == root[task[0]]).all():
+            continue
+        met = _met(int(band[task[0]]), [flat[cuts[k] : cuts[k + 1]] for k in task.tolist()])
+        two = kind[task[0]] == 1
+        left = np.flatnonzero(side[task]) if two else np.arange(len(task))
+        right = np.flatnonzero(~side[task]) if two else left
+        for k in left.tolist():
+            own = task[k]
+            others = right if two else right[node[task[right]] > node[own]]
+            at = task[others]
+            good = (root[at] != root[own]) & (100 * np.minimum(size[at], size[own]) >= percent * np.maximum(size[at], size[own])) & ~(met[others] & met[k]).any(axis=1)
+            at = at[good]
+            yield own, at[np.bitwise_count(sketch[at] ^ sketch[own]).sum(axis=1) <= MOST_BITS], root
+
+
+def _survivors(percent: int):
+    """The rows of texts that have a near one by sketch, as they are."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keep = np.zeros(rows.num_rows, bool)
+        for own, near, _ in _meetings(rows, percent):
+            keep[near] = True
+            keep[own] |= len(near) > 0
+        out = rows.filter(pa.array(keep)).drop_columns(["_group"])
+        return out.cast(pa.schema([pa.field(f.name, pa.list_(pa.int64()) if pa.types.is_list(f.type) else f.type) for f in out.schema]))
+
+    return run
+
+
 def _compare(percent: int):
-    """Of two blocks of texts the links that join components."""
+    """The links that join components among the texts of each task, on their sets."""
 
     def run(rows: pa.Table) -> pa.Table:
-        node, root, block = (rows.column(x).to_numpy() for x in ("_node", "_root", "_own"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("_set")]
-        size = np.array([len(x) for x in sets])
-        sketch = np.array(rows.column("_sketch").to_pylist(), np.int64).reshape(len(node), -1).view(np.uint64)
-        i, j = rows.column("_i")[0].as_py(), rows.column("_j")[0].as_py()
-        _, root = np.unique(root, return_inverse=True)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        sets = rows.column("_set")
+        node = rows.column("_node").to_numpy()
         a, b = [], []
-        for k in left.tolist():
-            others = right[node[right] > node[k]] if i == j else right
-            others = others[(root[others] != root[k]) & (100 * np.minimum(size[others], size[k]) >= percent * np.maximum(size[others], size[k]))]
-            others = others[np.bitwise_count(sketch[others] ^ sketch[k]).sum(axis=1) <= MOST_BITS]
-            for m in others.tolist():
-                if root[m] != root[k] and _linked(sets[k], sets[m], percent):
-                    root[root == root[m]] = root[k]
-                    a.append(max(node[k], node[m]))
-                    b.append(min(node[k], node[m]))
-        kind = rows.column("_node").type
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+        for own, near, root in _meetings(rows, percent):
+            x = np.frombuffer(sets[int(own)].as_buffer(), np.uint64) if len(near) else None
+            for m in near.tolist():
+                if root[m] != root[own] and _linked(x, np.frombuffer(sets[m].as_buffer(), np.uint64), percent):
+                    root[root == root[m]] = root[own]
+                    a.append(max(node[own], node[m]))
+                    b.append(min(node[own], node[m]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+def numbered(docs: DataFrame, id_col: str, name: str) -> tuple[DataFrame, int | None]:
+    """``docs`` with its ids as numbers in a column ``name``, and the first number that is no id (null: there is none).
+
+    Rows without an id get numbers beyond all ids, each its own.  Only then the table is written first, so that
+    these numbers stay.
+    """
+    row = docs.agg(F.max(F.col(id_col).cast("long")).alias("most"), F.count_if(F.col(id_col).isNull()).alias("none")).first()
+    own = F.col(id_col).cast("long")
+    if not row["none"]:
+        return docs.withColumn(name, own), None
+    base = 0 if row["most"] is None else max(0, row["most"] + 1)
+    return written(docs.withColumn(name, F.coalesce(own, F.lit(base) + F.monotonically_increasing_id())), "numbered"), base
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: the size of its shingle set and its component.
 
     Words are runs of other characters than space and U+0009 to U+000D, with A-Z lower-cased.  A set is the
     distinct shingles of ``shingle`` words; a text of fewer words has one of all.  Texts are linked if
     ``100 * intersection >= percent * union``; one without words is linked with nothing.  Rows that share an
-    id are one document with both texts.  Ids are integers and not null.  An empty table gives no rows.
+    id are one document with both texts.  Ids are integers.  A row without an id is a document of its own that comes
+    after all others: its ``component_id`` is the smallest id reachable, null if there is none, and of a component
+    without ids one row is kept.  An empty table gives no rows.
 
     Returns the id, ``n_shingles``, ``component_id`` (the smallest id reachable) and ``kept`` (whether it is
     the id itself).
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    signs = written(slim.mapInArrow(_signatures(shingle), f"_id {kind}, _n long, _digest binary, _sketch array<long>, _bands array<long>"), "signatures")
+    kind = docs.schema[id_col].dataType
+    slim, base = numbered(docs.select(F.col(id_col).alias("_own"), F.col(text_col).cast("string").alias("_text")), "_own", "_id")
+    slim = slim.select("_id", "_text")
+    signs = written(slim.mapInArrow(_signatures(shingle), "_id long, _n long, _digest binary, _sketch array<long>, _bands array<long>"), "signatures")
     # one node for all rows of one set
-    nodes = written(signs.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_node"), F.first("_sketch").alias("_sketch"), F.first("_bands").alias("_bands"), F.count("*").alias("_rows")), "nodes")
-    buckets = nodes.select("_node", F.explode("_bands").alias("_band"))
-    firsts = buckets.groupBy("_band").agg(F.count("*").alias("_size"), F.min("_node").alias("_first")).filter("_size > 1")
-    shared = written(buckets.join(firsts, "_band"), "buckets")
+    nodes = signs.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_node"), F.first("_n").alias("_n"), F.first("_sketch").alias("_sketch"), F.first("_bands").alias("_bands"), F.count("*").alias("_rows"))
+    nodes = written(nodes, "nodes")
+    buckets = nodes.select("_node", "_n", F.explode("_bands").alias("_band"))
+    firsts = written(buckets.groupBy("_band").agg(F.count("*").alias("_size"), F.min("_node").alias("_first")).filter("_size > 1"), "firsts")
+    large = lambda n, size: F.col(size) * HOT_BUCKETS >= n
+    shared = written(hot_join(buckets, firsts, ["_band"], large(nodes.count() * BANDS, "_size")), "buckets")
 
     def sets_of(names: DataFrame) -> DataFrame:
         """``_node`` and ``_set`` of distinct ``_node``: their texts are read again."""
         wanted = written(nodes.select("_node", "_digest").join(names, "_node"), "wanted")
         ids = wanted.select(F.col("_node").alias("_wanted")).distinct()
         texts = slim.join(bounded(ids, wanted.count(), 24), F.col("_id") == F.col("_wanted"), "left_semi")
-        sets = texts.mapInArrow(_sets(shingle), f"_node {kind}, _digest binary, _set binary").join(wanted, ["_node", "_digest"], "left_semi")
+        sets = texts.mapInArrow(_sets(shingle), "_node long, _digest binary, _set binary").join(wanted, ["_node", "_digest"], "left_semi")
         return written(sets.dropDuplicates(["_node", "_digest"]).select("_node", "_set"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b) of nodes, on their full sets."""
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct())
         full = pairs.join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a").join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b")
-        return written(full.mapInArrow(_verify(percent), f"a {kind}, b {kind}"), "links")
+        return written(full.mapInArrow(_verify(percent), "a long, b long"), "links")
 
     # Each node against the first of each of its buckets.
     sketches = nodes.select("_node", "_sketch")
@@ -252,22 +339,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     pairs = pairs.join(sketches.select(F.col("_node").alias("a"), F.col("_sketch").alias("_x")), "a").join(sketches.select(F.col("_node").alias("b"), F.col("_sketch").alias("_y")), "b")
     links = confirm(written(pairs.filter(_near(F.col("_x"), F.col("_y"))).select("a", "b"), "pairs"))
 
-    # Buckets of three or more that are not yet in one component.
+    # Buckets of three or more that are not yet in one component, each with its largest component.
     roots = components(links)
-    rooted = shared.filter("_size > 2").join(roots.withColumnRenamed("node", "_node"), "_node", "left").select("_band", "_node", "_size", F.coalesce("root", "_node").alias("_root"))
+    rooted = shared.filter("_size > 2").join(roots.withColumnRenamed("node", "_node"), "_node", "left").select("_band", "_node", "_n", F.coalesce("root", "_node").alias("_root"))
     rooted = written(rooted, "rooted")
-    split = rooted.groupBy("_band").agg(F.min("_root").alias("_least"), F.max("_root").alias("_most"), F.min("_node").alias("b")).filter("_least <> _most").select("_band", "b")
-    touching = written(rooted.join(split, "_band").select(F.col("_node").alias("a"), "b").distinct(), "touching")
-    if touching.count():
-        # texts that buckets connect, each once
-        parts = components(touching).select(F.col("node").alias("_node"), F.col("root").alias("_part"))
-        parts = written(parts.join(roots.withColumnRenamed("node", "_node"), "_node", "left").select("_node", "_part", F.coalesce("root", "_node").alias("_root")), "parts")
-        open_ = parts.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_root").alias("_least"), F.max("_root").alias("_most")).filter("_least <> _most").select("_part", "_size")
-        blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
-        many = parts.join(open_, "_part").withColumn("_own", F.pmod(F.xxhash64("_node"), blocks).cast("int"))
-        many = many.join(sketches, "_node").join(sets_of(many.select("_node")), "_node").withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        many = many.select("_part", "_node", "_root", "_sketch", "_set", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-        more = written(many.groupBy("_part", "_i", "_j").applyInArrow(_compare(percent), f"a {kind}, b {kind}"), "links")
+    by_root = rooted.groupBy("_band", "_root").agg(F.count("*").alias("_r"), F.sum("_n").alias("_s")).groupBy("_band")
+    open_ = by_root.agg(F.count("*").alias("_roots"), F.max(F.struct("_r", "_root", "_s")).alias("_major"), F.sum("_r").alias("_r"), F.sum("_s").alias("_s")).filter("_roots > 1")
+    pieces = lambda r, s: F.greatest(F.lit(1), F.ceil(r / BLOCK), F.ceil(8 * s / BLOCK_BYTES)).cast("int")
+    open_ = open_.select("_band", "_r", F.col("_major._root").alias("_most"), pieces(F.col("_r"), F.col("_s")).alias("_all"), pieces(F.col("_major._r"), F.col("_major._s")).alias("_large"), pieces(F.col("_r") - F.col("_major._r"), F.col("_s") - F.col("_major._s")).alias("_small"))
+    open_ = written(open_, "open")
+    if open_.count():
+        members = written(hot_join(rooted, open_, ["_band"], large(rooted.count(), "_r")), "members")
+        parts = max(1, members.count() // BLOCK)
+        opens = members.groupBy("_node").agg(F.collect_set("_band").alias("_open"))
+        members = members.join(opens, "_node").join(sketches, "_node")
+        task = lambda k, i, j: F.struct(F.lit(k).alias("_k"), i.alias("_i"), j.alias("_j"))
+        minor = F.col("_root") != F.col("_most")
+        own = lambda n: F.pmod(F.xxhash64("_node"), F.col(n)).cast("int")
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        among = F.transform(upto("_small"), lambda x: task(0, F.least(own("_small"), x), F.greatest(own("_small"), x)))
+        tasks = (
+            F.when(F.col("_all") == 1, F.array(task(0, F.lit(0), F.lit(0)))).when(minor, F.concat(among, F.transform(upto("_large"), lambda x: task(1, own("_small"), x))))
+            .otherwise(F.transform(upto("_small"), lambda x: task(1, x, own("_large"))))
+        )
+        members = members.select("_band", F.explode(tasks).alias("_t"), minor.alias("_side"), "_node", "_root", "_n", "_sketch", "_open").select("_band", "_t._k", "_t._i", "_t._j", "_side", "_node", "_root", "_n", "_sketch", "_open")
+        groups = lambda df: df.withColumn("_group", F.pmod(F.xxhash64(*_TASK), F.lit(parts))).groupBy("_group")
+        near = written(groups(members).applyInArrow(_survivors(percent), MEMBER), "near")
+        full = near.join(sets_of(near.select("_node").distinct()), "_node")
+        more = written(groups(full).applyInArrow(_compare(percent), "a long, b long"), "links")
         if more.count():
             roots = components(links.unionByName(more))
 
@@ -281,11 +380,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     empty = rows.filter("_digest IS NULL").withColumn("_component", F.col("_id"))
     rows = rows.filter("_digest IS NOT NULL")
     out = rows.join(hot, "_digest").unionByName(rows.join(hot.select("_digest"), "_digest", "left_anti").join(cold, "_digest")).drop("_rows").unionByName(empty)
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), (F.col("_id") == F.col("_component")).alias("kept"))
+    known = lambda x: (F.col(x) if base is None else F.when(F.col(x) < base, F.col(x))).cast(kind)
+    return out.select(known("_id").alias(id_col), F.col("_n").alias("n_shingles"), known("_component").alias("component_id"), (F.col("_id") == F.col("_component")).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose id is the smallest of its component."""
-    found = near_duplicates(docs, shingle, percent, id_col, text_col)
-    gone = written(found.filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(bounded(gone, gone.count(), 16), F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, all columns as they are, whose id is the smallest of its component.
+
+    A row without an id goes if a row with one is in its component, or one without that comes first.
+    """
+    own = fresh(docs, "_own")
+    docs, _ = numbered(docs, id_col, own)
+    found = near_duplicates(docs, shingle, percent, own, text_col)
+    mark = fresh(docs, "_gone")
+    gone = written(found.filter("NOT kept").select(F.col(own).alias(mark)).distinct(), "gone")
+    return docs.join(bounded(gone, gone.count(), 16), F.col(own) == F.col(mark), "left_anti").drop(own)

@@ -8,7 +8,7 @@ import pytest
 
 import tessel.llm.odd_sketches as module
 from tessel.llm.components import components
-from tessel.llm.odd_sketches import BITS, MOST_BITS, SAMPLES, min_hashes, near_duplicates, odd_sketch
+from tessel.llm.odd_sketches import BITS, MOST_BITS, SAMPLES, min_hashes, near_duplicates, odd_sketch, without_near_copies
 
 
 def plain(data, size):
@@ -45,10 +45,12 @@ def some_texts(seed, n):
     return out
 
 
-@pytest.mark.parametrize(("size", "block", "hot"), [(2, 2000, 256), (5, 3, 1)])
-def test_components_of_texts(spark, monkeypatch, size, block, hot):
+@pytest.mark.parametrize(("size", "block", "size_bytes", "hot"), [(2, 2000, 1 << 25, 256), (5, 3, 1 << 25, 1), (3, 2000, 500, 1 << 20)])
+def test_components_of_texts(spark, monkeypatch, size, block, size_bytes, hot):
     monkeypatch.setattr(module, "BLOCK", block)
+    monkeypatch.setattr(module, "BLOCK_BYTES", size_bytes)
     monkeypatch.setattr(module, "HOT_PARTS", hot)
+    monkeypatch.setattr(module, "HOT_BUCKETS", hot)
     data = list(enumerate(some_texts(size, 25), 7))
     random.Random(1).shuffle(data)
     got = near_duplicates(spark.createDataFrame([(*x, 1) for x in data], "doc_id long, text string, _n int").repartition(4), size).collect()
@@ -62,6 +64,34 @@ def test_no_rows_and_repeated_ones(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True)] * 3 + [(2, 2, True)] * 2
 
 
+@pytest.mark.parametrize("block", [3000, 4])
+def test_near_the_bound(spark, monkeypatch, block):
+    """A crowd of texts around the bound: many share buckets, some are linked, and each link counts."""
+    monkeypatch.setattr(module, "BLOCK", block)
+    r = random.Random(5)
+    base = [str(k) for k in range(60)]
+    data = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.choice([2, 3, 4, 5])):
+            words[r.randrange(60)] = f"n{r.randrange(10_000)}"
+        data.append((i, " ".join(words)))
+    got = near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), 2).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == plain(data, 2) and 1 < len({x.component_id for x in got}) < 60
+
+
+def test_rows_without_ids_and_clashing_columns(spark):
+    text = " ".join(str(k) for k in range(40))
+    other = " ".join(f"o{k}" for k in range(40))
+    rows = [(5, text), (None, text), (None, text + " x"), (None, other), (None, other), (7, other + " y"), (None, "alone here"), (None, "alone here"), (None, None), (9, None)]
+    docs = spark.createDataFrame([(i, x, "a", "b", 3) for i, x in rows], "doc_id int, text string, _gone string, _own string, _id int")
+    got = near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted([(5, 5, True), (None, 5, False), (None, 5, False), (None, 7, False), (None, 7, False), (7, 7, True), (None, None, True), (None, None, False), (None, None, True), (9, 9, True)], key=str)
+    left = without_near_copies(docs)
+    assert left.columns == docs.columns and left.schema["doc_id"].dataType.simpleString() == "int"
+    assert sorted(((r.doc_id, r.text, r._gone, r._own, r._id) for r in left.collect()), key=str) == sorted([(5, text, "a", "b", 3), (7, other + " y", "a", "b", 3), (None, "alone here", "a", "b", 3), (None, None, "a", "b", 3), (9, None, "a", "b", 3)], key=str)
+
+
 def test_links_in_chains(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(5, 5), (200, 201), (201, 200)]
     random.Random(0).shuffle(pairs)
