@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.llm.common import SPACES, bounded, checkpointed, same, shuffle_width, written
+from tessel.llm.common import SPACES, bounded, checkpointed, fresh, same, shuffle_width, written
 
 #: Bits that a fingerprint has beyond log2(rows): a row with no copy is suspected at a rate of 2 ** -EXTRA_BITS.
 EXTRA_BITS = 10
@@ -167,15 +167,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that ``exact_dedup`` keeps."""
-    found = exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "kept")
-    marks = found.groupBy("_id").agg(F.count_if("kept").alias("_stay"), F.count("*").alias("_all")).filter("_stay < _all")
+    own, rank = fresh(docs, "_own"), fresh(docs, "_rank")
+    found = exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias(own), "kept")
+    marks = found.groupBy(own).agg(F.count_if("kept").alias("_stay"), F.count("*").alias("_all")).filter("_stay < _all")
     marks = written(marks, "marks")
     n = marks.count()
-    gone, some = marks.filter("_stay = 0").select("_id"), marks.filter("_stay > 0").select("_id")
-    out = docs.join(bounded(gone, n, 16), same(F.col(id_col), F.col("_id")), "left_anti")
+    gone, some = marks.filter("_stay = 0").select(own), marks.filter("_stay > 0").select(own)
+    out = docs.join(bounded(gone, n, 16), same(F.col(id_col), F.col(own)), "left_anti")
     if some.count():  # an id that copies share: of each of its texts the row with the most code points
-        rows = out.join(bounded(some, n, 16), same(F.col(id_col), F.col("_id")), "left_semi")
+        rows = out.join(bounded(some, n, 16), same(F.col(id_col), F.col(own)), "left_semi")
         by = Window.partitionBy(id_col, F.xxhash64(F.regexp_replace(F.coalesce(text_col, F.lit("")), SPACES, ""))).orderBy(F.char_length(text_col).desc_nulls_last(), text_col)
-        one = rows.withColumn("_rank", F.row_number().over(by)).filter("_rank = 1").drop("_rank")
-        out = out.join(bounded(some, n, 16), same(F.col(id_col), F.col("_id")), "left_anti").unionByName(one)
+        one = rows.withColumn(rank, F.row_number().over(by)).filter(F.col(rank) == 1).drop(rank)
+        out = out.join(bounded(some, n, 16), same(F.col(id_col), F.col(own)), "left_anti").unionByName(one)
     return out

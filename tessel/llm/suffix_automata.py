@@ -12,8 +12,9 @@ anchor are one segment, a string of words.
    length in a state that occurs twice or more, the window is repeated; spans are joined to maximal ones.
 
 Broadcasting every shard to every document would compare all with all; by content each segment meets the one
-shard that can have its windows.  A shard of more than SHARD_SEGMENTS distinct segments is cut further, into
-its single windows, which are counted as strings.
+shard that can have its windows.  A shard of more than SHARD_SEGMENTS distinct segments is cut further by a second
+anchor, the smallest by another hash, and again by a third; its parts have automata like all others.  Only what is
+still too large then is cut into single windows, which are counted as strings.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from tessel.llm.common import bounded, same, small_batches, written
 
 #: Words of a repeated window, and of an anchor.
 WINDOW, ANCHOR = 35, 8
-#: Distinct segments of a shard, at most; and segments in a task's group of shards, about.
-SHARD_SEGMENTS, GROUP_SEGMENTS = 2000, 20_000
+#: Distinct segments of a shard, at most; and how often one that has more is cut by another anchor.
+SHARD_SEGMENTS, CUTS = 2000, 2
+#: Segments in a task's group of shards, about, and their bytes.
+GROUP_SEGMENTS, GROUP_BYTES = 2000, 8 << 20
 MEMORY = 300_000
 #: A key is hot if it has one of so many parts of all rows; there are HOT_PARTS hot keys at most.
 HOT_PARTS = 1024
@@ -110,8 +113,8 @@ class _Numbers(dict):
         return found
 
 
-def segments(texts_words: list[list[bytes]], window: int, numbers: dict) -> tuple[np.ndarray, ...]:
-    """The segments of the texts: number of the text, first window, windows, anchor's hash."""
+def segments(texts_words: list[list[bytes]], window: int, numbers: dict, cut: int = 0) -> tuple[np.ndarray, ...]:
+    """The segments of the texts: number of the text, first window, windows, anchor's hash (another one for each cut)."""
     sizes = np.array([len(x) for x in texts_words], np.int64)
     total, gram = int(sizes.sum()), min(ANCHOR, window)
     none = np.zeros(0, np.int64)
@@ -123,6 +126,9 @@ def segments(texts_words: list[list[bytes]], window: int, numbers: dict) -> tupl
     for j in range(gram):
         value = (value ^ words[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         value ^= value >> np.uint64(29)
+    if cut:
+        value = (value ^ (value >> np.uint64(32))) * np.uint64((0xBF58476D1CE4E5B9, 0x94D049BB133111EB)[cut % 2] + 2 * cut)
+        value ^= value >> np.uint64(31)
     # the least of each window's grams and its place, the first of equal ones, by doubling
     least, place, have, need = value.copy(), np.arange(n), 1, window - gram + 1
     while have < need:
@@ -258,6 +264,67 @@ def _windows(window: int):
     return run
 
 
+def _recut(window: int, cut: int):
+    """The parts of segments of large shards by another anchor: whose they are, from which window on, and their shard."""
+
+    def run(batches):
+        numbers = _Numbers()
+        for b in small_batches(batches):
+            words = [x.split(b" ") for x in b.column("_string").to_pylist()]
+            own, start, size, anchor = segments(words, window, numbers, cut)
+            strings = [b" ".join(words[d][s : s + k + window - 1]) for d, s, k in zip(own.tolist(), start.tolist(), size.tolist())]
+            take = pa.array(own)
+            outer = b.column("_anchor").take(take)
+            inner = (anchor.view(np.uint64) ^ (outer.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [outer, b.column("_text").take(take), b.column("_count").take(take), pa.array(start.astype(np.int32)), pa.array(inner), pa.array(strings, pa.binary())], ["_outer", "_whole", "_count", "_from", "_anchor", "_string"]
+            )
+
+    return run
+
+
+_KEYS = ["_anchor", "_text"]
+
+
+def _at_places(places: DataFrame, found: DataFrame, segments_: DataFrame, often: str) -> DataFrame:
+    """``found`` at the places of its segments.  ``segments_`` has in ``often`` how many places each one has; those of
+    the most are broadcast, HOT_PARTS segments at most, with as many numbers each as a segment has windows."""
+    total = segments_.agg(F.sum(often)).first()[0] or 0
+    hot_keys = F.broadcast(segments_.filter(F.col(often) * HOT_PARTS >= total).select(*_KEYS))
+    hot = F.broadcast(found.join(hot_keys, _KEYS, "left_semi"))
+    return places.join(hot, _KEYS).unionByName(places.join(hot_keys, _KEYS, "left_anti").join(found, _KEYS))
+
+
+def _found(distinct: DataFrame, window: int, cut: int = 0) -> DataFrame:
+    """Of distinct segments (``_anchor``, ``_text``, ``_string``, ``_count``) the spans of their repeated windows."""
+    schema = "_anchor long, _text long, _low array<int>, _high array<int>"
+    sizes = distinct.groupBy("_anchor").agg(F.count("*").alias("_segments"))
+    large = written(sizes.filter(F.col("_segments") > SHARD_SEGMENTS).select("_anchor"), "large")
+    n, size = distinct.agg(F.count("*"), F.sum(F.octet_length("_string"))).first()
+    # a large shard has over SHARD_SEGMENTS rows, so there are few of them
+    large_side = bounded(large, 1 + n // SHARD_SEGMENTS, 16)
+    groups = max(1, -(-n // GROUP_SEGMENTS), -(-(size or 0) // GROUP_BYTES))
+    small = distinct.join(large_side, "_anchor", "left_anti").withColumn("_group", F.pmod(F.xxhash64("_anchor"), F.lit(groups)))
+    found = small.groupBy("_group").applyInArrow(_stream(window), schema)
+    if not large.count():
+        return written(found, "found")
+    rest = distinct.join(large_side, "_anchor", "left_semi")
+    if cut < CUTS:
+        parts = rest.mapInArrow(_recut(window, cut + 1), "_outer long, _whole long, _count long, _from int, _anchor long, _string binary").withColumn("_text", F.xxhash64("_string"))
+        parts = written(parts, "parts")
+        again = written(parts.groupBy("_anchor", "_text", "_string").agg(F.sum("_count").alias("_count"), F.count("*").alias("_places")), "again")
+        inner = _at_places(parts.select("_outer", "_whole", "_from", *_KEYS), _found(again.drop("_places"), window, cut + 1), again, "_places")
+        moved = lambda x: F.transform(x, lambda k: k + F.col("_from"))
+        inner = inner.select(F.col("_outer").alias("_anchor"), F.col("_whole").alias("_text"), moved("_low").alias("_low"), moved("_high").alias("_high"))
+        hits = inner.groupBy("_anchor", "_text").agg(F.collect_list(F.arrays_zip("_low", "_high")).alias("_z")).select("_anchor", "_text", F.flatten("_z").alias("_z")).select("_anchor", "_text", F.col("_z._low").alias("_low"), F.col("_z._high").alias("_high"))
+    else:
+        single = rest.mapInArrow(_windows(window), "_anchor long, _text long, _count long, _at int, _string binary").withColumn("_window", F.xxhash64("_string"))
+        often = single.groupBy("_window", "_string").agg(F.sum("_count").alias("_n")).filter("_n > 1").select("_window", "_string")
+        hits = single.join(often, ["_window", "_string"], "left_semi").groupBy("_anchor", "_text").agg(F.collect_set("_at").alias("_low"))
+        hits = hits.withColumn("_high", F.transform("_low", lambda x: x + window))
+    return written(found.unionByName(hits), "found")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of words (``_low`` to ``_high``, lists in order of neither) that windows found elsewhere cover.
 
@@ -280,27 +347,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     cut = written(cut.withColumn("_text", F.xxhash64("_string")), "segments")
 
     distinct = written(cut.groupBy("_anchor", "_text", "_string").agg(F.count("*").alias("_count")), "distinct")
-    sizes = distinct.groupBy("_anchor").agg(F.count("*").alias("_segments"))
-    large = written(sizes.filter(F.col("_segments") > SHARD_SEGMENTS).select("_anchor"), "large")
-    n = distinct.count()
-    # a large shard has over SHARD_SEGMENTS rows, so there are few of them
-    large_side = bounded(large, 1 + n // SHARD_SEGMENTS, 16)
-    groups = max(1, -(-n // GROUP_SEGMENTS))
-    small = distinct.join(large_side, "_anchor", "left_anti").withColumn("_group", F.pmod(F.xxhash64("_anchor"), F.lit(groups)))
-    found = small.groupBy("_group").applyInArrow(_stream(window), "_anchor long, _text long, _low array<int>, _high array<int>")
-    single = distinct.join(large_side, "_anchor", "left_semi").mapInArrow(_windows(window), "_anchor long, _text long, _count long, _at int, _string binary")
-    single = single.withColumn("_window", F.xxhash64("_string"))
-    often = single.groupBy("_window", "_string").agg(F.sum("_count").alias("_n")).filter("_n > 1").select("_window", "_string")
-    hits = single.join(often, ["_window", "_string"], "left_semi").groupBy("_anchor", "_text").agg(F.collect_set("_at").alias("_low"))
-    hits = hits.withColumn("_high", F.transform("_low", lambda x: x + window))
-    found = written(found.unionByName(hits), "found")
-
-    places = cut.select("_id", "_hash", "_start", "_anchor", "_text")
-    total = distinct.agg(F.sum("_count")).first()[0] or 0
-    hot_keys = F.broadcast(distinct.filter(F.col("_count") * HOT_PARTS >= total).select("_anchor", "_text"))
-    keys = ["_anchor", "_text"]
-    hot = F.broadcast(found.join(hot_keys, keys, "left_semi"))
-    spans = places.join(hot, keys).unionByName(places.join(hot_keys, keys, "left_anti").join(found, keys))
+    spans = _at_places(cut.select("_id", "_hash", "_start", *_KEYS), _found(distinct, window), distinct, "_count")
     spans = spans.select("_id", "_hash", F.transform("_low", lambda x: x + F.col("_start")).alias("_low"), F.transform("_high", lambda x: x + F.col("_start")).alias("_high"))
     return spans.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_low", "_high")).alias("_spans")).select("_id", "_hash", F.flatten("_spans._low").alias("_low"), F.flatten("_spans._high").alias("_high"))
 

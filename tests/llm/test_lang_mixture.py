@@ -1,11 +1,13 @@
 """Language proportions: held-out accuracy and mixtures."""
 
+import math
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessel.llm.lang_mixture import Models, fit, held_out, mixtures, predict, trigrams, words_of
+import tessel.llm.lang_mixture as module
+from tessel.llm.lang_mixture import Models, fit, held_out, mixtures, predict, trigrams, with_main_language, words_of
 
 SF = "/root/testdata/sf0.01/documents.parquet"
 
@@ -37,6 +39,78 @@ def test_accuracy(spark):
     assert np.mean([set(r.languages) == {"de", "fr"} for r in mixed]) >= 0.8
 
 
+def plain_mixture(text, models):
+    """Proportions of one text, word by word."""
+    k, words = len(models.languages), words_of(text)
+    likely = []
+    for w in words:
+        marks = "\n" + w + "\n"
+        sums = [0.0] * k
+        for a, b, c in zip(marks, marks[1:], marks[2:]):
+            if b.isascii() and not b.isalpha():
+                continue
+            key = (ord(a) * 0x9E3779B1 + ord(b)) * 0x85EBCA77 + ord(c)
+            bucket = ((key * 0x9E3779B97F4A7C15) % (1 << 64) >> 48) % (1 << 16)
+            sums = [x + models.logs[bucket, j] for j, x in enumerate(sums)]
+        likely.append([max(x - max(sums), -module.SPREAD) for x in sums])
+    n, fine = len(words), module.PENALTY * math.log(len(words) + 1)
+    alone = [sum(x[j] for x in likely) for j in range(k)]
+    best = max(range(k), key=alone.__getitem__)
+    if alone[best] >= -fine:
+        return {models.languages[best]: 1.0}
+
+    def em(weights):
+        for _ in range(module.STEPS):
+            new = [0.0] * k
+            for x in likely:
+                joint = [w * math.exp(y) for w, y in zip(weights, x)]
+                new = [a + b / sum(joint) for a, b in zip(new, joint)]
+            weights = [x / n for x in new]
+        return weights, sum(math.log(sum(w * math.exp(y) for w, y in zip(weights, x))) for x in likely)
+
+    weights, value = em([1 / k] * k)
+    live = set(range(k))
+    while len(live) > 1:
+        less = min(sorted(live), key=lambda j: weights[j])
+        begin = [weights[j] + 1e-3 if j in live and j != less else 0.0 for j in range(k)]
+        tried, got = em([x / sum(begin) for x in begin])
+        if got < value - fine:
+            break
+        live.discard(less)
+        weights, value = tried, got
+    return {models.languages[j]: w for j, w in enumerate(weights) if w > 1e-6}
+
+
+def test_mixtures_of_texts(spark):
+    """Texts of one, two and four languages against the same sums in plain loops."""
+    docs = spark.read.parquet(SF)
+    models = fit(docs, ~held_out())
+    some = {lang: [r.text for r in docs.filter((F.col("lang") == lang) & F.col("n_chars").between(150, 700)).orderBy("doc_id").limit(12).collect()] for lang in models.languages}
+    texts = [x for xs in some.values() for x in xs[:4]] + [f"{a} {b}" for a, b in zip(some["de"], some["fr"])] + [" ".join(x) for x in zip(*some.values())] + ["a", "xqzj wvk", "12 und 13", "der the le la", "ﬀ 漢字 " * 4]
+    got = {r.doc_id: r for r in predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), models).collect()}
+    sizes = set()
+    for i, x in enumerate(texts):
+        want = plain_mixture(x, models)
+        sizes.add(len(want))
+        assert set(got[i].languages) == set(want) and all(abs(got[i].languages[k] - w) < 1e-6 for k, w in want.items()), x
+        assert got[i].lang_pred == max(sorted(want), key=want.get) and abs(got[i].score - max(want.values())) < 1e-6
+    assert {1, 2} <= sizes and max(sizes) > 2
+
+
+def test_main_language(spark):
+    """Texts of which no language has the share go, whatever other columns they have."""
+    docs = spark.read.parquet(SF)
+    models = fit(docs, ~held_out())
+    some = {lang: [r.text for r in docs.filter((F.col("lang") == lang) & F.col("n_chars").between(900, 1900)).orderBy("doc_id").limit(6).collect()] for lang in models.languages}
+    part = lambda x, a, b: " ".join(x.split()[a:b])
+    four = [" ".join(part(some[lang][k], 0, 60) for lang in some) for k in range(4)]
+    most = [" ".join([part(some["de"][k], 0, 90), part(some["fr"][k], 0, 50)]) for k in range(4)]
+    rows = [(k, x, 1) for k, x in enumerate(four)] + [(10 + k, x, 1) for k, x in enumerate(most)] + [(20, None, 1), (21, "12 -", 1), (22, some["es"][0], 1)]
+    kept = with_main_language(spark.createDataFrame(rows, "doc_id long, text string, _id int"), models, 0.4)
+    want = {i for i, x, _ in rows if x and any(c.isalpha() for c in x) and max(plain_mixture(x, models).values()) >= 0.4}
+    assert {r.doc_id for r in kept.collect()} == want and want == {10, 11, 12, 13, 22} and kept.columns == ["doc_id", "text", "_id"]
+
+
 def test_odd_rows(spark):
     models = Models(["a", "b"], np.log(np.full((1 << 16, 2), 0.5)))
     data = [(1, None), (2, ""), (3, "12 -- 34"), (4, "漢字"), (5, "word"), (5, "word"), (None, "w"), (6, "x" * 100_000), (7, "\x1c 1")]

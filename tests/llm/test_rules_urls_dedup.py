@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessel.llm.bloom_urls import BlockedBloom, judge_urls
-from tessel.llm.golomb_dedup import exact_dedup, rice_decode, rice_encode
+from tessel.llm.golomb_dedup import exact_dedup, rice_decode, rice_encode, without_copies
 from tessel.llm.suffix_repeats import LONG_WORDS, MAX_FRACTION, MAX_LONGEST, MIN_WORDS, neighbour_prefixes, repetition_rules, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,3 +164,10 @@ def test_exact_dedup(spark, monkeypatch, hot_parts):
     assert sorted(map(repr, ((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got))) == sorted(map(repr, want))
     assert sum(r.kept for r in got) == len(groups) and all(r.kept <= (r.doc_id == r.keep_id) for r in got)
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_go_whatever_the_columns_are_called(spark):
+    data = [(1, "a b", "x"), (2, "ab", "y"), (None, " a b", "z"), (3, "c", "w"), (3, "c", "w"), (4, None, "v")]
+    docs = spark.createDataFrame([(*x, 1, 2, 3) for x in data], "doc_id long, text string, _id string, _own int, _rank int, kept int")
+    left = without_copies(docs)
+    assert left.columns == docs.columns and sorted(((r.doc_id, r.text, r._id, r._own, r._rank, r.kept) for r in left.collect()), key=str) == sorted([(None, " a b", "z", 1, 2, 3), (3, "c", "w", 1, 2, 3), (4, None, "v", 1, 2, 3)], key=str)

@@ -35,10 +35,11 @@ def some_texts(seed, n):
     return out + out[-3:]
 
 
-@pytest.mark.parametrize("limit", [(2000, 1 << 25), (1, 0)])
-@pytest.mark.parametrize("window", [35, 5])
+@pytest.mark.parametrize(("limit", "window"), [((2000, 1 << 25, 2), 35), ((1, 0, 0), 35), ((1, 0, 2), 5), ((2, 1 << 25, 2), 35)])
 def test_removed_words(spark, monkeypatch, limit, window):
     monkeypatch.setattr(module, "SHARD_SEGMENTS", limit[0])
+    monkeypatch.setattr(module, "CUTS", limit[2])
+    monkeypatch.setattr(module, "HOT_PARTS", 1024 if limit[1] else 4)
     monkeypatch.setattr(module, "GROUP_SEGMENTS", 50)
     monkeypatch.setattr("tessel.llm.common.BROADCAST_BYTES", limit[1])
     data = list(enumerate(some_texts(window, 60))) + [(900, "z " * 3 + " ".join(map(str, range(50))))] * 2 + [(None, "q")]
@@ -47,6 +48,23 @@ def test_removed_words(spark, monkeypatch, limit, window):
     assert got == plain(data, window)
 
 
+def test_a_very_common_phrase(spark, monkeypatch):
+    """A phrase in very many surroundings is one large shard, which is cut by other anchors."""
+    monkeypatch.setattr(module, "SHARD_SEGMENTS", 20)
+    r = random.Random(3)
+    phrase, other = "all rights are reserved by the owners of this page".split(), [f"o{k}" for k in range(40)]
+    data = []
+    for i in range(120):
+        words = [f"w{r.randrange(10_000)}" for _ in range(60)]
+        words[20:30] = phrase
+        if i % 3 == 0:
+            words[25:25] = other
+        data.append((i, " ".join(words)))
+    data += [(200 + i, x) for i, x in data[:10]]
+    got = sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(4), digest=True).collect()), key=repr)
+    assert got == plain(data, 35) and sum(x[2] for x in got) > 2000
+
+
 def test_texts_stay_as_they_are(spark):
     data = [(1, "a  b\n"), (2, None), (3, "u " + " ".join(map(str, range(40)))), (4, " ".join(map(str, range(40))) + "\nv")]
     got = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
