@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import table, written
+from tessel.llm.common import WRITTEN, clean, table, written
 from tessel.llm.drr_packing import pack
 from tessel.llm.golomb_dedup import without_copies
 from tessel.llm.lang_mixture import fit, held_out, with_main_language
@@ -56,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to the table ``documents``.
+
+    Once a stage's table is written, what it and the stage before wrote on the way is deleted.
+    """
+    docs, before = table(spark, sf_dir, "documents"), len(WRITTEN)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, name)
+            clean(spark, before, keep=(WRITTEN[-1],))
     return docs
