@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import bounded, same, small_batches, written
+from tessel.llm.common import bounded, hot_join, same, small_batches, written
 
 #: Words of a repeated window, and of an anchor.
 WINDOW, ANCHOR = 35, 8
@@ -319,8 +319,10 @@ def _found(distinct: DataFrame, window: int, cut: int = 0) -> DataFrame:
         hits = inner.groupBy("_anchor", "_text").agg(F.collect_list(F.arrays_zip("_low", "_high")).alias("_z")).select("_anchor", "_text", F.flatten("_z").alias("_z")).select("_anchor", "_text", F.col("_z._low").alias("_low"), F.col("_z._high").alias("_high"))
     else:
         single = rest.mapInArrow(_windows(window), "_anchor long, _text long, _count long, _at int, _string binary").withColumn("_window", F.xxhash64("_string"))
-        often = single.groupBy("_window", "_string").agg(F.sum("_count").alias("_n")).filter("_n > 1").select("_window", "_string")
-        hits = single.join(often, ["_window", "_string"], "left_semi").groupBy("_anchor", "_text").agg(F.collect_set("_at").alias("_low"))
+        single = written(single, "windows")
+        often = written(single.groupBy("_window", "_string").agg(F.sum("_count").alias("_n"), F.count("*").alias("_rows")).filter("_n > 1"), "often")
+        hot = F.col("_rows") * HOT_PARTS >= single.count()
+        hits = hot_join(single, often, ["_window", "_string"], hot, "left_semi").groupBy("_anchor", "_text").agg(F.collect_set("_at").alias("_low"))
         hits = hits.withColumn("_high", F.transform("_low", lambda x: x + window))
     return written(found.unionByName(hits), "found")
 
