@@ -22,8 +22,6 @@ COMPOSER_SECTIONS = ("require", "require-dev")
 #: Kinds of manifests that are JSON, and the ecosystem of each kind.
 JSON_KINDS = ("package.json", "composer")
 ECOSYSTEM = {"package.json": "npm", "composer": "composer", "requirements": "pypi", "gemfile": "gems", "cargo": "crates", "gomod": "go"}
-#: What the line of a go.mod replaces, and with what.
-GO_REPLACES = r"^\s*(?:replace\s+)?(\S+)(?:\s+\S+)?\s+=>\s+(\S+)"
 
 
 def entries(json: Column, section: str) -> Column:
@@ -73,8 +71,7 @@ def line_items(parts: Column, target: Callable[[Column], Column]) -> Column:
 
 def cargo_sections(parts: Column) -> Column:
     """The headers of a Cargo.toml: (``at`` from 0, ``name``)."""
-    header = lambda x: F.when(x.rlike(r"^\s*\[[^\]]+\]\s*\z"), trimmed(F.regexp_extract(x, r"^\s*\[([^\]]+)\]\s*\z", 1)))
-    return F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("at"), header(x).alias("name"))), lambda h: h["name"].isNotNull())
+    return F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("at"), names.cargo_header(x).alias("name"))), lambda h: h["name"].isNotNull())
 
 
 def cargo_items(parts: Column, heads: Column) -> Column:
@@ -84,9 +81,10 @@ def cargo_items(parts: Column, heads: Column) -> Column:
         end = F.coalesce(F.get(heads, k + 1)["at"], F.size(parts))
         body = F.slice(parts, h["at"] + 2, end - h["at"] - 1)
         plain = _given(F.transform(body, lambda x, i: _item(h["at"] + i + 2, F.lit(0), names.cargo_dependency(x))))
-        name = group(h["name"], r"^(?:workspace\.)?(?:dev-|build-)?dependencies\.([A-Za-z0-9_-]+)\z")
-        renames = F.filter(F.transform(body, lambda x: group(x, r'^\s*package\s*=\s*"([^"]+)"')), lambda x: x.isNotNull())
-        local = F.exists(body, lambda x: x.rlike(r"^\s*(?:path|git)\s*="))
+        name = names.cargo_table(h["name"])
+        key = lambda x: F.when(x.contains("="), trimmed(F.substring_index(x, "=", 1)))
+        renames = F.filter(F.transform(body, lambda x: F.when(key(x) == "package", group(x, r'^[^=]*=\s*"([^"]+)"'))), lambda x: x.isNotNull())
+        local = F.exists(body, lambda x: F.coalesce(key(x).isin("path", "git"), F.lit(False)))
         table = F.array(_item(h["at"] + 1, F.lit(0), F.coalesce(F.get(renames, F.size(renames) - 1), name)))
         return F.when(names.is_cargo_section(h["name"]), plain).when(name.isNotNull() & ~local, table)
 
@@ -95,8 +93,13 @@ def cargo_items(parts: Column, heads: Column) -> Column:
 
 def go_replaced(parts: Column, within: Column) -> Column:
     """Modules of a go.mod that a local path replaces; ``within`` are its blocks of replacements."""
-    local = lambda x, i: (inside(i, within) | x.rlike(r"^\s*replace\s")) & F.regexp_extract(x, GO_REPLACES, 2).rlike(r"^(?:\./|\.\./|/)")
-    return F.filter(F.transform(parts, lambda x, i: F.when(local(x, i), group(x, GO_REPLACES))), lambda x: x.isNotNull())
+
+    def replaced(x: Column, i: Column) -> Column:
+        module, target = names.go_replacement(x)
+        local = target.startswith("./") | target.startswith("../") | target.startswith("/")
+        return F.when((inside(i, within) | x.rlike(r"^\s*replace\s")) & local, module)
+
+    return F.filter(F.transform(parts, replaced), lambda x: x.isNotNull())
 
 
 def go_mod_items(parts: Column, within: Column, replaced: Column) -> Column:

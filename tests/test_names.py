@@ -94,3 +94,19 @@ def test_quotes_and_blocks(value):
 def test_python_modules_of_all_versions(value):
     """Names that a newer Python no longer has are no packages, whatever Python runs this."""
     check(value, names.is_python_stdlib, {"distutils": True, "cgi": True, "imp": True, "asyncore": True, "telnetlib": True, "crypt": True, "lib2to3": True, "tomllib": True, "annotationlib": False, "sre-compile": True})
+
+
+def test_manifest_lines(value):
+    check(value, names.cargo_header, {"[a]": "a", "  [ a.b ] ": "a.b", "[[bin]]": None, "[]": None, "a = [1]": None, "[a] # x": None, "": None})
+    check(value, names.is_cargo_section, {
+        "dependencies": True, "dev-dependencies": True, "workspace.build-dependencies": True, "target.'cfg(unix)'.dependencies": True, "target.a.b.dev-dependencies": True, "target..dependencies": False, "target.dependencies": False, "x.dependencies": False,
+        "workspace.x.dependencies": False, "dependencies.a": False, "package": False,
+    })
+    check(value, names.cargo_table, {"dependencies.a": "a", "workspace.dev-dependencies.a-b": "a-b", "target.x.dependencies.a": None, "dependencies": None, "dependencies.a.b": None, "workspace.a": None})
+    check(value, names.cargo_dependency, {"a={git='x'}": None, "a = { x-path = 1 }": None, "a = { mypath = 1 }": "a", 'a = { version = "1", package = "b", x = "c" }': "b", 'a.b = "1"': None, 'a == "1"': None, "a =": None, "= 1": None})
+    check(value, lambda c: names.go_requirement(c, F.lit(False)), {"require github.com/a/b v1.0": "github.com/a/b", " require\tx.io/y v2 // i": "x.io/y", "github.com/a/b v1": None, "require a/b v1": None, "require x.io v1": None, "require x.io/y 1": None, "require x.i/y v1": None, "require x.io//y v1": None, "require (": None})
+    check(value, lambda c: names.go_requirement(c, F.lit(True)), {"\tgithub.com/a/b v1.0": "github.com/a/b", "require x.io/y v2": "x.io/y", "-x.io/y v1": None, ")": None, "": None})
+    check(value, lambda c: names.go_replacement(c)[0], {"replace a/b => ../c": "a/b", "  a/b v1 => ../c": "a/b", "replace a b c => d": None, "replace a": None, "=> x": None, "": None})
+    check(value, lambda c: names.go_replacement(c)[1], {"replace a/b => ../c v2": "../c", "a/b v1 => ./c": "./c", "a =>": None})
+    check(value, names.gem_of_line, {"gem 'a', :x => 1, git: 'y'": None, "gem 'a', a:git:1": None, "gem 'a', widget: 1": "a", "gem \"a'": "a", "gem 'a": None, "gem'a'": None, "gem 'a b'": None, "gem 'a', 'path' => 1": "a"})
+    check(value, lambda c: names.npm_dependency_target(F.lit("me"), c), {"git:x": None, "git+ssh:x": None, "git+SSH:x": "me", "x:y": "me", "file:": None, "files:x": "me"})
