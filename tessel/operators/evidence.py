@@ -9,7 +9,8 @@ from tessel.functions import names
 from tessel.functions.json import parsed, text_value
 from tessel.operators.manifests import NPM_SECTIONS, of_sections
 
-OWN_SPEC = r"^(?:workspace|file|link|portal):"
+# Schemes of specifiers that name a package of the project itself.
+OWN_SCHEMES = ("workspace", "file", "link", "portal")
 COMMENTS = r'("(?:[^"\\]++|\\.)*+")|//[^\n]*|(?s:/\*.*?(?:\*/|\z))'
 
 
@@ -24,14 +25,14 @@ def internal_evidence(files: DataFrame) -> DataFrame:
     Each of these files is read once.
     """
     base = names.basename(F.col("path"))
-    is_config = base.rlike(r"(?i)^tsconfig.*\.json\z")
+    is_config = F.lower(base).startswith("tsconfig") & F.lower(base).endswith(".json")
     own = files.filter(is_config | (base == "package.json")).withColumn("_config", is_config)
     docs = parsed(own.withColumn("content", F.when(F.col("_config"), without_comments(F.col("content"))).otherwise(F.col("content"))))
     item = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
     exact, json = F.lit("exact"), F.col("_json")
     keys = F.map_keys(F.try_variant_get(json, "$.compilerOptions.paths", "map<string,variant>"))
     aliases = F.transform(keys, lambda k: item(F.when(k.endswith("/*"), F.lit("prefix")).otherwise(exact), F.when(k.endswith("/*"), k.substr(F.lit(1), F.char_length(k) - 1)).otherwise(k)))
-    linked = of_sections(json, NPM_SECTIONS, lambda e: F.when(text_value(e["value"]).rlike(OWN_SPEC), e["key"]))
+    linked = of_sections(json, NPM_SECTIONS, lambda e: F.when(text_value(e["value"]).contains(":") & F.substring_index(text_value(e["value"]), ":", 1).isin(*OWN_SCHEMES), e["key"]))
     name = F.filter(F.array(text_value(F.try_variant_get(json, "$.name", "variant"))), lambda x: x != "")
     declared = F.concat(F.transform(name, lambda x: item(exact, x)), F.transform(linked, lambda x: item(exact, x["pkg"])))
     return docs.select("scan_id", F.explode(F.when(F.col("_config"), aliases).otherwise(declared)).alias("_x")).select("scan_id", "_x.kind", "_x.value").distinct()
