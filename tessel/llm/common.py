@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -48,9 +49,25 @@ def clean(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> No
     Results that were not yet read or stored are lost with them.
     """
     for at in [x for x in WRITTEN[since:] if x not in keep]:
-        WRITTEN.remove(at)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    WRITTEN.remove(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Where the tables that ``written`` gave lie.
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def used_up(*tables: DataFrame) -> None:
+    """Deletes the tables of these frames, which ``written`` gave: all that was computed from them is stored."""
+    for x in tables:
+        at = _PLACES.pop(x, None)
+        if at in WRITTEN:
+            _delete(x.sparkSession, at)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -68,7 +85,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import bounded, hot_join, same, small_batches, written
+from tessel.llm.common import bounded, hot_join, same, small_batches, used_up, written
 
 #: Words of a repeated window, and of an anchor.
 WINDOW, ANCHOR = 35, 8
@@ -307,16 +307,20 @@ def _found(distinct: DataFrame, window: int, cut: int = 0) -> DataFrame:
     small = distinct.join(large_side, "_anchor", "left_anti").withColumn("_group", F.pmod(F.xxhash64("_anchor"), F.lit(groups)))
     found = small.groupBy("_group").applyInArrow(_stream(window), schema)
     if not large.count():
-        return written(found, "found")
+        out = written(found, "found")
+        used_up(large)
+        return out
     rest = distinct.join(large_side, "_anchor", "left_semi")
     if cut < CUTS:
         parts = rest.mapInArrow(_recut(window, cut + 1), "_outer long, _whole long, _count long, _from int, _anchor long, _string binary").withColumn("_text", F.xxhash64("_string"))
         parts = written(parts, "parts")
         again = written(parts.groupBy("_anchor", "_text", "_string").agg(F.sum("_count").alias("_count"), F.count("*").alias("_places")), "again")
-        inner = _at_places(parts.select("_outer", "_whole", "_from", *_KEYS), _found(again.drop("_places"), window, cut + 1), again, "_places")
+        below = _found(again.drop("_places"), window, cut + 1)
+        inner = _at_places(parts.select("_outer", "_whole", "_from", *_KEYS), below, again, "_places")
         moved = lambda x: F.transform(x, lambda k: k + F.col("_from"))
         inner = inner.select(F.col("_outer").alias("_anchor"), F.col("_whole").alias("_text"), moved("_low").alias("_low"), moved("_high").alias("_high"))
         hits = inner.groupBy("_anchor", "_text").agg(F.collect_list(F.arrays_zip("_low", "_high")).alias("_z")).select("_anchor", "_text", F.flatten("_z").alias("_z")).select("_anchor", "_text", F.col("_z._low").alias("_low"), F.col("_z._high").alias("_high"))
+        on_the_way = (large, parts, again, below)
     else:
         single = rest.mapInArrow(_windows(window), "_anchor long, _text long, _count long, _at int, _string binary").withColumn("_window", F.xxhash64("_string"))
         single = written(single, "windows")
@@ -324,7 +328,10 @@ def _found(distinct: DataFrame, window: int, cut: int = 0) -> DataFrame:
         hot = F.col("_rows") * HOT_PARTS >= single.count()
         hits = hot_join(single, often, ["_window", "_string"], hot, "left_semi").groupBy("_anchor", "_text").agg(F.collect_set("_at").alias("_low"))
         hits = hits.withColumn("_high", F.transform("_low", lambda x: x + window))
-    return written(found.unionByName(hits), "found")
+        on_the_way = (large, single, often)
+    out = written(found.unionByName(hits), "found")
+    used_up(*on_the_way)
+    return out
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,7 +354,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     some = slim.join(wanted.hint("merge"), same(F.col("_id"), F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).select("_id", "_hash", "_text", "_wanted")
     cut = some.mapInArrow(_cut(window), f"_id {kind}, _hash long, _start int, _anchor long, _string binary")
     cut = written(cut.withColumn("_text", F.xxhash64("_string")), "segments")
-
+    used_up(lists, twice)
     distinct = written(cut.groupBy("_anchor", "_text", "_string").agg(F.count("*").alias("_count")), "distinct")
     spans = _at_places(cut.select("_id", "_hash", "_start", *_KEYS), _found(distinct, window), distinct, "_count")
     spans = spans.select("_id", "_hash", F.transform("_low", lambda x: x + F.col("_start")).alias("_low"), F.transform("_high", lambda x: x + F.col("_start")).alias("_high"))
