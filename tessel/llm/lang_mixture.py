@@ -164,11 +164,16 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     return Models(names, np.log(table, out=table))
 
 
-def _predictions(models: Models, texts: list[str], memory: dict) -> list:
-    """The proportions of each text, or None.  ``memory`` holds words' likelihoods from call to call."""
-    known, rows = memory.setdefault("known", {}), memory.get("rows", np.zeros((0, len(models.languages))))
+def _predictions(models: Models, texts: list[str], memory: dict) -> tuple[list, list]:
+    """The proportions of each text, or None, and how sure its words are of the language with the largest one.
+
+    ``memory`` holds words' likelihoods and probabilities from call to call.
+    """
+    known, none = memory.setdefault("known", {}), np.zeros((0, len(models.languages)))
+    rows, chances = memory.get("rows", none), memory.get("chances", none)
     lettered = [k for k, x in enumerate(texts) if any(map(str.isalpha, x)) and models.languages]
     shares: list = [None] * len(texts)
+    sure = [0.0] * len(texts)
     at = 0
     while at < len(lettered):
         end, flat, sizes = at, [], []
@@ -179,24 +184,32 @@ def _predictions(models: Models, texts: list[str], memory: dict) -> list:
             end += 1
         if len(known) * len(models.languages) > MEMORY:
             known.clear()
-            rows = rows[:0]
+            rows = chances = none
         new = list(set(flat).difference(known))
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            rows = np.concatenate([rows, models.of_words(new)])
-        index = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-        for k, share in zip(lettered[at:end], mixtures(rows[index], np.array(sizes))):
-            shares[k] = share
+            own = models.of_words(new)
+            rows = np.concatenate([rows, own])
+            own = np.exp(own)
+            chances = np.concatenate([chances, own / own.sum(axis=1, keepdims=True)])
+        index, sizes = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat)), np.array(sizes)
+        found = mixtures(rows[index], sizes)
+        own = np.add.reduceat(chances[index, np.repeat(found.argmax(axis=1), sizes)], np.cumsum(sizes) - sizes) / sizes
+        for k, share, x in zip(lettered[at:end], found, own.tolist()):
+            shares[k], sure[k] = share, min(1.0, x)
         at = end
-    memory["rows"] = rows
-    return shares
+    memory["rows"], memory["chances"] = rows, chances
+    return shares, sure
 
 
 def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each row the id, ``lang_pred``, ``score`` (the proportion of that language) and ``languages`` (of all
-    that are in the text).
+    """Of each row the id, ``lang_pred``, ``score`` (the proportion of that language), ``languages`` (the proportions
+    of all that are in the text) and ``sure``.
+
+    ``sure`` is the mean over the text's words of the probability that a word is of ``lang_pred``, all languages being
+    as likely beforehand: 1 only if no other language could have the words, and 1 / languages if they tell nothing.
 
-    A null text, one without a letter, and any text if no language was learned is ``und`` with score 0.  Ties
+    A null text, one without a letter, and any text if no language was learned is ``und``, score and ``sure`` 0.  Ties
     go to the first language in alphabetical order.  Whole texts are read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -205,17 +218,17 @@ def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
     def run(batches):
         models, memory = held.value, {}
         for b in small_batches(batches):
-            shares = _predictions(models, [x or "" for x in b.column(1).to_pylist()], memory)
+            shares, sure = _predictions(models, [x or "" for x in b.column(1).to_pylist()], memory)
             best = [None if x is None else int(x.argmax()) for x in shares]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array([UNKNOWN if k is None else models.languages[k] for k in best]), pa.array([0.0 if k is None else min(1.0, float(x[k])) for k, x in zip(best, shares)], pa.float64()),
-                    pa.array([[] if x is None else [(models.languages[k], float(x[k])) for k in np.flatnonzero(x > 1e-6)] for x in shares], pa.map_(pa.string(), pa.float64())),
+                    pa.array([[] if x is None else [(models.languages[k], float(x[k])) for k in np.flatnonzero(x > 1e-6)] for x in shares], pa.map_(pa.string(), pa.float64())), pa.array(sure, pa.float64()),
                 ],
-                ["_id", "lang_pred", "score", "languages"],
+                ["_id", "lang_pred", "score", "languages", "sure"],
             )
 
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"_id {kind}, lang_pred string, score double, languages map<string,double>")
+    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"_id {kind}, lang_pred string, score double, languages map<string,double>, sure double")
     return got.withColumnRenamed("_id", id_col)
 
 
@@ -230,7 +243,7 @@ def with_main_language(docs: DataFrame, models: Models, share: float, text_col:
     def run(batches):
         models, memory = held.value, {}
         for b in small_batches(batches):
-            shares = _predictions(models, [x or "" for x in b.column(at).to_pylist()], memory)
+            shares, _ = _predictions(models, [x or "" for x in b.column(at).to_pylist()], memory)
             yield b.filter(pa.array([x is not None and float(x.max()) >= share for x in shares], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

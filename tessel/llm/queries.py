@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessel.llm.bloom_urls import judge_urls
 from tessel.llm.common import scratch, table
@@ -60,8 +61,10 @@ def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lang_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score`` is the language's proportion times how sure the words are of it."""
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, fit(docs, ~held_out())).drop("languages").withColumn("held_out", held_out())
+    got = predict(docs, fit(docs, ~held_out()))
+    return got.select("doc_id", held_out().alias("held_out"), "lang_pred", (F.col("score") * F.col("sure")).alias("score"))
 
 
 def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

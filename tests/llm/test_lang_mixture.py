@@ -97,6 +97,26 @@ def test_mixtures_of_texts(spark):
     assert {1, 2} <= sizes and max(sizes) > 2
 
 
+def test_sure(spark):
+    """The mean of the words' probabilities in plain loops; texts that could be of several languages are less sure."""
+    docs = spark.read.parquet(SF)
+    models = fit(docs, ~held_out())
+    some = {lang: [r.text for r in docs.filter((F.col("lang") == lang) & F.col("n_chars").between(150, 700)).orderBy("doc_id").limit(3).collect()] for lang in models.languages}
+    texts = [x for xs in some.values() for x in xs] + [f"{a} {b}" for a, b in zip(some["de"], some["fr"])] + ["a", "xqzj wvk", "12", None]
+    got = {r.doc_id: r for r in predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), models).collect()}
+    for i, x in enumerate(texts):
+        if got[i].lang_pred == "und":
+            assert got[i].sure == 0
+            continue
+        at, chances = models.languages.index(got[i].lang_pred), []
+        for w in words_of(x):
+            likely = [math.exp(v) for v in models.of_words([w])[0]]
+            chances.append(likely[at] / sum(likely))
+        assert abs(got[i].sure - sum(chances) / len(chances)) < 1e-9 and 0 < got[i].sure <= 1
+    alone, both = [got[i].sure for i in range(12)], [got[i].sure for i in range(12, 15)]
+    assert min(alone) > max(both) and len({round(x, 9) for x in alone}) > 6
+
+
 def test_main_language(spark):
     """Texts of which no language has the share go, whatever other columns they have."""
     docs = spark.read.parquet(SF)
