@@ -14,7 +14,7 @@ from tessel.llm.common import KEPT
 #: Chunks whose ids a worker remembers, at most, and the slots of its table (a power of two, 20 bytes each).
 MEMORY, SLOTS = 1_200_000, 1 << 21
 #: Bytes of a chunk that is remembered, at most; and bytes of text that are looked up together, about.
-LONGEST, SLICE = 512, 1 << 19
+LONGEST, SLICE = 512, 1 << 18
 
 #: White space, a space, then white space or the end: only there can a pre-token of byte-level BPE reach
 #: over the place before a space.
@@ -204,14 +204,17 @@ class Encoder:
         out: dict[str, bytes] = {}
         alone, heads, both, plain = [], set(), [], []
         for c in chunks:
-            n = _LETTERS.match(c).end()
-            if n and self.direct and c[:n].isalpha():
-                if n < len(c):
-                    heads.add(c[:n])
-                    both.append((c, c[:n], c[n:]))
-                else:
+            if self.direct:
+                if c.isalpha():
                     alone.append(c)
-            elif c and not c[0].isspace() and not c[-1].isspace():
+                    continue
+                n = _LETTERS.match(c).end()
+                head = c[:n]
+                if head.isalpha():
+                    heads.add(head)
+                    both.append((c, head, c[n:]))
+                    continue
+            if c and not c[0].isspace() and not c[-1].isspace():
                 plain.append(c)
             else:
                 out[c] = self.whole(" " + c)
@@ -264,9 +267,13 @@ class Encoder:
         if len(missing):
             _, first = np.unique(one[missing], return_index=True)
             new = missing[first]
-            chunks = [joined[a:b].decode() for a, b in zip(starts[new].tolist(), stops[new].tolist())]
-            found = self._learn([c[1:] for c in chunks if c[0] == " "])
-            self.memory.add(one[new], two[new], [found[c[1:]] if c[0] == " " else self.whole(c) for c in chunks])
+            spaced = data[starts[new]] == 32
+            after, others = new[spaced], new[~spaced]
+            chunks = [joined[a:b].decode() for a, b in zip((starts[after] + 1).tolist(), stops[after].tolist())]
+            found = self._learn(chunks)
+            ids = [found[c] for c in chunks] + [self.whole(joined[a:b].decode()) for a, b in zip(starts[others].tolist(), stops[others].tolist())]
+            new = np.concatenate([after, others])
+            self.memory.add(one[new], two[new], ids)
             entries[missing] = self.memory.find(one[missing], two[missing])
             if (entries < 0).any():  # two chunks of one first hash
                 return [self.whole(x.decode()) for x in texts]
