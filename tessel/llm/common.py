@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
@@ -90,6 +91,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """The driver collects its garbage: what plans that have run left there, broadcasts and shuffle files go, and its free
+    heap goes back to the system.  Left alone, a heap of little content grows to its limit over many plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` by checkpoint(): as ``written``, and the partitions stay as they are."""
     shared_dir(df.sparkSession)

@@ -14,6 +14,9 @@ sketch, then, for those that are near to any, on their sets, and only as long as
 A bucket that is too large is cut in blocks; texts of its largest component don't meet one another.  What comes out are
 links that join components, no pairs, and a text's set is sent once to each of its open buckets (BANDS at most) and
 once more for each block of a bucket that is cut.
+
+Sets are made anew from the texts that may be needed by a filter of their ids, of bounded size; a join with the
+ids themselves then leaves the ones that are.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import bounded, fresh, hot_join, small_batches, written
+from tessel.llm.common import bounded, fresh, hot_join, released, small_batches, written
 from tessel.llm.components import components
 
 ROWS, BANDS = 5, 32
@@ -40,6 +43,8 @@ HOT_BUCKETS = 1 << 14
 #: A group of equal sets is hot if it holds one of so many parts of all rows.
 HOT_PARTS = 256
 MEMORY = 300_000
+#: A filter of ids has about so many bits for each, in parts of so many words (of 64 bits), and so many parts at most: 8 MB.
+BITS_AN_ID, FILTER_WORDS, FILTER_PARTS = 16, 1024, 1024
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.Generator(np.random.PCG64(20_240_117)).integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -280,6 +285,35 @@ def _compare(percent: int):
     return run
 
 
+def _filter_part(rows: pa.Table) -> pa.Table:
+    """The words of one part of a filter of ids."""
+    hashes = rows.column("_hash").to_numpy().view(np.uint64)
+    words = np.zeros(FILTER_WORDS, np.uint64)
+    bits = [np.uint64(1) << ((hashes >> np.uint64(k)) & np.uint64(63)) for k in _FILTER_BITS]
+    np.bitwise_or.at(words, ((hashes >> np.uint64(20)) % np.uint64(FILTER_WORDS)).astype(np.int64), np.bitwise_or.reduce(bits))
+    return pa.table({"_part": rows.column("_part").slice(0, 1), "_words": pa.array([words.view(np.int64)], pa.list_(pa.int64()))})
+
+
+#: Of an id's hash the lowest 20 bits tell the part, the next ones the word, and six from each of these on a bit in it.
+_FILTER_BITS = (40, 46, 52, 58)
+
+
+def maybe_among(rows: DataFrame, id_col: str, ids: DataFrame, count: int) -> DataFrame:
+    """The rows of ``rows`` whose id is among the ``count`` ones of ``ids`` (its one column), and a few others.
+
+    A Bloom filter of the ids is broadcast, made by the executors: the driver holds FILTER_PARTS parts at most, whatever
+    the count.  Beyond 4 million ids more of the other rows come through.
+    """
+    parts = min(FILTER_PARTS, 1 << max(0, count * BITS_AN_ID // (64 * FILTER_WORDS)).bit_length())
+    part = lambda x: F.col(x).bitwiseAND(F.lit(parts - 1))
+    made = ids.toDF("_id").select(F.xxhash64("_id").alias("_hash")).withColumn("_part", part("_hash")).groupBy("_part").applyInArrow(_filter_part, "_part long, _words array<long>")
+    own = fresh(rows, "_hash")
+    bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({own}, {k}) & 63 as int))" for k in _FILTER_BITS)
+    word = F.expr(f"get(_words, cast(shiftrightunsigned({own}, 20) % {FILTER_WORDS} as int))")
+    asked = rows.withColumn(own, F.xxhash64(id_col))
+    return asked.join(F.broadcast(made), (part(own) == F.col("_part")) & (word.bitwiseAND(F.expr(bits)) == F.expr(bits)), "left_semi").drop(own)
+
+
 def numbered(docs: DataFrame, id_col: str, name: str) -> tuple[DataFrame, int | None]:
     """``docs`` with its ids as numbers in a column ``name``, and the first number that is no id (null: there is none).
 
@@ -307,7 +341,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     Returns the id, ``n_shingles``, ``component_id`` (the smallest id reachable) and ``kept`` (whether it is
     the id itself).
     """
-    kind = docs.schema[id_col].dataType
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     slim, base = numbered(docs.select(F.col(id_col).alias("_own"), F.col(text_col).cast("string").alias("_text")), "_own", "_id")
     slim = slim.select("_id", "_text")
     signs = written(slim.mapInArrow(_signatures(shingle), "_id long, _n long, _digest binary, _sketch array<long>, _bands array<long>"), "signatures")
@@ -318,14 +352,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     firsts = written(buckets.groupBy("_band").agg(F.count("*").alias("_size"), F.min("_node").alias("_first")).filter("_size > 1"), "firsts")
     large = lambda n, size: F.col(size) * HOT_BUCKETS >= n
     shared = written(hot_join(buckets, firsts, ["_band"], large(nodes.count() * BANDS, "_size")), "buckets")
+    released(spark)
 
     def sets_of(names: DataFrame) -> DataFrame:
         """``_node`` and ``_set`` of distinct ``_node``: their texts are read again."""
         wanted = written(nodes.select("_node", "_digest").join(names, "_node"), "wanted")
-        ids = wanted.select(F.col("_node").alias("_wanted")).distinct()
-        texts = slim.join(bounded(ids, wanted.count(), 24), F.col("_id") == F.col("_wanted"), "left_semi")
+        texts = maybe_among(slim, "_id", wanted.select("_node"), wanted.count())
         sets = texts.mapInArrow(_sets(shingle), "_node long, _digest binary, _set binary").join(wanted, ["_node", "_digest"], "left_semi")
-        return written(sets.dropDuplicates(["_node", "_digest"]).select("_node", "_set"), "sets")
+        out = written(sets.dropDuplicates(["_node", "_digest"]).select("_node", "_set"), "sets")
+        released(spark)
+        return out
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b) of nodes, on their full sets."""
@@ -341,6 +377,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     # Buckets of three or more that are not yet in one component, each with its largest component.
     roots = components(links)
+    released(spark)
     rooted = shared.filter("_size > 2").join(roots.withColumnRenamed("node", "_node"), "_node", "left").select("_band", "_node", "_n", F.coalesce("root", "_node").alias("_root"))
     rooted = written(rooted, "rooted")
     by_root = rooted.groupBy("_band", "_root").agg(F.count("*").alias("_r"), F.sum("_n").alias("_s")).groupBy("_band")
@@ -367,8 +404,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         near = written(groups(members).applyInArrow(_survivors(percent), MEMBER), "near")
         full = near.join(sets_of(near.select("_node").distinct()), "_node")
         more = written(groups(full).applyInArrow(_compare(percent), "a long, b long"), "links")
+        released(spark)
         if more.count():
             roots = components(links.unionByName(more))
+            released(spark)
 
     # Back to the rows: nodes of very many rows by broadcast (HOT_PARTS at most), the others by their digest.
     n = signs.count()

@@ -8,7 +8,7 @@ import pytest
 
 import tessel.llm.odd_sketches as module
 from tessel.llm.components import components
-from tessel.llm.odd_sketches import BITS, MOST_BITS, SAMPLES, min_hashes, near_duplicates, odd_sketch, without_near_copies
+from tessel.llm.odd_sketches import BITS, MOST_BITS, SAMPLES, maybe_among, min_hashes, near_duplicates, odd_sketch, without_near_copies
 
 
 def plain(data, size):
@@ -92,6 +92,58 @@ def test_rows_without_ids_and_clashing_columns(spark):
     assert sorted(((r.doc_id, r.text, r._gone, r._own, r._id) for r in left.collect()), key=str) == sorted([(5, text, "a", "b", 3), (7, other + " y", "a", "b", 3), (None, "alone here", "a", "b", 3), (None, None, "a", "b", 3), (9, None, "a", "b", 3)], key=str)
 
 
+def broadcast_rows(spark, since):
+    """The rows of each broadcast of the plans run after number ``since``."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    each = lambda x: (x.apply(k) for k in range(x.size()))
+    for run in each(store.executionsList().toVector()):
+        if run.executionId() <= since:
+            continue
+        values = store.executionMetrics(run.executionId())
+        for node in each(store.planGraph(run.executionId()).allNodes().toVector()):
+            if node.name() == "BroadcastExchange":
+                found = [values.get(m.accumulatorId()) for m in each(node.metrics().toVector()) if m.name() == "number of output rows"]
+                out += [int(x.get().replace(",", "")) for x in found if x.isDefined()]
+    return out
+
+
+def test_broadcasts_do_not_follow_the_input(spark, monkeypatch):
+    """The ids of texts whose sets are needed aren't broadcast, only a filter of them, however small it is."""
+    monkeypatch.setattr(module, "HOT_PARTS", 1)
+    monkeypatch.setattr(module, "HOT_BUCKETS", 1)
+    r = random.Random(9)
+    data = []
+    for i in range(0, 600, 2):
+        words = [f"w{r.randrange(5000)}" for _ in range(30)]
+        data += [(i, " ".join(words)), (i + 1, " ".join([*words, "end"]))]
+    before, limit = 0, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+        docs.count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        runs = spark._jsparkSession.sharedState().statusStore().executionsList().toVector()
+        before = max(runs.apply(k).executionId() for k in range(runs.size()))
+        got = near_duplicates(docs, 2).collect()
+        rows = broadcast_rows(spark, before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {x.doc_id: x.component_id for x in got} == {i: i - i % 2 for i in range(600)}
+    assert rows and max(rows) <= 16
+
+
+@pytest.mark.parametrize(("parts", "n", "most"), [(1024, 20_000, 0.03), (1, 20_000, 0.3), (1, 0, 0)])
+def test_filter_of_ids(spark, monkeypatch, parts, n, most):
+    """No id is lost, and few others come through, with a full filter more of them."""
+    monkeypatch.setattr(module, "FILTER_PARTS", parts)
+    rows = spark.range(-50_000, 50_000).selectExpr("id AS k", "'x' AS _hash")
+    got = maybe_among(rows, "k", spark.range(0, 2 * n, 2).select("id"), n)
+    assert got.columns == rows.columns
+    ids = {x.k for x in got.collect()}
+    assert ids >= set(range(0, 2 * n, 2)) and len(ids) - n <= most * 100_000
+
+
 def test_links_in_chains(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(5, 5), (200, 201), (201, 200)]
     random.Random(0).shuffle(pairs)
